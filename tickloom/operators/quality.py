@@ -203,9 +203,19 @@ def axis_health(df: DataFrame, label: str, unknown: str = "UNKNOWN", limit: floa
     return out.withColumns({"dominant_share": share, "collapsed": (F.col("known") >= min_rows) & (share >= limit)}).drop("_top")
 
 
-def audit_chain(df: DataFrame, by: list[str], seq: str, payload: str, prev: str, digest: str, slice_width: int = 4096) -> DataFrame:
-    """Rows whose link to the row before, or whose recomputed digest, is wrong."""
+def audit_chain(df: DataFrame, by: list[str], seq: str, prev: str, digest: str, hashed: list[str], slice_width: int = 4096) -> DataFrame:
+    """Flags rows whose link to the row before, or whose recomputed digest over ``hashed``, is wrong."""
     d = scan.framed(df, by, [seq], lambda w: {"_prior": F.lag(digest, 1).over(w)}, back=1, slice_width=slice_width)
     return d.withColumns({
         "link_ok": F.col(prev).eqNullSafe(F.coalesce("_prior", F.lit(""))),
-        "digest_ok": F.sha2(F.concat_ws("|", prev, payload), 256).eqNullSafe(F.col(digest))}).drop("_prior")
+        "digest_ok": F.sha2(F.concat_ws("|", *hashed), 256).eqNullSafe(F.col(digest))}).drop("_prior")
+
+
+def robust_shift(df: DataFrame, period: str, names: list[str], early: str = "early", late: str = "late") -> DataFrame:
+    """|median late - median early| / max(early IQR, 1e-12) per feature, from exact quantiles."""
+    from .order_stats import feature_quantiles
+
+    q = feature_quantiles(df, names, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=[period])
+    e = q.filter(F.col(period) == early).select("feature", F.col("q50").alias("_e"), (F.col("q75") - F.col("q25")).alias("_iqr"))
+    l = q.filter(F.col(period) == late).select("feature", F.col("q50").alias("_l"))
+    return e.join(l, "feature").select("feature", (F.abs(F.col("_l") - F.col("_e")) / F.greatest(F.col("_iqr"), F.lit(1e-12))).alias("shift"))

@@ -258,31 +258,45 @@ def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter:
 
 # --- global order --------------------------------------------------------------------------
 
-def value_slices(df: DataFrame, c: Column, slices: int = 256) -> tuple[DataFrame, Column]:
-    """Attach equal-width buckets of a numeric key; one row of bounds is broadcast."""
-    lim = df.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi"))
-    d = df.crossJoin(F.broadcast(lim))
-    width = (F.col("_hi") - F.col("_lo")) / slices
-    return d, F.when(width > 0, F.least(F.lit(slices - 1), F.floor(
-        (c.cast("double") - F.col("_lo")) / width))).otherwise(0).cast("long")
+HEAVY = 65_536
 
 
-def global_index(df: DataFrame, by: Sequence[str], key: Column, tie: str, name: str = "_rank",
-                 descending: bool = False, slices: int = 256) -> DataFrame:
-    """0-based rank by (key, tie) with ``tie`` ascending and numeric, without a one-task window.
+def ordered_slices(df: DataFrame, key: Column, tie: str | None = None, n: int = 1024, name: str = "_slice_key") -> DataFrame:
+    """Attach an order-preserving slice (struct) of a numeric key.
 
-    Slices are (value bucket, tie bucket), so a single heavily repeated value is
-    split by the tie column as well.
+    Equal-width buckets first; a bucket above ``HEAVY`` rows is cut again into
+    equal-width parts of its own range, or of its tie range when it holds one value.
+    All bounds are exact minima and maxima, so both uses of the slice agree, and the
+    broadcast tables have one row and at most ``n`` rows.
     """
-    k = -key if descending else key
-    d = df.withColumn("_k", k.cast("double"))
-    d, b1 = value_slices(d, F.col("_k"), slices)
-    d = d.withColumn("_b1", b1).drop("_lo", "_hi")
-    d, b2 = value_slices(d, F.col(tie), 16)
-    d = d.withColumn("_b2", b2).drop("_lo", "_hi")
-    # a tie bucket may only split a value bucket that holds one value
-    one = d.groupBy(*by, "_b1").agg((F.min("_k") == F.max("_k")).alias("_one"))
-    d = d.join(one, [*by, "_b1"]).withColumn(
-        "_slice_key", F.struct("_b1", F.when(F.col("_one"), F.col("_b2")).otherwise(0).alias("b2")))
-    out = row_index(d, by, ["_k", tie], name, slice_col=F.col("_slice_key"))
-    return out.drop("_k", "_b1", "_b2", "_one", "_slice_key")
+    t = F.col(tie).cast("double") if tie else F.lit(0.0)
+    d = df.withColumn("_k0", key.cast("double"))
+    lim = d.agg(F.min("_k0").alias("_lo"), F.max("_k0").alias("_hi"))
+
+    def cut(x, lo, hi):
+        return F.when(F.col(hi) > F.col(lo), F.least(F.lit(n - 1), F.floor(F.try_divide((x - F.col(lo)) * n, F.col(hi) - F.col(lo))))).otherwise(0).cast("long")
+
+    d = d.crossJoin(F.broadcast(lim)).withColumn("_b1", F.coalesce(cut(F.col("_k0"), "_lo", "_hi"), F.lit(-1)))
+    stat = d.groupBy("_b1").agg(F.count(F.lit(1)).alias("_bn"), F.min("_k0").alias("_l1"), F.max("_k0").alias("_h1"),
+                                F.min(t).alias("_l2"), F.max(t).alias("_h2"))
+    d = d.join(F.broadcast(stat), "_b1")
+    sub = F.when(F.col("_bn") <= HEAVY, 0).when(F.col("_h1") > F.col("_l1"), cut(F.col("_k0"), "_l1", "_h1")).otherwise(cut(t, "_l2", "_h2"))
+    d = d.withColumn(name, F.struct(F.col("_b1").alias("a"), F.coalesce(sub, F.lit(0)).cast("long").alias("b")))
+    return d.drop("_k0", "_lo", "_hi", "_b1", "_bn", "_l1", "_h1", "_l2", "_h2")
+
+
+def global_index(df: DataFrame, by: Sequence[str], key: Column, tie: str | Sequence[str], name: str = "_rank", descending: bool = False) -> DataFrame:
+    """0-based rank by (key, tie columns ascending) per ``by`` (or overall), without a one-task window.
+
+    The first tie column must be numeric: it splits a heavily repeated key.
+    """
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    d = df.withColumn("_k", (-key if descending else key).cast("double"))
+    d = ordered_slices(d, F.col("_k"), ties[0])
+    return row_index(d, by, ["_k", *ties], name, slice_col=F.col("_slice_key")).drop("_k", "_slice_key")
+
+
+def with_total(df: DataFrame, by: Sequence[str], name: str = "_total") -> DataFrame:
+    """Attach the row count of the group (or of the frame)."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    return df.join(n, list(by)) if by else df.crossJoin(F.broadcast(n))
