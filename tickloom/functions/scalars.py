@@ -144,7 +144,8 @@ def hash60(text) -> Column:
 
 def canonical_decimal(c) -> Column:
     """Fixed notation, trailing zeros cut, integers keep one zero (``0.0``, ``12.0``)."""
-    txt = F.format_string("%.18f", col(c).cast("decimal(38,18)"))
+    shown = F.to_char(col(c).cast("decimal(38,18)"), F.lit("S99999999999999999999.999999999999999999"))
+    txt = F.regexp_replace(F.regexp_replace(F.trim(shown), r"^\+", ""), r"^(-?)\.", "$10.")
     cut = F.regexp_replace(txt, r"0+$", "")
     full = F.when(cut.endswith("."), F.concat(cut, F.lit("0"))).otherwise(cut)
     return F.when(full == "-0.0", "0.0").otherwise(full)

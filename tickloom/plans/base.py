@@ -68,6 +68,14 @@ class Tables:
             F.col("o_totalprice").alias("size"),
         ).withColumn("net", F.col("_n") / 10000.0).drop("_n").withColumn("label", (F.col("net") > 0).cast("int"))
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        """Both sides of every bar with six gap-free bars after it; entry at the next open."""
+        from ..operators import panel, paths
+
+        d = paths.forward_path(self.bars, HOUR, 6).select("symbol", "ts", F.col("close").alias("close0"), "entry", "path")
+        return panel.orient_sides(d)
+
     @cached_property
     def daily(self) -> DataFrame:
         return self.read("lineitem").groupBy(
@@ -98,6 +106,11 @@ VIEWS = {
         o_totalprice AS size, CASE WHEN (o_orderkey * 7919) % 2003 - 950 > 0 THEN 1 ELSE 0 END AS label FROM orders"""),
     "daily": ((), """SELECT l_suppkey AS symbol, epoch_us(l_shipdate) AS ts, round(sum(l_extendedprice), 2) AS close,
         count(*) AS trades FROM lineitem GROUP BY 1, 2"""),
+    "pl": (("barsi",), """SELECT e.symbol, e.ts, s.side, e.entry, b.i - e.i AS k, b.ts AS bts, b.open, b.high, b.low, b.close, b.volume, b.buy_volume,
+        CASE s.side WHEN 'LONG' THEN b.high/e.entry-1 ELSE 1-b.low/e.entry END AS fav, CASE s.side WHEN 'LONG' THEN 1-b.low/e.entry ELSE b.high/e.entry-1 END AS adv,
+        CASE s.side WHEN 'LONG' THEN 1 ELSE -1 END*(b.close/e.entry-1) AS r, e.close0
+        FROM (SELECT symbol, ts, i, close AS close0, lead(open,1) OVER w AS entry, lead(ts,6) OVER w AS t6 FROM barsi WINDOW w AS (PARTITION BY symbol ORDER BY i)) e
+        JOIN barsi b ON b.symbol=e.symbol AND b.i BETWEEN e.i+1 AND e.i+6, (VALUES ('LONG'),('SHORT')) s(side) WHERE e.t6-e.ts=6*3600000000"""),
     "barsi": (("bars",), "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars"),
 }
 

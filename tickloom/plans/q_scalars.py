@@ -68,7 +68,7 @@ def _(v):
 
 
 @query("canonical_decimal", "ticks", """
-x AS (SELECT event_id, price::DECIMAL(38,18)::VARCHAR AS p, (price*100-round(price*100))::DECIMAL(38,18)::VARCHAR AS z, round(price)::DECIMAL(38,18)::VARCHAR AS i FROM ticks),
+x AS (SELECT event_id, price::VARCHAR::DECIMAL(38,18)::VARCHAR AS p, round(price)::DECIMAL(38,18)::VARCHAR AS i FROM ticks),
 y AS (SELECT event_id, rtrim(p,'0') AS p, rtrim(i,'0') AS i FROM x)
 SELECT event_id, CASE WHEN p LIKE '%.' THEN p || '0' ELSE p END AS price_text, CASE WHEN i LIKE '%.' THEN i || '0' ELSE i END AS whole_text FROM y""")
 def _(v):
@@ -95,7 +95,7 @@ def _(v):
 
 @query("json_payload_extract", "ticks", """
 SELECT event_id, (props->>'k')::BIGINT AS k, CASE WHEN symbol IN ('click','view') THEN price END AS price, CASE WHEN symbol IN ('click','view') THEN event_id%2=0 END AS maker,
- CASE WHEN symbol='purchase' THEN price-0.5 END AS best_bid, CASE WHEN symbol='purchase' THEN price+0.5 END AS best_ask, CASE WHEN symbol='purchase' THEN 3*((props->>'k')::DOUBLE) END AS bid_depth FROM ticks""")
+ CASE WHEN symbol='purchase' AND (props->>'k')::INT>0 THEN round(price-0.5,4)+0.0 END AS best_bid, CASE WHEN symbol='purchase' AND (props->>'k')::INT>0 THEN round(price+0.5,4)+0.0 END AS best_ask, CASE WHEN symbol='purchase' THEN 3*((props->>'k')::DOUBLE) END AS bid_depth FROM ticks""")
 def _(v):
     k = F.get_json_object("props", "$.k")
     p = F.col("price").cast("string")
@@ -106,7 +106,7 @@ def _(v):
     kind = F.when(F.col("symbol").isin("click", "view"), "TRADE").when(F.col("symbol") == "purchase", "BOOK").otherwise("OTHER")
     ev = v.ticks.select("event_id", "props", kind.alias("event_type"), F.when(kind == "TRADE", trade).when(kind == "BOOK", book).otherwise(F.col("props")).alias("payload_json"))
     out = payloads.parse_payload(ev).withColumn("k", F.from_json("props", "k long")["k"])
-    return out.select("event_id", "k", "price", "maker", "best_bid", "best_ask", "bid_depth")
+    return rnd(out.select("event_id", "k", "price", "maker", "best_bid", "best_ask", "bid_depth"), 4)
 
 
 @query("partition_label", "ticks", """
