@@ -155,8 +155,9 @@ def _(v):
 
 
 @query("pivot_unpivot", "bars", """
-w AS (SELECT ts, max(close) FILTER (symbol='click') AS click, max(close) FILTER (symbol='error') AS error, max(close) FILTER (symbol='purchase') AS purchase FROM bars GROUP BY 1)
-UNPIVOT w ON click, error, purchase INTO NAME feature VALUE value""".replace("UNPIVOT w", "l AS (UNPIVOT w").replace("VALUE value", "VALUE value) SELECT ts, feature, value FROM l"))
+w AS (SELECT ts, max(close) FILTER (symbol='click') AS click, max(close) FILTER (symbol='error') AS error, max(close) FILTER (symbol='purchase') AS purchase FROM bars GROUP BY 1),
+l AS (UNPIVOT w ON click, error, purchase INTO NAME feature VALUE value)
+SELECT ts, feature, value FROM l""")
 def _(v):
     w = J.pivot_symbols(v.bars, "close", ["click", "error", "purchase"])
     return J.unpivot_features(w, ["ts"], ["click", "error", "purchase"]).filter("value is not null")

@@ -172,7 +172,7 @@ def _(v):
     d = P.combine_predictors(s, 0.5 - 1e-9)
     g = P.entry_score(d.select("ts", "symbol", "predictors", "side", "disagreement", F.col("score").alias("combined"), F.lit(1.0).alias("probability"), "expected_return",
                                F.lit(0.0).alias("q90"), (F.col("tail") - 1e-12).alias("tail"), (F.col("predictors") >= 2).alias("calibrated")), 0.02, 0.6, 1.0, 1.0)
-    return rnd(g.select("ts", "symbol", "predictors", "side", F.round("combined", 8).alias("score"), "disagreement", "reasons", "eligible"), 8)
+    return rnd(g.select("ts", "symbol", "predictors", "side", (F.round("combined", 10) + 0.0).alias("score"), (F.round("disagreement", 8) + 0.0).alias("disagreement"), "reasons", "eligible"), 10)
 
 
 @query("directional_relative_quality", "scored", """
