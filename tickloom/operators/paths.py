@@ -91,19 +91,19 @@ def excursions(df: DataFrame, floor: bool = False) -> DataFrame:
     return clean(d.withColumn("mfe_before_mae", F.col("time_to_mfe") < F.col("time_to_mae")))
 
 
-def barrier_columns(fav_level, adv_level, cost, arrays=("_f", "_a", "_r"), prefix: str = "") -> dict[str, Column]:
-    """Adverse-first triple barrier over excursion arrays."""
-    f, a = first_hit(arrays[0], fav_level), first_hit(arrays[1], adv_level)
+def with_barriers(df: DataFrame, fav_level, adv_level, cost, arrays=("_f", "_a", "_r"), prefix: str = "") -> DataFrame:
+    """Adverse-first triple barrier over excursion arrays; the arrays are searched once each."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    F_, A_, c = lit(fav_level), lit(adv_level), lit(cost)
-    term = F.element_at(F.col(arrays[2]), -1)
-    out = F.when(a.isNotNull() & (f.isNull() | (a <= f)), "ADVERSE_FIRST_OR_SAME").when(f.isNotNull(), "FAVORABLE_FIRST").otherwise("NEITHER_REACHED")
-    util = F.when(out == "ADVERSE_FIRST_OR_SAME", -A_ - c).when(out == "FAVORABLE_FIRST", F_ - c).otherwise(term - c)
-    return {prefix + "outcome": out, prefix + "event_bar": F.least(f, a), prefix + "terminal": term, prefix + "utility": util}
+    f, a = F.col("_bf"), F.col("_ba")
+    out, term = F.col(prefix + "outcome"), F.col(prefix + "terminal")
+    d = df.withColumns({"_bf": first_hit(arrays[0], fav_level), "_ba": first_hit(arrays[1], adv_level), prefix + "terminal": F.element_at(F.col(arrays[2]), -1)})
+    d = d.withColumns({prefix + "event_bar": F.least(f, a), prefix + "outcome": F.when(a.isNotNull() & (f.isNull() | (a <= f)), "ADVERSE_FIRST_OR_SAME").when(
+        f.isNotNull(), "FAVORABLE_FIRST").otherwise("NEITHER_REACHED")})
+    return d.withColumn(prefix + "utility", F.when(out == "ADVERSE_FIRST_OR_SAME", -lit(adv_level)).when(out == "FAVORABLE_FIRST", lit(fav_level)).otherwise(term) - lit(cost)).drop("_bf", "_ba")
 
 
 def triple_barrier(df: DataFrame, fav_level: float, adv_level: float, cost: float) -> DataFrame:
-    return clean(with_excursions(df).withColumns(barrier_columns(fav_level, adv_level, cost)))
+    return clean(with_barriers(with_excursions(df), fav_level, adv_level, cost))
 
 
 def contract_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def triple_barrier_grid(df: DataFrame, grid: DataFrame, cost: float) -> DataFram
     """Every contract of ``grid(contract, horizon, fav, adv)`` on the same path arrays."""
     d = contract_grid(with_excursions(df), grid)
     d = d.withColumns({c: F.slice(c, F.lit(1), F.col("horizon")) for c in ("_f", "_a", "_r")})
-    return clean(d.withColumns(barrier_columns(F.col("fav"), F.col("adv"), cost)))
+    return clean(with_barriers(d, F.col("fav"), F.col("adv"), cost))
 
 
 def barrier_ambiguous(df: DataFrame, fav_level: float, adv_level: float, cost: float) -> DataFrame:
@@ -282,7 +282,7 @@ def symmetric_label(df: DataFrame, f: float, a: float, cost: float, min_utility:
     """Barrier utility of both sides on one path; LONG, SHORT or SKIP (needs entry, path)."""
     d = df.withColumns({"_up": fav_of("LONG"), "_dn": fav_of("SHORT"), "_c": F.transform("path", lambda x: x["c"] / F.col("entry") - 1)})
     d = d.withColumn("_s", F.transform("_c", lambda x: -x))
-    d = d.withColumns(barrier_columns(f, a, cost, ("_up", "_dn", "_c"), "long_")).withColumns(barrier_columns(f, a, cost, ("_dn", "_up", "_s"), "short_"))
+    d = with_barriers(with_barriers(d, f, a, cost, ("_up", "_dn", "_c"), "long_"), f, a, cost, ("_dn", "_up", "_s"), "short_")
     d = d.withColumn("advantage", F.col("long_utility") - F.col("short_utility"))
     best = F.greatest("long_utility", "short_utility")
     lab = F.when((best >= min_utility) & (F.abs("advantage") >= min_advantage), F.when(F.col("long_utility") >= F.col("short_utility"), "LONG").otherwise("SHORT")).otherwise("SKIP")
@@ -318,7 +318,7 @@ def pre_mfe_adverse(d: DataFrame) -> Column:
 
 def path_quality(df: DataFrame, f: float, a: float, cost: float, min_ratio: float, min_eff: float) -> DataFrame:
     """GOOD, NEUTRAL or BAD wave measured up to the exit bar of the barriers."""
-    d = with_excursions(df).withColumns(barrier_columns(f, a, cost))
+    d = with_barriers(with_excursions(df), f, a, cost)
     n = F.coalesce("event_bar", F.size("path").cast("long")).cast("int")
     d = d.withColumn("_n", n).withColumns({c: F.slice(c, F.lit(1), F.col("_n")) for c in ("_f", "_a", "_r")})
     steps = F.zip_with("_r", F.concat(F.array(F.lit(0.0)), F.slice("_r", F.lit(1), F.col("_n") - 1)), lambda x, y: F.abs(x - y))
@@ -336,7 +336,7 @@ def teacher_labels(df: DataFrame, horizon: int, c: dict) -> DataFrame:
     ``c`` holds the thresholds by name, see ``TEACHER_DEFAULTS``.
     """
     d = df.withColumns({"_f": F.transform(fav(), lambda x: x * 10000), "_a": F.transform(adv(), lambda x: x * 10000), "_r": F.transform(closes(), lambda x: x * 10000)})
-    d = path_lengths(d).withColumns(barrier_columns(c["barrier_favorable"], c["barrier_adverse"], 0.0))
+    d = with_barriers(path_lengths(d), c["barrier_favorable"], c["barrier_adverse"], 0.0)
     d = d.withColumns({"mfe": F.array_max("_f"), "mae": F.array_max("_a"), "time_to_mfe": F.array_position("_f", F.array_max("_f")), "pre_mfe_adverse": pre_mfe_adverse(d)})
     won, neither = F.col("outcome") == "FAVORABLE_FIRST", F.col("outcome") == "NEITHER_REACHED"
     d = d.withColumn("rr", F.col("mfe") / (F.col("mae") + c["rr_epsilon"]))
@@ -357,7 +357,7 @@ def teacher_labels(df: DataFrame, horizon: int, c: dict) -> DataFrame:
 def ideal_zones(df: DataFrame, ideal: Column, max_gap: int, score: str, by: Sequence[str]) -> DataFrame:
     """Zones of ideal rows at most ``max_gap`` apart (inclusive) and the best row of each (score, then time)."""
     by = list(by)
-    d = df.filter(ideal)
+    d = scan.pin(df.filter(ideal))
     d = scan.framed(d, by, ["ts"], lambda w: {"_new": F.when(F.col("ts") - F.lag("ts", 1).over(w) <= max_gap, 0).otherwise(1)}, back=1)
     d = scan.prefix_scan(d, by, ["ts"], {"zone": ("sum", "_new")}).drop("_new")
     g = d.groupBy(*by, "zone").agg(F.min("ts").alias("zone_start"), F.max("ts").alias("zone_end"), F.count(F.lit(1)).alias("zone_rows"),

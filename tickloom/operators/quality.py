@@ -44,21 +44,26 @@ def bar_quality(bars: DataFrame, step: int, version: str | None = None) -> DataF
 
 
 def segments(bars: DataFrame, step: int, by=("symbol",), valid: Column | None = None, out: str = "segment",
-             slice_width: int = DAY) -> DataFrame:
-    """Segment number (from 1) that grows after every missing or invalid bar; invalid rows are removed."""
+             slice_width: int = DAY, position: str | None = None) -> DataFrame:
+    """Segment number (from 1) that grows after every missing or invalid bar; invalid rows are removed.
+
+    ``position`` adds the 0-based place inside the segment from the same scan.
+    """
     by = list(by)
     d = bars.filter(valid) if valid is not None else bars
-    d = scan.framed(d, by, ["ts"], lambda w: {"_brk": F.when(F.col("ts") - F.lag("ts", 1).over(w) == step, 0).otherwise(1)}, back=1)
-    d = scan.prefix_scan(d, by, ["ts"], {out: ("sum", "_brk")}, slice_width)
-    return d.withColumn(out, F.col(out).cast("long")).drop("_brk")
+    d = scan.framed(scan.indexed(d, by, ["ts"], slice_width), by, ["ts"], lambda w: {"_brk": F.when(F.col("ts") - F.lag("ts", 1).over(w) == step, 0).otherwise(1)}, back=1)
+    d = scan.prefix_scan(d, by, ["ts"], {out: ("sum", "_brk"), "_start": ("last", F.when(F.col("_brk") == 1, F.col("_i")))}, slice_width)
+    d = d.withColumn(out, F.col(out).cast("long"))
+    if position:
+        d = d.withColumn(position, F.col("_i") - F.col("_start"))
+    return d.drop("_brk", "_start") if "_i" in bars.columns else d.drop("_brk", "_start", "_i")
 
 
 def segment_positions(bars: DataFrame, step: int, by=("symbol",)) -> DataFrame:
     """Segment, its size, and the 0-based position inside it."""
     by = list(by)
-    d = segments(bars, step, by)
-    d = scan.row_index(d, by + ["segment"], ["ts"], "position")
-    sizes = d.groupBy(*by, "segment").agg(F.count(F.lit(1)).alias("segment_size"))
+    d = segments(bars, step, by, position="position")
+    sizes = segments(bars.select(*by, "ts"), step, by).groupBy(*by, "segment").agg(F.count(F.lit(1)).alias("segment_size"))
     return d.join(sizes, [*by, "segment"])
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import DAY, bucket_no
@@ -73,6 +74,20 @@ def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str
     return out.withColumn(name, (F.col(name) - 1).cast("long"))
 
 
+def indexed(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_width: int = DAY) -> DataFrame:
+    """``df`` with its row position ``_i``; a frame that carries it already is left alone.
+
+    Index once, then chain ``framed`` and ``recurrences``: they reuse ``_i`` instead
+    of scanning the input again.
+    """
+    return df if "_i" in df.columns else row_index(df, by, order, "_i", slice_width)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Keep a derived, already reduced set that several branches read (spills to disk, recomputed if executors die)."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def framed(df: DataFrame, by: Sequence[str], order: Sequence[str],
            *stages: Callable[[object], dict[str, Column]], back: int = 0, ahead: int = 0,
            block: int = 2048, slice_width: int = DAY) -> DataFrame:
@@ -84,7 +99,8 @@ def framed(df: DataFrame, by: Sequence[str], order: Sequence[str],
     ones (its look-back adds up, count the total in ``back``).
     """
     size = max(block, back, ahead, 1)
-    d = row_index(df, by, order, "_i", slice_width)
+    keep = "_i" in df.columns
+    d = indexed(df, by, order, slice_width)
     home = F.floor(F.col("_i") / size).cast("long")
     off = F.col("_i") % size
     none = F.lit(None).cast("long")
@@ -96,7 +112,8 @@ def framed(df: DataFrame, by: Sequence[str], order: Sequence[str],
     w = Window.partitionBy(*by, "_blk").orderBy("_i")
     for stage in stages:
         x = x.withColumns(stage(w))
-    return x.filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home", "_i")
+    x = x.filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
+    return x if keep else x.drop("_i")
 
 
 def k_rows(w, k: int, lag: int = 0):
@@ -108,40 +125,69 @@ def _decayed(decay: float):
     return lambda acc, e: acc * F.lit(decay) + e
 
 
-def affine_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, float]],
-                skip: int = 0, block: int = 256, slice_width: int = DAY) -> DataFrame:
-    """Exponential recurrences y = (1-alpha)*y' + alpha*x, seeded with the first x.
+def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: dict[str, tuple[str, float]] | None = None,
+                runs: dict[str, Column] | None = None, skip: int = 0, block: int = 256, slice_width: int = DAY) -> DataFrame:
+    """Exponential recurrences and run lengths in one pass over row blocks.
+
+    ``emas`` maps an output to (input, alpha): y = (1-alpha)*y' + alpha*x, seeded with
+    the first x; the first ``skip`` rows of each key stay NULL.  ``runs`` maps an
+    output to a state column: how many rows ending here share the state.
 
-    ``specs`` maps the output to (input, alpha).  The first ``skip`` rows of each
-    key stay NULL.  Inside a block the recurrence is a weighted running sum; the
-    value at a block's end is carried over the earlier blocks until their weight is
-    below 1e-18, which is exact in double precision.
+    Inside a block an EMA is a weighted running sum; block ends are carried over the
+    earlier blocks until their weight is below 1e-18, so the result is exact in
+    double precision.  A run continues into a block when the states meet at its edge.
+    One table with a row per block serves all outputs.
     """
-    by = list(by)
-    d = row_index(df, by, order, "_i", slice_width).withColumn("_p", F.col("_i") - skip)
+    by, emas, runs = list(by), emas or {}, runs or {}
+    keep = "_i" in df.columns
+    d = indexed(df, by, order, slice_width).withColumn("_p", F.col("_i") - skip)
     d = d.withColumn("_blk", F.when(F.col("_p") >= 0, F.floor(F.col("_p") / block)).otherwise(-1).cast("long"))
-    d = d.withColumn("_q", F.col("_p") % block)
+    d = d.withColumn("_q", F.col("_p") % block).withColumns({f"_s_{n}": c for n, c in runs.items()})
     part = by + ["_blk"]
-    w = Window.partitionBy(*part).orderBy("_p")
+    w = Window.partitionBy(*part).orderBy("_i")
     running = w.rowsBetween(UP, 0)
-    loc, ends, carr, outs = {}, [], [], {}
     wb = Window.partitionBy(*by).orderBy("_blk")
-    for n, (c, alpha) in specs.items():
+    local, ends, table, outs = {}, [], [], {}
+    for n, (c, alpha) in emas.items():
         b = 1.0 - alpha
         weight = F.when(F.col("_p") == 0, F.lit(1.0)).otherwise(F.lit(float(alpha)))
-        loc[f"_y_{n}"] = F.pow(F.lit(b), F.col("_q")) * F.sum(
+        local[f"_y_{n}"] = F.pow(F.lit(b), F.col("_q")) * F.sum(
             F.when(F.col("_p") >= 0, weight * F.col(c) * F.pow(F.lit(b), -F.col("_q")))).over(running)
-        ends.append(F.max_by(f"_y_{n}", "_p").alias(f"_e_{n}"))
+        # the block end as a plain aggregate, so the table needs no window over the rows
+        last = F.max(F.when(F.col("_p") >= 0, F.col("_q")))
+        total = F.sum(F.when(F.col("_p") >= 0, weight * F.col(c) * F.pow(F.lit(b), -F.col("_q"))))
+        ends.append((F.pow(F.lit(b), last) * total).alias(f"_e_{n}"))
         reach = max(1, math.ceil(42.0 / (alpha * block)) + 1)
-        decay = b ** block
-        carr.append(F.aggregate(F.collect_list(f"_e_{n}").over(wb.rowsBetween(-reach, -1)), F.lit(0.0),
-                                _decayed(decay)).alias(f"_in_{n}"))
+        table.append(F.aggregate(F.collect_list(f"_e_{n}").over(wb.rowsBetween(-reach, -1)), F.lit(0.0),
+                                 _decayed(b ** block)).alias(f"_in_{n}"))
         outs[n] = F.when(F.col("_p") >= 0, F.col(f"_y_{n}") + F.coalesce(
             F.col(f"_in_{n}"), F.lit(0.0)) * F.pow(F.lit(b), F.col("_q") + 1))
-    d = d.withColumns(loc)
-    table = d.filter("_blk >= 0").groupBy(*part).agg(*ends).select(*part, *carr)
-    out = d.join(table, part, "left").withColumns(outs)
-    return out.drop("_i", "_p", "_blk", "_q", *[f"_{p}_{n}" for n in specs for p in ("y", "in")])
+    for n in runs:
+        st = F.col(f"_s_{n}")
+        changed = ~st.eqNullSafe(F.lag(st, 1).over(w)) & (F.lag(F.lit(1), 1).over(w).isNotNull())
+        local[f"_c_{n}"] = F.when(changed, F.col("_i"))
+        ends += [F.min_by(f"_s_{n}", "_i").alias(f"_f_{n}"), F.max_by(f"_s_{n}", "_i").alias(f"_z_{n}"), F.max(f"_c_{n}").alias(f"_m_{n}")]
+    for n in runs:
+        # start of the run that reaches this block's first row
+        edge = F.when(F.col(f"_f_{n}").eqNullSafe(F.lag(f"_z_{n}", 1).over(wb)) & (F.lag("_n0", 1).over(wb).isNotNull()), None).otherwise(F.col("_n0"))
+        table.append(edge.alias(f"_edge_{n}"))
+    rows = d.withColumns({k: v for k, v in local.items() if k.startswith("_c_")}) if runs else d
+    t = rows.groupBy(*part).agg(F.min("_i").alias("_n0"), *ends)
+    if skip:
+        t = t.withColumns({f"_e_{n}": F.when(F.col("_blk") >= 0, F.col(f"_e_{n}")) for n in emas})
+    t = t.select(*part, *[f"_m_{n}" for n in runs], *table)
+    for n in runs:
+        prior = F.max(F.greatest(f"_edge_{n}", f"_m_{n}")).over(wb.rowsBetween(UP, -1))
+        t = t.withColumn(f"_st_{n}", F.coalesce(F.col(f"_edge_{n}"), prior))
+        outs[n] = F.col("_i") - F.coalesce(F.max(f"_c_{n}").over(running), F.col(f"_st_{n}")) + 1
+    d = d.withColumns(local).join(t.drop(*[f"_{p}_{n}" for n in runs for p in ("m", "edge")]), part, "left").withColumns(outs)
+    drop = ["_p", "_blk", "_q", *[f"_{p}_{n}" for n in emas for p in ("y", "in")], *[f"_{p}_{n}" for n in runs for p in ("s", "c", "st")]]
+    return d.drop(*drop) if keep else d.drop("_i", *drop)
+
+
+def affine_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, float]], **kw) -> DataFrame:
+    """EMA family only, see ``recurrences``."""
+    return recurrences(df, by, order, emas=specs, **kw)
 
 
 # --- greedy chains -------------------------------------------------------------------------
@@ -161,7 +207,7 @@ def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie
 
     by, tie = list(by), list(tie)
     step = 1 if strict else 0
-    d = df.withColumn("_free", (free_at + step).cast("long")).withColumn("_slice", bucket_no(ts, slice_width))
+    d = pin(df.withColumn("_free", (free_at + step).cast("long")).withColumn("_slice", bucket_no(ts, slice_width)))
     part = by + ["_slice"]
     kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     head = ", ".join(f"`{k}` {kt[k]}" for k in by) + ("," if by else "")
@@ -222,7 +268,7 @@ def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter:
     part = by + ["_slice"]
     kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     head = ", ".join(f"`{k}` {kt[k]}" for k in by) + ","
-    d = df.withColumn("_slice", bucket_no(order[0], slice_width))
+    d = pin(df.withColumn("_slice", bucket_no(order[0], slice_width)))
     names = list(states)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -102,41 +102,37 @@ def span(n: int) -> float:
     return 2.0 / (n + 1.0)
 
 
-def rsi(df: DataFrame, n: int, by=("symbol",), c: str = "close", out: str = "rsi", min_periods: int | None = None,
-        **kw) -> DataFrame:
+def _unindexed(df: DataFrame, d: DataFrame) -> DataFrame:
+    return d if "_i" in df.columns else d.drop("_i")
+
+
+def rsi(df: DataFrame, n: int, by=("symbol",), c: str = "close", out: str = "rsi", **kw) -> DataFrame:
     """Wilder RSI; no losses gives 100, no gains gives 0."""
-    d = scan.framed(df, list(by), ["ts"], lambda w: {"_d": c_(c) - F.lag(c, 1).over(w)}, back=1)
+    by = list(by)
+    d = scan.framed(scan.indexed(df, by, ["ts"]), by, ["ts"], lambda w: {"_d": c_(c) - F.lag(c, 1).over(w)}, back=1)
     d = d.withColumns({"_g": F.greatest(F.col("_d"), F.lit(0.0)), "_l": F.greatest(-F.col("_d"), F.lit(0.0))})
-    d = scan.affine_scan(d, list(by), ["ts"], {"_ag": ("_g", 1.0 / n), "_al": ("_l", 1.0 / n)}, skip=1, **kw)
-    v = F.when(F.col("_al") <= 0, 100.0).when(F.col("_ag") <= 0, 0.0).otherwise(
-        100 - 100 / (1 + div("_ag", "_al")))
-    return d.withColumn(out, F.when(F.col("_ag").isNotNull(), v)).drop("_d", "_g", "_l", "_ag", "_al")
+    d = scan.affine_scan(d, by, ["ts"], {"_ag": ("_g", 1.0 / n), "_al": ("_l", 1.0 / n)}, skip=1, **kw)
+    v = F.when(F.col("_al") <= 0, 100.0).when(F.col("_ag") <= 0, 0.0).otherwise(100 - 100 / (1 + div("_ag", "_al")))
+    return _unindexed(df, d.withColumn(out, F.when(F.col("_ag").isNotNull(), v)).drop("_d", "_g", "_l", "_ag", "_al"))
 
 
 def atr(df: DataFrame, n: int, kind: str = "mean", by=("symbol",), **kw) -> DataFrame:
     """ATR as rolling mean, Wilder from the first bar, or Wilder seeded with the mean of the first n ranges."""
     by = list(by)
-    d = scan.framed(df, by, ["ts"], lambda w: {"tr": true_range(w)},
+    d = scan.framed(scan.indexed(df, by, ["ts"]), by, ["ts"], lambda w: {"tr": true_range(w)},
                     lambda w: {"_m": rolling(w, "tr", n, "mean")}, back=n)
     if kind == "mean":
         d = d.withColumnRenamed("_m", "atr")
     else:
         skip = n - 1 if kind == "wilder_sma" else 0
-        d = scan.row_index(d, by, ["ts"], "_k").withColumn(
-            "_x", F.when((F.col("_k") == n - 1) & F.lit(kind == "wilder_sma"), F.col("_m")).otherwise(F.col("tr")))
-        d = scan.affine_scan(d, by, ["ts"], {"atr": ("_x", 1.0 / n)}, skip=skip, **kw).drop("_m", "_x", "_k")
-    return d.withColumns({"atr_fraction": F.col("atr") / F.col("close"), "atr_bps": F.col("atr") / F.col("close") * 10000})
+        d = d.withColumn("_x", F.when((F.col("_i") == n - 1) & F.lit(kind == "wilder_sma"), F.col("_m")).otherwise(F.col("tr")))
+        d = scan.affine_scan(d, by, ["ts"], {"atr": ("_x", 1.0 / n)}, skip=skip, **kw).drop("_m", "_x")
+    return _unindexed(df, d.withColumns({"atr_fraction": F.col("atr") / F.col("close"), "atr_bps": F.col("atr") / F.col("close") * 10000}))
 
 
-def run_length(df: DataFrame, state: Column, by=("symbol",), out: str = "run", slice_width: int = scan.DAY) -> DataFrame:
+def run_length(df: DataFrame, state: Column, by=("symbol",), out: str = "run", slice_width: int = scan.DAY, order=("ts",), **kw) -> DataFrame:
     """Number of consecutive rows, ending here, that share ``state``."""
-    by = list(by)
-    d = scan.framed(df.withColumn("_st", state), by, ["ts"],
-                    lambda w: {"_chg": ~F.col("_st").eqNullSafe(F.lag("_st", 1).over(w)) | F.lag("ts", 1).over(w).isNull()},
-                    back=1)
-    d = scan.row_index(d, by, ["ts"], "_k", slice_width)
-    d = scan.prefix_scan(d, by, ["ts"], {"_start": ("last", F.when(F.col("_chg"), F.col("_k")))}, slice_width)
-    return d.withColumn(out, F.col("_k") - F.col("_start") + 1).drop("_st", "_chg", "_k", "_start")
+    return scan.recurrences(df, list(by), list(order), runs={out: state}, slice_width=slice_width, **kw)
 
 
 def candle_runs(w, length: int) -> dict[str, Column]:

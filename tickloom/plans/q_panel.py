@@ -165,7 +165,7 @@ def _(v):
 @query("entry_score_gates", "scored", """
 g AS (SELECT ts, symbol, count(*) AS predictors, avg(score) AS pl, avg(1-score) AS ps, stddev_pop(score) AS d, avg(p_danger) AS tail, avg(net) AS er, avg(p_clean) AS q FROM scored GROUP BY 1,2),
 h AS (SELECT *, CASE WHEN greatest(pl,ps)<0.5-1e-9 THEN 'NO_TRADE' WHEN pl>=ps-1e-12 THEN 'LONG' ELSE 'SHORT' END AS side FROM g)
-SELECT ts, symbol, predictors, side, round(greatest(0,least(1,q*greatest(0,CASE side WHEN 'LONG' THEN er WHEN 'SHORT' THEN -er ELSE 0 END))),8)+0.0 AS score, round(d,8)+0.0 AS disagreement,
+SELECT ts, symbol, predictors, side, round(greatest(0,least(1,q*greatest(0,CASE side WHEN 'LONG' THEN er WHEN 'SHORT' THEN -er ELSE 0 END))),10)+0.0 AS score, round(d,8)+0.0 AS disagreement,
  concat_ws('|', CASE WHEN predictors<2 THEN 'OPPORTUNITY_CALIBRATION_INVALID' END, CASE WHEN tail>0.6+1e-12 THEN 'TAIL_RISK_LIMIT_EXCEEDED' END) AS reasons, predictors>=2 AND NOT tail>0.6+1e-12 AS eligible FROM h""")
 def _(v):
     s = v.scored.select("ts", "symbol", F.col("score").alias("p_long"), (1 - F.col("score") - 1e-12).alias("p_short"), F.col("p_danger").alias("tail"), F.col("net").alias("expected_return"), F.col("p_clean").alias("quality"))

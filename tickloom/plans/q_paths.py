@@ -109,9 +109,10 @@ def _(v):
 
 
 @query("next_open_batch_outcome", "pl", X + """
-SELECT symbol, ts, side, round(term,8)+0.0 AS gross, round(greatest(0,mfe),8)+0.0 AS mfe, round(greatest(0,mae),8)+0.0 AS mae, round(term-(2*7.0/10000+1.0/10000*6),8)+0.0 AS net FROM x""")
+SELECT symbol, ts, side, round(term,8)+0.0 AS gross, round(greatest(0,mfe),8)+0.0 AS mfe, round(greatest(0,mae),8)+0.0 AS mae, round(term-(2*7.0/10000+1.0/10000*6),10)+0.0 AS net FROM x""")
 def _(v):
-    return rnd(P.next_open_outcome(v.bars, HOUR, 6, 5.0, 2.0, 1.0).select(*KS, "gross", "mfe", "mae", "net"), 8)
+    d = P.next_open_outcome(v.bars, HOUR, 6, 5.0, 2.0, 1.0)
+    return d.select(*KS, *[(F.round(c, 8) + 0.0).alias(c) for c in ("gross", "mfe", "mae")], (F.round("net", 10) + 0.0).alias("net"))
 
 
 @query("forward_returns", "bars", """
@@ -237,7 +238,7 @@ def _(v):
 
 
 @query("delayed_entry_counterfactual", "bars signals", """
-s AS (SELECT signal_id, symbol, side, d AS delay, ((ts+d*60000000+3600000000-1)//3600000000)*3600000000 AS st FROM signals, (VALUES (0),(60),(180)) t(d)),
+s AS (SELECT signal_id, symbol, side, d AS delay, ((ts+d::BIGINT*60000000+3600000000-1)//3600000000)*3600000000 AS st FROM signals, (VALUES (0),(60),(180)) t(d)),
 j AS (SELECT s.*, b.ts, b.open, b.high, b.low, b.close, first_value(b.open) OVER (PARTITION BY signal_id, delay ORDER BY b.ts) AS e FROM s JOIN bars b ON b.symbol=s.symbol AND b.ts BETWEEN s.st AND s.st+3*3600000000),
 g AS (SELECT signal_id, symbol, side, delay, min(ts) FILTER ((CASE side WHEN 'LONG' THEN high/e-1 ELSE 1-low/e END)>=0.6) AS hf, min(ts) FILTER ((CASE side WHEN 'LONG' THEN 1-low/e ELSE high/e-1 END)>=0.4) AS ha, arg_max((CASE side WHEN 'LONG' THEN 1 ELSE -1 END)*(close/e-1),ts) AS term FROM j GROUP BY 1,2,3,4 HAVING count(*)=4),
 o AS (SELECT *, CASE WHEN ha IS NOT NULL AND (hf IS NULL OR ha<=hf) THEN 'ADVERSE_FIRST_OR_SAME' WHEN hf IS NOT NULL THEN 'FAVORABLE_FIRST' ELSE 'NEITHER_REACHED' END AS outcome, count(*) OVER (PARTITION BY signal_id) AS n FROM g),
