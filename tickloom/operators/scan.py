@@ -205,7 +205,7 @@ def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie
     import numpy as np
     import pandas as pd
 
-    by, tie = list(by), list(tie)
+    by, tie, cols = list(by), list(tie), df.columns
     step = 1 if strict else 0
     d = pin(df.withColumn("_free", (free_at + step).cast("long")).withColumn("_slice", bucket_no(ts, slice_width)))
     part = by + ["_slice"]
@@ -250,7 +250,7 @@ def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie
             keep.append(ok)
             if ok:
                 state = fr
-        return p.loc[keep, df.columns]
+        return p.loc[keep, cols]
 
     return d.join(entries, part).groupBy(*part).applyInPandas(replay, df.schema)
 
@@ -264,7 +264,7 @@ def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter:
     """
     import pandas as pd
 
-    by, order = list(by), list(order)
+    by, order, cols = list(by), list(order), df.columns
     part = by + ["_slice"]
     kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     head = ", ".join(f"`{k}` {kt[k]}" for k in by) + ","
@@ -296,7 +296,7 @@ def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter:
         for x in p[letter]:
             state = step(state, x)
             got.append(state)
-        return p[df.columns].assign(**{out: got})
+        return p[cols].assign(**{out: got})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
     return d.join(entries, part).groupBy(*part).applyInPandas(replay, schema)
@@ -346,3 +346,44 @@ def with_total(df: DataFrame, by: Sequence[str], name: str = "_total") -> DataFr
     """Attach the row count of the group (or of the frame)."""
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
     return df.join(n, list(by)) if by else df.crossJoin(F.broadcast(n))
+
+
+# --- general sequential folds ------------------------------------------------------------------
+
+def slice_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], walk: Callable, out_schema: str, slice_width: int = DAY) -> DataFrame:
+    """Exact sequential fold whose state is neither finite nor composable.
+
+    ``walk(rows, state_text) -> (rows_out, state_text)`` runs one slice.  Every slice
+    runs in parallel from an assumed entry state; exits are compared with the assumed
+    entries and the pass repeats until all agree.  Chains forget their start quickly,
+    so a few passes are usual.  The small state table is checkpointed between passes.
+    """
+    import pandas as pd
+
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    by, order = list(by), list(order)
+    part = by + ["_slice"]
+    kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    head = ", ".join(f"`{k}` {kt[k]}" for k in by) + ("," if by else "")
+    d = pin(df.withColumn("_slice", bucket_no(order[0], slice_width)))
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, state = walk(pdf.sort_values(order, kind="mergesort"), pdf["_entry"].iloc[0] or "")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in part}, "_exit": [state]})
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, _ = walk(pdf.sort_values(order, kind="mergesort"), pdf["_entry"].iloc[0] or "")
+        return rows
+
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice")
+    entries = d.select(*part).distinct().withColumn("_entry", F.lit("")).checkpoint()
+    while True:
+        got = d.join(entries, part).groupBy(*part).applyInPandas(exits, f"{head} _slice long, _exit string")
+        nxt = got.withColumn("_entry", F.coalesce(F.lag("_exit", 1).over(w), F.lit(""))).drop("_exit").checkpoint()
+        moved = nxt.join(entries.withColumnRenamed("_entry", "_was"), part).filter("_entry <> _was").limit(1).count()
+        entries = nxt
+        if moved == 0:
+            break
+    return d.join(entries, part).groupBy(*part).applyInPandas(final, out_schema)
