@@ -513,7 +513,7 @@ def paired_delta(df: DataFrame, policy: str, control: str, unit: Column) -> Data
 
 def guard_stats(df: DataFrame, score: str, latency: str, verdict: str = "verdict") -> DataFrame:
     """Counts, block rate, score mean/std/p50/p90/p95 and latency p95 for ALL, per symbol and per side in one melt."""
-    d = df.select(score, latency, verdict, F.explode(F.array(F.struct(F.lit("ALL").alias("dim"), F.lit("ALL").alias("value")), F.struct(F.lit("symbol"), F.col("symbol")), F.struct(F.lit("side"), F.col("side")))).alias("k")).select(score, latency, verdict, "k.*")
+    d = df.select(score, latency, verdict, F.explode(F.array(F.struct(F.lit("ALL").alias("dim"), F.lit("ALL").alias("value")), F.struct(F.lit("symbol").alias("dim"), F.coalesce("symbol", F.lit("")).alias("value")), F.struct(F.lit("side").alias("dim"), F.coalesce("side", F.lit("")).alias("value")))).alias("k")).select(score, latency, verdict, "k.*")
     d = scan.pin(d)
     g = d.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"), n_(F.col(verdict) == "BLOCK").alias("blocked"), F.avg(score).alias("score_mean"), F.stddev_pop(score).alias("score_std"))
     q = order_stats.quantiles(d, ["dim", "value"], score, {"p50": 0.5, "p90": 0.9, "p95": 0.95}).drop("n")
