@@ -37,7 +37,7 @@ def path_at(events: DataFrame, bars: DataFrame, start: str, step: int, horizon:
 
     ``start`` is the first bar's time.  Events without all bars drop.
     """
-    want = events.select(*key, "symbol", F.posexplode(F.sequence(F.col(start), F.col(start) + (horizon - 1) * step, F.lit(step))).alias("_p", "ts"))
+    want = events.select(*dict.fromkeys([*key, "symbol"]), F.posexplode(F.sequence(F.col(start), F.col(start) + (horizon - 1) * step, F.lit(step))).alias("_p", "ts"))
     got = want.join(bars.select("symbol", "ts", bar_struct().alias("_b")), ["symbol", "ts"]).groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_p", "_b"))), lambda x: x["_b"]).alias("path"))
     got = got.filter(F.size("path") == horizon).withColumn("entry", F.get("path", F.lit(0))["o"])
