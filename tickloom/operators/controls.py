@@ -21,7 +21,7 @@ def hash_pick(df: DataFrame, by: Sequence[str], order: str, salt: str) -> DataFr
     Counts come from an aggregate; positions inside a group are numbered in slices, so a
     hot group is never walked whole.
     """
-    d = scan.with_total(scan.row_index(df, by, [order], "_r", 1 << 20), by)
+    d = scan.row_index(df, by, [order], "_r", 1 << 20, total="_total")
     return d.filter(F.col("_r") == identity_hash(F.lit(salt), *by) % F.col("_total")).drop("_r", "_total")
 
 

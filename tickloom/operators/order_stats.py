@@ -38,10 +38,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     by = list(by)
     vc = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
-    vc = scan.ordered_slices(scan.pin(vc), F.col("_v"))
-    run = scan.prefix_scan(vc, by, ["_v"], {"_cum": ("sum", "_c")}, slice_col=F.col("_slice_key"))
-    tot = vc.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    j = run.join(tot, by) if by else run.crossJoin(F.broadcast(tot))
+    j = scan.prefix_scan(scan.pin(vc), by, ["_v"], {"_cum": ("sum", "_c")}, slice_col=scan.log_slice(F.col("_v").cast("double")), totals={"_n": "_cum"})
     at = lambda r: F.max(F.when((F.col("_cum") - F.col("_c") <= r) & (r < F.col("_cum")), F.col("_v")))
     aggs, outs = [], []
     for name, p in probs.items():
@@ -62,7 +59,6 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "rank"
     """1-based average rank per group by counting equal values, no per-group sort in one task."""
     by = list(by)
     vc = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    vc = scan.ordered_slices(scan.pin(vc), F.col(value))
-    run = scan.prefix_scan(vc, by, [value], {"_cum": ("sum", "_c")}, slice_col=F.col("_slice_key"))
+    run = scan.prefix_scan(scan.pin(vc), by, [value], {"_cum": ("sum", "_c")}, slice_col=scan.log_slice(F.col(value).cast("double")))
     r = run.select(*by, value, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
     return df.join(r, [*by, value])

@@ -112,7 +112,7 @@ def top_n(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def top_fraction(df: DataFrame, score: str, tie: str, fraction: float) -> DataFrame:
-    d = scan.with_total(scan.global_index(df, [], F.col(score), tie, descending=True), [])
+    d = scan.ranked(df, [], F.col(score), tie, descending=True)
     return d.filter(F.col("_rank") < F.greatest(F.lit(1), F.ceil(F.round(F.col("_total") * fraction, 9)))).drop("_rank", "_total")
 
 
@@ -136,15 +136,14 @@ def equal_budget(df: DataFrame, strategy: str, caps: DataFrame | None = None) ->
         n = df.groupBy(strategy).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_budget"))
         d = scan.global_index(df, [strategy], F.col("score"), ["ts", "symbol", "id"], descending=True)
         return d.crossJoin(F.broadcast(n)).filter(F.col("_rank") < F.col("_budget")).drop("_rank", "_budget")
-    d = scan.global_index(df, [strategy, "fold"], F.col("score"), ["ts", "symbol", "id"], descending=True)
-    d = scan.with_total(d, [strategy, "fold"]).join(caps, "fold")
+    d = scan.ranked(df, [strategy, "fold"], F.col("score"), ["ts", "symbol", "id"], descending=True).join(caps, "fold")
     return d.filter(F.col("_rank") < F.col("budget")).withColumn(
         "status", F.when(F.col("_total") >= F.col("budget"), "COMPLETE").otherwise("SHORTFALL")).drop("_rank", "_total")
 
 
 def survivors(df: DataFrame, risk: str, veto: float, tie: str = "id", by: Sequence[str] = ()) -> DataFrame:
     """The bround((1-veto)*n) rows with the lowest risk."""
-    d = scan.with_total(scan.global_index(df, by, F.col(risk), tie), by)
+    d = scan.ranked(df, by, F.col(risk), tie)
     return d.filter(F.col("_rank") < F.bround((1 - veto) * F.col("_total"))).drop("_rank", "_total")
 
 
@@ -167,7 +166,7 @@ def ecdf(ref: DataFrame, target: DataFrame, score: str = "score", key: str = "sy
 
 def buckets(df: DataFrame, score: str, tie: Sequence[str], n: int = 10, descending: bool = False, out: str = "bucket") -> DataFrame:
     """Ascending: 1 + floor(i*n/N) over min(n, N) buckets; descending: n - floor(i*n/N) from the best score down."""
-    d = scan.with_total(scan.global_index(df, [], F.col(score), tie, descending=descending), [])
+    d = scan.ranked(df, [], F.col(score), tie, descending=descending)
     if descending:
         b = n - F.floor(F.col("_rank") * n / F.col("_total"))
     else:
@@ -202,7 +201,7 @@ def causal_terciles(metrics: DataFrame, at: Sequence[str], value: str, eligible:
 
 def risk_coverage(df: DataFrame, score: str, tie: str, levels: Sequence[float], *aggs: Column) -> DataFrame:
     """Aggregates over the best ceil(n*c) rows for several coverages, one ranked pass."""
-    d = scan.with_total(scan.global_index(df, [], F.col(score), tie, descending=True), [])
+    d = scan.ranked(df, [], F.col(score), tie, descending=True)
     keep = [F.when(F.col("_rank") < F.greatest(F.lit(1), F.ceil(F.round(F.col("_total") * c, 9))), F.lit(c)) for c in levels]
     d = d.withColumn("coverage", F.explode(F.array_compact(F.array(*keep))))
     return d.groupBy("coverage").agg(F.count(F.lit(1)).alias("rows"), *aggs)

@@ -46,21 +46,25 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
 
 
 def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, object]],
-                slice_width: int = DAY, slice_col: Column | None = None, exclusive: bool = False) -> DataFrame:
+                slice_width: int = DAY, slice_col: Column | None = None, exclusive: bool = False,
+                totals: dict[str, str] | None = None) -> DataFrame:
     """Running sum/count/max/min/last per key in ``order``, exact and skew-free.
 
     Level one aggregates each (key, slice); level two scans the slice table, which
     has one row per key and slice; the carried values join back and finish inside
-    the slice.  ``order[0]`` must be the sliced column.
+    the slice.  ``order[0]`` must be the sliced column.  ``totals`` maps an extra column
+    to the output whose whole-key sum (or count) it carries, from the same slice table.
     """
     by, order = list(by), list(order)
     part = by + ["_slice"]
     d = df.withColumn("_slice", slice_col if slice_col is not None else bucket_no(order[0], slice_width))
     cols = {n: (k, F.col(c) if isinstance(c, str) else c) for n, (k, c) in specs.items()}
-    totals = d.groupBy(*part).agg(*[_agg(k, c, order).alias(f"_t_{n}") for n, (k, c) in cols.items()])
+    table = d.groupBy(*part).agg(*[_agg(k, c, order).alias(f"_t_{n}") for n, (k, c) in cols.items()])
     keys = by or [F.lit(0)]
     wc = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(UP, -1)
-    carry = totals.select(*part, *[_carry(k, f"_t_{n}", wc).alias(f"_c_{n}") for n, (k, _) in cols.items()])
+    whole = Window.partitionBy(*keys)
+    carry = table.select(*part, *[_carry(k, f"_t_{n}", wc).alias(f"_c_{n}") for n, (k, _) in cols.items()],
+                         *[F.sum(f"_t_{n}").over(whole).alias(t) for t, n in (totals or {}).items()])
     wl = Window.partitionBy(*part).orderBy(*order).rowsBetween(UP, -1 if exclusive else 0)
     out = d.join(carry, part, "left").withColumns({f"_l_{n}": _local(k, c, wl) for n, (k, c) in cols.items()})
     out = out.withColumns({n: _merge(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, (k, _) in cols.items()})
@@ -68,9 +72,9 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: d
 
 
 def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "_i",
-              slice_width: int = DAY, slice_col: Column | None = None) -> DataFrame:
-    """0-based position of each row in its key."""
-    out = prefix_scan(df, by, order, {name: ("count", F.lit(1))}, slice_width, slice_col)
+              slice_width: int = DAY, slice_col: Column | None = None, total: str | None = None) -> DataFrame:
+    """0-based position of each row in its key; ``total`` also attaches the key's row count."""
+    out = prefix_scan(df, by, order, {name: ("count", F.lit(1))}, slice_width, slice_col, totals={total: name} if total else None)
     return out.withColumn(name, (F.col(name) - 1).cast("long"))
 
 
@@ -331,7 +335,17 @@ def ordered_slices(df: DataFrame, key: Column, tie: str | None = None, n: int =
     return d.drop("_k0", "_lo", "_hi", "_b1", "_bn", "_l1", "_h1", "_l2", "_h2")
 
 
-def global_index(df: DataFrame, by: Sequence[str], key: Column, tie: str | Sequence[str], name: str = "_rank", descending: bool = False) -> DataFrame:
+def log_slice(c: Column, per_octave: int = 1024) -> Column:
+    """Order-preserving slice of a double without looking at the data: ``per_octave`` steps per power of two.
+
+    For tables of distinct values (ties already collapsed); no bounds pass is needed.
+    """
+    step = lambda x: F.floor(F.log2(x) * per_octave).cast("long") + F.lit(1 << 22)
+    return F.when(c > 0, step(c)).when(c < 0, -step(-c)).otherwise(0).cast("long")
+
+
+def global_index(df: DataFrame, by: Sequence[str], key: Column, tie: str | Sequence[str], name: str = "_rank", descending: bool = False,
+                 total: str | None = None) -> DataFrame:
     """0-based rank by (key, tie columns ascending) per ``by`` (or overall), without a one-task window.
 
     The first tie column must be numeric: it splits a heavily repeated key.
@@ -339,13 +353,12 @@ def global_index(df: DataFrame, by: Sequence[str], key: Column, tie: str | Seque
     ties = [tie] if isinstance(tie, str) else list(tie)
     d = df.withColumn("_k", (-key if descending else key).cast("double"))
     d = ordered_slices(d, F.col("_k"), ties[0])
-    return row_index(d, by, ["_k", *ties], name, slice_col=F.col("_slice_key")).drop("_k", "_slice_key")
+    return row_index(d, by, ["_k", *ties], name, slice_col=F.col("_slice_key"), total=total).drop("_k", "_slice_key")
 
 
-def with_total(df: DataFrame, by: Sequence[str], name: str = "_total") -> DataFrame:
-    """Attach the row count of the group (or of the frame)."""
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    return df.join(n, list(by)) if by else df.crossJoin(F.broadcast(n))
+def ranked(df: DataFrame, by: Sequence[str], key: Column, tie: str | Sequence[str], descending: bool = False) -> DataFrame:
+    """``_rank`` and ``_total`` per group."""
+    return global_index(df, by, key, tie, "_rank", descending, "_total")
 
 
 # --- general sequential folds ------------------------------------------------------------------

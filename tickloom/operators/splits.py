@@ -94,7 +94,7 @@ def heldout_ranks(scored: DataFrame, session: str = "session", tolerances: Seque
     n_s = scored.agg(F.count_distinct(session).alias("_s"), F.sum(F.col("train_negative").cast("long")).alias("_m"))
     neg = scan.global_index(scored.filter("train_negative").select("score", "id"), [], F.col("score"), "id", "_r", descending=True)
     cut = neg.crossJoin(F.broadcast(n_s)).filter(F.col("_r") == F.least(F.col("_m") - 1, per_session * F.col("_s") - 1)).select(F.col("score").alias("threshold"))
-    d = scan.with_total(scan.global_index(scored, [session], F.col("score"), "id", "_rank", descending=True), [session], "candidates")
+    d = scan.global_index(scored, [session], F.col("score"), "id", "_rank", True, "candidates")
     pos = d.filter("positive").crossJoin(F.broadcast(cut)).select(session, "id", "ts", "side", "score", (F.col("_rank") + 1).alias("rank"), "candidates", (1 - div("_rank", F.greatest(F.lit(1), F.col("candidates") - 1))).alias("percentile"), "threshold")
     emitted = scored.crossJoin(F.broadcast(cut)).filter(F.col("score") >= F.col("threshold")).select(session, "side", "ts", F.col("ts").alias("hit"))
     p = joins.asof_join(pos, emitted, by=[session, "side"], columns=["hit"]).withColumnRenamed("hit", "_b")

@@ -45,7 +45,7 @@ def economic_summary(df: DataFrame, col: str, by: Sequence[str] = (), pf_rule: s
 
 def cvar(df: DataFrame, col: str, p: float, by: Sequence[str] = (), tie: str = "id") -> DataFrame:
     """Mean of the worst ceil(p*n) rows."""
-    d = scan.with_total(scan.global_index(df.select(*by, col, tie), by, F.col(col), tie), by)
+    d = scan.ranked(df.select(*by, col, tie), by, F.col(col), tie)
     d = d.filter(F.col("_rank") < F.greatest(F.lit(1), F.ceil(F.round(F.col("_total") * p, 9))))
     return _by(d, by).agg(F.count(F.lit(1)).alias("tail_rows"), F.avg(col).alias("cvar"))
 
@@ -106,7 +106,7 @@ def temporal_thirds(df: DataFrame, col: str, variant: str, order: Sequence[str]
 
 def equal_folds(df: DataFrame, k: int, col: str, order: Sequence[str]) -> DataFrame:
     """Fold f holds rows n*f//k up to n*(f+1)//k in order; mean and sign per fold."""
-    d = scan.with_total(scan.row_index(df, [], list(order), "_r", 30 * DAY), [])
+    d = scan.row_index(df, [], list(order), "_r", 30 * DAY, total="_total")
     f = F.floor(((F.col("_r") + 1) * k - 1) / F.col("_total")) + 1
     g = d.groupBy(f.cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"))
     return g.withColumn("positive", F.col("mean") > 0)
@@ -147,8 +147,7 @@ def blocks(df: DataFrame, unit: Column, col: str) -> DataFrame:
     """Sufficient statistics per block with a dense 0-based index ``_b`` and the block count ``_k``."""
     x = F.col(col)
     b = df.groupBy(unit.cast("long").alias("block")).agg(F.sum(x).alias("s"), F.count(F.lit(1)).alias("c"), F.sum(F.when(x > 0, x).otherwise(0.0)).alias("g"), F.sum(F.when(x < 0, -x).otherwise(0.0)).alias("l"))
-    b = scan.row_index(b, [], ["block"], "_b", 4096)
-    return scan.with_total(b, [], "_k")
+    return scan.pin(scan.row_index(b, [], ["block"], "_b", 4096, total="_k"))
 
 
 def bootstrap_draws(b: DataFrame, reps: int, seed: str) -> DataFrame:
@@ -213,8 +212,7 @@ def calendar_bootstrap(df: DataFrame, col: str, reps: int, seed: str, first_day:
 def circular_shift(df: DataFrame, fold: str, week: str, value: str, other: str, shifts: int, seed: str) -> DataFrame:
     """Weekly series of ``value`` shifted circularly against ``other`` inside each fold, statistic per shift (0 is observed)."""
     w = df.groupBy(fold, week).agg(F.avg(value).alias("v"), F.avg(other).alias("o"))
-    w = scan.row_index(w, [fold], [week], "_i", 520)
-    w = scan.pin(scan.with_total(w, [fold], "_n"))
+    w = scan.pin(scan.row_index(w, [fold], [week], "_i", 520, total="_n"))
     s = w.select(fold, "_n").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(shifts))))
     s = s.withColumn("_s", F.when(F.col("rep") == 0, 0).otherwise(1 + draw(seed, F.col(fold), F.col("rep")) % F.greatest(F.lit(1), F.col("_n") - 1)))
     a = w.select(fold, "_i", "v").join(s, fold).withColumn("_i", (F.col("_i") + F.col("_s")) % F.col("_n"))
@@ -277,9 +275,7 @@ def threshold_counts(df: DataFrame, score: str, label: str, by: Sequence[str] =
     """Per distinct score, from the best down: cumulative positives and rows."""
     by = list(by)
     vc = scan.pin(df.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_c")).withColumn("_ns", -F.col(score)))
-    d = scan.prefix_scan(scan.ordered_slices(vc, F.col("_ns")), by, ["_ns"], {"_tp": ("sum", "_p"), "_all": ("sum", "_c")}, slice_col=F.col("_slice_key"))
-    tot = vc.groupBy(*by).agg(F.sum("_p").alias("_np"), F.sum("_c").alias("_n"))
-    return (d.join(tot, by) if by else d.crossJoin(F.broadcast(tot))).drop("_slice_key")
+    return scan.prefix_scan(vc, by, ["_ns"], {"_tp": ("sum", "_p"), "_all": ("sum", "_c")}, slice_col=scan.log_slice(F.col("_ns").cast("double")), totals={"_np": "_tp", "_n": "_all"})
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (), cut: float = 0.5) -> DataFrame:
@@ -328,7 +324,7 @@ def pinball(df: DataFrame, q: str, y: str, level: float, by: Sequence[str] = ())
 def conformal(df: DataFrame, q: str, y: str, level: float, tie: str) -> DataFrame:
     """Residual of 0-based rank ceil((n+1)*level)-1 (the last one if beyond)."""
     d = df.select((F.col(y) - F.col(q)).alias("_e"), tie)
-    d = scan.with_total(scan.global_index(d, [], F.col("_e"), tie), [])
+    d = scan.ranked(d, [], F.col("_e"), tie)
     k = F.least(F.ceil(F.round((F.col("_total") + 1) * level, 9)) - 1, F.col("_total") - 1)
     return d.filter(F.col("_rank") == k).select(F.col("_total").alias("n"), F.col("_e").alias("adjustment"))
 
@@ -530,7 +526,7 @@ def capture_progress(signals: DataFrame, quality: DataFrame, key: str = "signal_
 
 def assess_entry_quality(df: DataFrame, score: str, forecast: str, net: str, mae: str, tie: str) -> DataFrame:
     """Correlations, top minus bottom tenth and the share of symbols with a negative mean."""
-    d = scan.with_total(scan.global_index(df, [], F.col(score), tie), [])
+    d = scan.ranked(df, [], F.col(score), tie)
     size = F.greatest(F.lit(1), F.floor(F.col("_total") / 10))
     ends = d.agg(F.corr(score, net).alias("score_return_corr"), F.corr(forecast, mae).alias("forecast_mae_corr"),
                  (F.avg(F.when(F.col("_rank") >= F.col("_total") - size, F.col(net))) - F.avg(F.when(F.col("_rank") < size, F.col(net)))).alias("top_minus_bottom"))

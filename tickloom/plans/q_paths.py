@@ -33,6 +33,11 @@ def _(v):
     return rnd(P.triple_barrier(v.paths, FV, AD, CO).select(*KS, "outcome", "event_bar", "terminal", "utility"), 8)
 
 
+@query("path_labels_vectorised", "pl", X + f"SELECT symbol, ts, side, round(mfe,8)+0.0 AS mfe, round(mae,8)+0.0 AS mae, tm AS time_to_mfe, ta AS time_to_mae, tm<ta AS mfe_before_mae, outcome, ev AS event_bar, round(term,8)+0.0 AS terminal, round({_U},8)+0.0 AS utility FROM o")
+def _(v):
+    return rnd(P.label_paths(v.paths, KS, 6, FV, AD, CO), 8)
+
+
 @query("triple_barrier_grid", "pl", """
 g AS (SELECT * FROM (VALUES ('A',3,0.3::DOUBLE,0.2::DOUBLE),('B',6,0.3,0.2),('C',6,1.0,0.5)) t(contract,horizon,f,a)),
 x AS (SELECT symbol, ts, side, contract, any_value(f) AS f, any_value(a) AS a, min(k) FILTER (fav>=f) AS hf, min(k) FILTER (adv>=a) AS ha, arg_max(r,k) AS term FROM pl, g WHERE k<=horizon GROUP BY 1,2,3,4),
