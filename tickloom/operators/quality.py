@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import DAY, finite, flag
 from . import scan
 
-BAD_BAR = ~(finite("open") & finite("high") & finite("low") & finite("close") & finite("volume")) | (
-    F.least("open", "high", "low", "close") <= 0) | (F.col("volume") < 0) | (
-    F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
+def bad_bar() -> Column:
+    """Non-finite, non-positive or incoherent OHLC, or negative volume."""
+    return ~(finite("open") & finite("high") & finite("low") & finite("close") & finite("volume")) | (
+        F.least("open", "high", "low", "close") <= 0) | (F.col("volume") < 0) | (
+        F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -20,7 +22,10 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def fail_if(df: DataFrame, bad: Column, message: str) -> DataFrame:
-    """Rows pass through; an offending row fails the job when it is computed."""
+    """Rows pass through; an offending row fails the job when it is computed.
+
+    Spark may run a later filter first, so a row that filter removes is not checked.
+    """
     return df.filter(F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
 
 
@@ -39,7 +44,7 @@ def bar_quality(bars: DataFrame, step: int, version: str | None = None) -> DataF
     body = one.groupBy("symbol").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.sum((F.col("_dt") > step).cast("long")).alias("gaps"), F.coalesce(F.sum(miss), F.lit(0)).cast("long").alias("missing"),
-        F.sum(BAD_BAR.cast("long")).alias("invalid"))
+        F.sum(bad_bar().cast("long")).alias("invalid"))
     return dup.join(body, "symbol").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
 
 

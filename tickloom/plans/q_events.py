@@ -31,7 +31,7 @@ th AS (SELECT quantile_cont(abs(flow_3),0.9) AS min_flow, quantile_cont(volume_r
 """
 
 
-@query("fit_thresholds", "barsi", _F + "," + _TH + "SELECT " + ", ".join(f"round({c},8)+0.0 AS {c}" for c in E.pattern_spec()) + " FROM th")
+@query("fit_thresholds", "barsi", _F + "," + _TH + "SELECT " + ", ".join(f"round({c},8)+0.0 AS {c}" for c in E.PATTERN_THRESHOLDS) + " FROM th")
 def _(v):
     return rnd(E.fit_thresholds(feats(v).filter(_TR), E.pattern_spec()), 8)
 

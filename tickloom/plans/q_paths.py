@@ -157,7 +157,8 @@ def _(v):
     return P.joint_state(d).select(*KS, "direction", "state")
 
 
-_TF = {"extended": F.abs(F.col("entry") / F.col("close0") - 1) >= 1.0, "false_breakout": (F.col("mfe") >= 0.3) & (F.col("terminal") < 0), "adverse_continuation": (F.col("mae") >= 0.5) & (F.col("mfe") < 0.2),
+def timing_failures():
+    return {"extended": F.abs(F.col("entry") / F.col("close0") - 1) >= 1.0, "false_breakout": (F.col("mfe") >= 0.3) & (F.col("terminal") < 0), "adverse_continuation": (F.col("mae") >= 0.5) & (F.col("mfe") < 0.2),
        "slow": F.col("time_to_mfe") >= 5, "late_clean": (F.col("terminal") > 0) & (F.col("time_to_mfe") >= 4), "tail": F.col("mae") >= 0.8}
 
 
@@ -166,7 +167,7 @@ SELECT symbol, ts, side, concat_ws('|', CASE WHEN abs(entry/close0-1)>=1.0 THEN
  CASE WHEN tm>=5 THEN 'slow' END, CASE WHEN term>0 AND tm>=4 THEN 'late_clean' END, CASE WHEN mae>=0.8 THEN 'tail' END) AS labels FROM x""")
 def _(v):
     d = P.excursions(v.paths).withColumn("terminal", F.element_at(P.closes(), -1))
-    return d.select(*KS, F.array_join(P.labelled(_TF), "|").alias("labels"))
+    return d.select(*KS, F.array_join(P.labelled(timing_failures()), "|").alias("labels"))
 
 
 @query("symmetric_economic_label", "pl", X + f""",
