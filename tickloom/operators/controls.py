@@ -126,6 +126,7 @@ def assign_controls(edges: DataFrame, group: Sequence[str], strict: bool = True)
         for l, r in sorted(zip(pdf["left_id"], pdf["right_id"])):
             adj.setdefault(l, []).append(r)
         owner: dict = {}
+        mate: dict = {}
         for root in adj:
             # breadth-first search for a free control, then flip the path
             parent, queue, end = {}, [root], None
@@ -143,14 +144,11 @@ def assign_controls(edges: DataFrame, group: Sequence[str], strict: bool = True)
                     queue.append(owner[r])
             while end is not None:
                 l = parent[end]
-                prev = next((k for k, v in owner.items() if v == l), None)
-                owner[end] = l
-                if prev is not None:
-                    del owner[prev]
+                prev = mate.get(l)
+                owner[end], mate[l] = l, end
                 end = None if l == root else prev
-        mine = {l: r for r, l in owner.items()}
         head = {k: pdf[k].iloc[0] for k in group}
-        return pd.DataFrame([{**head, "left_id": l, "right_id": mine.get(l)} for l in adj])
+        return pd.DataFrame([{**head, "left_id": l, "right_id": mate.get(l)} for l in adj])
 
     schema = ", ".join([f"`{k}` {kt[k]}" for k in group] + [f"left_id {kt['left_id']}", f"right_id {kt['right_id']}"])
     out = edges.select(*group, "left_id", "right_id").groupBy(*group).applyInPandas(match, schema)

@@ -45,10 +45,10 @@ class Tables:
 
     @cached_property
     def signals(self) -> DataFrame:
-        """Every 20th event id is a decision on its symbol."""
-        return self.ticks.filter("event_id % 20 = 0").select(
+        """A price of 120 or more is a decision on its symbol, on the aggressor's side."""
+        return self.ticks.filter("price >= 120").select(
             F.col("event_id").alias("signal_id"), "symbol", "ts", F.col("price").alias("ref_price"),
-            F.when(F.col("event_id") % 40 == 0, "LONG").otherwise("SHORT").alias("side"))
+            F.when(F.col("sgn") > 0, "LONG").otherwise("SHORT").alias("side"))
 
     @cached_property
     def funding(self) -> DataFrame:
@@ -96,7 +96,7 @@ VIEWS = {
         round(sum(volume), 2) AS volume, round(sum(buy_volume), 2) AS buy_volume, sum(trades)::BIGINT AS trades
         FROM bars GROUP BY 1, 2 HAVING count(*) = 6"""),
     "signals": (("ticks",), """SELECT event_id AS signal_id, symbol, ts, price AS ref_price,
-        CASE WHEN event_id % 40 = 0 THEN 'LONG' ELSE 'SHORT' END AS side FROM ticks WHERE event_id % 20 = 0"""),
+        CASE WHEN sgn > 0 THEN 'LONG' ELSE 'SHORT' END AS side FROM ticks WHERE price >= 120"""),
     "funding": (("ticks",), "SELECT ts, price / 1e6 AS rate, event_id FROM ticks WHERE symbol = 'error'"),
     "scored": ((), """SELECT o_orderkey AS id, epoch_us(o_orderdate) AS ts, o_orderpriority AS symbol,
         CASE WHEN o_custkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, o_orderstatus AS regime,

@@ -76,7 +76,7 @@ def _(v):
 @query("bipartite_assignment")
 def _(v):
     e, _ = C.self_exclusion_edges(*edge_nodes(v), ["slot"])
-    return C.assign_controls(e, ["slot"]).select("slot", "left_id", "right_id")
+    return C.assign_controls(e, ["slot"], strict=False).select("slot", "left_id", "right_id")
 
 
 @query("label_shuffle_controls", "scored", f"""

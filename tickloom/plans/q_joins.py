@@ -131,13 +131,13 @@ def _(v):
 
 
 @query("signal_to_fill_match", "ticks signals", """
-s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, signal_id) AS i FROM signals), f AS (SELECT event_id, symbol, ts, price FROM ticks WHERE event_id%10=5),
+s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, signal_id) AS i FROM signals), f AS (SELECT event_id, symbol, ts, price FROM ticks WHERE sgn<0),
 r AS (SELECT symbol, 0::BIGINT AS i, NULL::BIGINT AS signal_id, -1::BIGINT AS used, NULL::BIGINT AS fts FROM s GROUP BY 1 UNION ALL
  SELECT s.symbol, s.i, s.signal_id, greatest(r.used, coalesce((SELECT min(f.ts) FROM f WHERE f.symbol=s.symbol AND f.ts>=s.ts AND f.ts<=s.ts+18000000000 AND f.ts>r.used), -1)),
   (SELECT min(f.ts) FROM f WHERE f.symbol=s.symbol AND f.ts>=s.ts AND f.ts<=s.ts+18000000000 AND f.ts>r.used) FROM r JOIN s ON s.symbol=r.symbol AND s.i=r.i+1)
 SELECT s.signal_id, f.event_id AS fill_id, f.ts AS fill_ts, round((s.ref_price-f.price)/s.ref_price,8)+0.0 AS slippage FROM s JOIN r ON s.signal_id=r.signal_id LEFT JOIN f ON f.symbol=s.symbol AND f.ts=r.fts""")
 def _(v):
-    fills = v.ticks.filter("event_id % 10 = 5").select("symbol", "ts", "price", F.col("event_id").alias("fill_id"))
+    fills = v.ticks.filter("sgn < 0").select("symbol", "ts", "price", F.col("event_id").alias("fill_id"))
     return rnd(J.match_fills(v.signals, fills, 5 * HOUR).select("signal_id", "fill_id", "fill_ts", "slippage"), 8)
 
 
