@@ -66,15 +66,13 @@ def chronological(df: DataFrame, train: float, validation: float, embargo: int,
 def daily_walk_forward(trades: DataFrame, train_days: int, min_trades: int, per_day: tuple[float, float], top: int, cost: float) -> DataFrame:
     """Per test day: the variant with the best trailing net per day that meets the limits, its best trades that day.
 
-    Daily totals per variant are computed once; a day's training window is a range
-    frame over those totals, so trades are never multiplied by days.
+    Daily totals per variant are computed once and each is handed to the test days
+    whose window holds it, so trades themselves are never multiplied.
     """
     d = trades.withColumn("day", day_no("ts"))
     per = d.groupBy("variant", "day").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("gross") - cost).alias("_s"))
-    days = d.select("day").distinct().crossJoin(F.broadcast(d.select("variant").distinct()))
-    g = days.join(per, ["variant", "day"], "left").na.fill({"_n": 0, "_s": 0.0})
-    w = Window.partitionBy("variant").orderBy("day").rangeBetween(-train_days, -1)
-    g = g.withColumns({"_tn": F.coalesce(F.sum("_n").over(w), F.lit(0)), "_ts": F.coalesce(F.sum("_s").over(w), F.lit(0.0))})
+    g = per.select("variant", F.explode(F.sequence(F.col("day") + 1, F.col("day") + train_days)).alias("day"), "_n", "_s").groupBy("variant", "day").agg(
+        F.sum("_n").alias("_tn"), F.sum("_s").alias("_ts"))
     rate = F.col("_tn") / train_days
     ok = (F.col("_tn") >= min_trades) & rate.between(*per_day) & (F.col("_ts") > 0)
     best = g.filter(ok).groupBy("day").agg(F.max_by("variant", F.struct(F.round(F.col("_ts") / train_days, 12), "variant")).alias("variant"))
