@@ -310,33 +310,33 @@ def merged_ids(data: np.ndarray, off: np.ndarray, cache: T.WordCache, encode_man
 _caches: dict[str, T.WordCache] = {}
 
 
+CHUNK = 12 << 20
+
+
+def encoded(batches, path: str):
+    """(id, ids, decoded) batches of (id, text) batches; within a worker."""
+    bpe = load(path)
+    cache = _caches.setdefault(path, T.WordCache(np.int32))
+    for batch in batches:
+        data, off = T.utf8(batch.column(1))
+        for i, j in T.chunks(off, CHUNK):
+            lo = off[i]
+            ids, at = merged_ids(data[lo:off[j]], off[i:j + 1] - lo, cache, bpe.encode_many)
+            each = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([v.astype("<u4").tobytes() for v in each], pa.binary()), pa.array([bpe.decode(v) for v in each], pa.binary())], ["id", "ids", "decoded"])
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids as little-endian unsigned 32-bit binary, decoded bytes): one row per row of df."""
-    def run(batches):
-        bpe = load(path)
-        cache = _caches.setdefault(path, T.WordCache(np.int32))
-        for batch in batches:
-            data, off = T.utf8(batch.column(1))
-            for i, j in T.chunks(off, 24 << 20):
-                lo = off[i]
-                ids, at = merged_ids(data[lo:off[j]], off[i:j + 1] - lo, cache, bpe.encode_many)
-                idx, word = T.expand(bpe.bytes_off, ids.astype(np.int64))
-                out, back = ids.astype("<u4").tobytes(), bpe.bytes_data[idx].tobytes()
-                cut = word[at]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i),
-                    pa.array([out[4 * x:4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()),
-                    pa.array([back[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())], ["id", "ids", "decoded"])
-
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, ids binary, decoded binary").select(F.col("id").alias(id_col), "ids", "decoded")
+    return rows.mapInArrow(lambda batches: encoded(batches, path), "id bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row the number of ids, the SHA-256 of the decimal ids joined by one blank, and that of the decoded bytes."""
+    """Of each row that ``encode`` gives: the number of ids, the SHA-256 of the decimal ids joined by one blank, and that of the decoded bytes."""
     def run(batches):
         bpe = load(path)
-        for batch in batches:
+        for batch in encoded(batches, path):
             rows: tuple[list, list, list] = ([], [], [])
             for ids, back in zip(batch.column(1), batch.column(2)):
                 v = np.frombuffer(ids.as_buffer(), "<u4")
@@ -345,5 +345,5 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     rows[k].append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = encode(df, path, id_col, text_col).withColumnRenamed(id_col, "id")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -173,8 +173,9 @@ def expand(off: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = off[pick + 1] - off[pick]
     out = np.zeros(len(pick) + 1, np.int64)
     np.cumsum(size, out=out[1:])
-    idx = np.arange(out[-1])
-    idx += np.repeat(off[pick] - out[:-1], size)
+    kind = np.int32 if max(int(out[-1]), int(off[-1])) < 1 << 31 else np.int64
+    idx = np.arange(out[-1], dtype=kind)
+    idx += np.repeat((off[pick] - out[:-1]).astype(kind), size)
     return idx, out
 
 
