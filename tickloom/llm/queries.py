@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, common as C, exact_dedup, sharding, simhash, warc
+from . import bpe, common as C, exact_dedup, langid, packing, rp_forest, secret_scan, sharding, simhash, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -19,10 +19,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learnt outside the held-out quarter only."""
+    docs = C.documents(spark, sf_dir)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = toxicity.fit(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(C.documents(spark, sf_dir))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(secret_scan.sample(docs))))
+
+
+def op4_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = rp_forest.near_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return g.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = C.shared_path(spark, "warc")
     index = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, min_bytes=0)
@@ -43,7 +61,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_warc, op6_byte_bpe, op7_simhash, op8_sharding)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (doc_id) and web pages (page_id), each table with its own host priors; text models come from documents."""
+    docs = C.documents(spark, sf_dir)
+    model = langid.fit(langid.sample(docs))
+    none = F.lit(None).cast("long")
+    d = langid.fuse(langid.document_rows(docs), model).select(F.col("id").alias("doc_id"), none.alias("page_id"), "host", "declared", "address", "text_lang", "lang", "confidence", "accepted")
+    p = langid.fuse(langid.page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")), model).select(none.alias("doc_id"), F.col("id").alias("page_id"), "host", "declared", "address", "text_lang", "lang", "confidence", "accepted")
+    return d.unionByName(p)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=1))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secret_scan, op4_rp_forest, op5_warc, op6_byte_bpe, op7_simhash, op8_sharding, op9_language_id, op10_packing)}
 
 ORACLE = {
     "op2_exact_dedup": r"""WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
