@@ -46,14 +46,10 @@ def test_forest_matches_brute_force(spark):
     df = spark.createDataFrame([(i, v, 1, "k") for i, v in vectors], "vec_id long, embedding array<float>, links long, key string")
     exp = sorted(brute(vectors))
     assert sorted(map(tuple, rp_forest.near_groups(df).collect())) == exp
-    old, rp_forest.LEAF = rp_forest.LEAF, 40
-    try:  # real splits
-        grow = rp_forest.grow
-        rp_forest.grow = lambda *a, **k: grow(*a, **k, leaf=60)
-        got = sorted(map(tuple, rp_forest.near_groups(df, trees=10, spill=0.1).collect()))
-    finally:
-        rp_forest.LEAF, rp_forest.grow = old, grow
-    assert sum(g[1] for g in got) >= 0.97 * sum(e[1] for e in exp) and all(g[1] <= e[1] for g, e in zip(got, exp))
+    # real splits, and leaves that a small sample leaves too large
+    for kw in ({"leaf": 60}, {"leaf": 60, "large": 80, "sample_rows": 30}):
+        got = sorted(map(tuple, rp_forest.near_groups(df, trees=10, spill=0.1, **kw).collect()))
+        assert sum(g[1] for g in got) >= 0.95 * sum(e[1] for e in exp) and all(g[1] <= e[1] for g, e in zip(got, exp)), kw
     assert rp_forest.near_groups(df.limit(0)).count() == 0
     assert rp_forest.near_groups(df.filter("vec_id >= 900 and vec_id < 907")).count() == 7
 

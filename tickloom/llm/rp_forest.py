@@ -7,6 +7,10 @@ against itself in blocks of rows, by cosine in double precision.  A leaf returns
 (pairs that met in an earlier leaf are left out there, so every pair counts once) and one link to join its component, never
 the pairs themselves.  Links of all leaves are united by distributed connected components.
 
+The sample is bounded, so its trees end in larger leaves on larger tables.  Leaves of more than ``LARGE`` classes go on
+splitting, each by a subtree fitted on a bounded sample of its own, until none is larger or no split is found; a leaf's
+size so does not grow with the table.
+
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing.  Rows
 repeated with one id are vectors of their own.  A null id never names a component unless all its ids are null.
 """
@@ -14,15 +18,18 @@ repeated with one id are vectors of their own.  A null id never names a componen
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
 from . import common as C
 
 LEAF = 768
+LARGE = 4 * LEAF
 
 
 def prepared(df: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
@@ -94,6 +101,39 @@ def route(x: np.ndarray, nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def refined(routed: DataFrame, size: int, spill: float, seed: int, large: int, leaf: int, sample_rows: int = 4096, part_rows: int = 20_000, rounds: int = 40) -> tuple[DataFrame, bool]:
+    """routed(leaf, key, n, vec) with every leaf of more than ``large`` rows split again, and whether any was."""
+    was, split_any = None, False
+    for step in range(rounds):
+        big = C.stored(routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > large), "large-leaves")
+        now = tuple(big.agg(F.count(F.lit(1)), F.sum("rows")).first())
+        if not now[0] or now == was:
+            break
+        was, split_any = now, True
+        hot = routed.join(big, "leaf").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "key"), F.ceil(F.col("rows") / part_rows)))
+        few = hot.filter(F.pmod(F.xxhash64(F.lit(step), "key"), F.lit(1_000_000)) * F.col("rows") < 1_000_000 * sample_rows)
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = unit(pdf.sort_values("key")["vec"], size)
+            at, rows = int(pdf["leaf"].iloc[0]), int(pdf["rows"].iloc[0])
+            return pd.DataFrame({"leaf": [at], "rows": [rows], "tree": [pickle.dumps(grow(x, rows / len(x), (at ^ seed) & 0x7FFFFFFF, spill, leaf))]})
+
+        trees = few.groupBy("leaf").applyInPandas(fit, "leaf bigint, rows bigint, tree binary")
+        trees = C.stored(trees, "subtrees").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / part_rows) - 1)))
+
+        def down(pdf: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf) or not len(tree):
+                return pdf[["leaf", "key", "n", "vec"]]
+            row, node = route(unit(pdf["vec"], size), pickle.loads(tree["tree"].iloc[0]))
+            at = int(tree["leaf"].iloc[0])
+            name = {k: at if k == 0 else xxh64_intdigest(b"%d/%d" % (at, k)) >> 1 for k in np.unique(node).tolist()}
+            return pdf.iloc[row][["key", "n", "vec"]].assign(leaf=[name[k] for k in node.tolist()])[["leaf", "key", "n", "vec"]]
+
+        parts = hot.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part")).applyInPandas(down, "leaf bigint, key binary, n bigint, vec binary")
+        routed = C.stored(routed.join(big, "leaf", "left_anti").unionByName(parts), "routed")
+    return routed, split_any
+
+
 def compare(x: np.ndarray, weight: np.ndarray, leaves: list[np.ndarray], leaf: int, least: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """(vectors of other classes linked to each class and not met in an earlier leaf, class it hangs on or -1)."""
     m = len(x)
@@ -130,7 +170,7 @@ def _find(root: np.ndarray, i: int) -> int:
     return int(i)
 
 
-def near_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, trees: int = 6, spill: float = 0.03, sample_rows: int = 16_384, seed: int = 11) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, trees: int = 6, spill: float = 0.03, sample_rows: int = 16_384, seed: int = 11, leaf: int = LEAF, large: int = LARGE) -> DataFrame:
     """(id_col, n_links, component_id) per row.  sample_rows: the bound of the sample that the trees are fitted on."""
     common = df.select(F.size(vec_col).alias("n")).filter("n > 0").groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).first()
     size = common.n if common else 1
@@ -142,7 +182,7 @@ def near_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     share = min(1.0, 1.5 * sample_rows / total)
     picked = classes.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("key")).limit(sample_rows)
     sample = unit([bytes(r.vec) for r in picked.select("vec").collect()], size)
-    forest = [grow(sample, total / len(sample), seed + k, spill) for k in range(trees)]
+    forest = [grow(sample, total / len(sample), seed + k, spill, leaf) for k in range(trees)]
     shared = df.sparkSession.sparkContext.broadcast(forest)  # at most sample_rows / 12 splits a tree
     base = np.concatenate([[0], np.cumsum([len(t) for t in forest])])
 
@@ -168,6 +208,10 @@ def near_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         return pd.DataFrame({"key": [key[i] for i in hit], "links": links[hit], "other": [key[hang[i]] if hang[i] >= 0 else None for i in hit]})
 
     routed = classes.select("key", "n", "vec").mapInArrow(spread, "leaf bigint, key binary, n bigint, vec binary, leaves array<bigint>")
+    routed = C.stored(routed, "routed")
+    finer, split = refined(routed.drop("leaves"), size, spill, seed, large, leaf)
+    if split:
+        routed = finer.join(finer.groupBy("key").agg(F.collect_list("leaf").alias("leaves")), "key")
     found = C.stored(routed.groupBy("leaf").applyInPandas(link, "key binary, links bigint, other binary"), "leaf-links")
     pairs = found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b"))
     root = C.components(pairs)
