@@ -50,7 +50,7 @@ def test_framed_reaches_over_blocks(frame):
             assert got[r[2]] == (x[i - 5] if i >= 5 else None, x[i + 3] if i + 3 < len(x) else None, round(sum(x[max(0, i - 5):i + 4]), 6))
 
 
-@pytest.mark.parametrize("alpha,skip", [(0.3, 0), (1 / 14, 2), (0.9, 0)])
+@pytest.mark.parametrize("alpha,skip", [(0.3, 0), (1 / 14, 2), (0.9, 0), (0.5, 0), (0.95, 1), (0.97, 0), (1.0, 0)])
 def test_recurrences(frame, alpha, skip):
     rows = series(300)
     d = scan.recurrences(frame(rows, S), ["k"], ["ts", "id"], {"y": ("x", alpha)}, {"run": F.col("x") > 0}, skip=skip, block=16, slice_width=60)
@@ -65,11 +65,36 @@ def test_recurrences(frame, alpha, skip):
             assert got[r[2]][1] == run
 
 
+@pytest.mark.parametrize("alpha", [1.0, 0.97, 0.5, 0.05])
+@pytest.mark.parametrize("least", [1, 5])
+def test_recurrences_with_nulls_follow_ewm(frame, alpha, least):
+    """NULL runs inside and over block edges, a huge early value and min_periods, against the ewm rule of pandas."""
+    import pandas as pd
+
+    rng = random.Random(8)
+    x = [1e9] + [None if rng.random() < 0.4 or 100 <= i < 180 else rng.uniform(-3, 3) for i in range(400)]
+    rows = [("a", i, i, v) for i, v in enumerate(x)] + [("b", i, 1000 + i, None if i < 20 else v) for i, v in enumerate(x)]
+    d = scan.recurrences(frame(rows, "k string, ts long, id long, x double"), ["k"], ["ts", "id"], {"y": ("x", alpha, least)}, block=16, slice_width=60)
+    got = {r.id: r.y for r in d.collect()}
+    for k in "ab":
+        rs = [r for r in rows if r[0] == k]
+        want = pd.Series([r[3] for r in rs], dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+        for r, v in zip(rs, want):
+            assert (got[r[2]] is None) == (v != v), r
+            assert v != v or abs(got[r[2]] - v) <= 1e-9 * max(1, abs(v))
+
+
+def test_running_sum_keeps_infinity(frame):
+    inf = float("inf")
+    d = scan.prefix_scan(frame([("a", 1, inf), ("a", 100, 1.0), ("a", 101, 2.0), ("b", 5, None), ("b", 90, 2.0)], "k string, ts long, x double"), ["k"], ["ts"], {"s": ("sum", "x")}, 50)
+    assert sorted((r.k, r.ts, r.s) for r in d.collect()) == [("a", 1, inf), ("a", 100, inf), ("a", 101, inf), ("b", 5, None), ("b", 90, 2.0)]
+
+
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("width", [30, 100, 10_000])
 def test_greedy_chain(frame, strict, width):
     rows = series(300, ties=True, seed=4)
-    d = scan.greedy_chain(frame(rows, S), ["k"], "ts", F.col("ts") + 30 + F.col("id") % 3 * 10, ["id"], slice_width=width, strict=strict)
+    d = scan.greedy_chain(frame(rows, S), ["k"], "ts", F.col("ts") + 30 + F.col("id") % 3 * 10, ["id"], slice_width=width, strict=strict, slice_rows=max(7, width // 3))
     want = set()
     for rs in by_key(rows).values():
         free = None
@@ -155,3 +180,47 @@ def test_row_order_does_not_matter(frame):
     shuffled = random.Random(0).sample(rows, len(rows))
     f = lambda rs: sorted((r.id, round(r.y, 9), r.run) for r in scan.recurrences(frame(rs, S), ["k"], ["ts", "id"], {"y": ("x", 0.2)}, {"run": F.col("x") > 0}, block=8).collect())
     assert f(rows) == f(shuffled)
+
+
+def test_hysteresis_switches_at_once_with_one_confirmation(frame):
+    rows = [("a", i, 1.0 if i % 2 else -1.0) for i in range(20)]
+    d = events.hysteresis_regime(frame(rows, "symbol string, ts long, x double"), "x", 0.5, 0.2, confirm=1)
+    assert {r.ts: r.regime for r in d.collect()} == {i: "BULL" if i % 2 else "BEAR" for i in range(20)}
+
+
+@pytest.mark.parametrize("confirm", [1, 2, 3])
+def test_fold_states_over_slices(frame, confirm):
+    rng = random.Random(confirm)
+    rows = [("a", i, rng.uniform(-1, 1)) for i in range(700)] + [("b", i, rng.uniform(-1, 1)) for i in range(5)]
+    d = frame(rows, "symbol string, ts long, x double").withColumn("l", events.hysteresis_letter("x", 0.5, 0.2))
+    got = scan.fold_states(d, ["symbol"], ["ts"], "l", events.hysteresis_states(confirm), "TRANSITION|TRANSITION|0", lambda s, x: events.hysteresis_step(s, x, confirm), "s", slice_width=40, slice_rows=90)
+    got = {(r.symbol, r.ts): r.s for r in got.collect()}
+    letter = lambda x: "P" if x >= 0.5 else "N" if x <= -0.5 else "p" if x >= 0.2 else "n" if x <= -0.2 else "z"
+    for k in "ab":
+        state = "TRANSITION|TRANSITION|0"
+        for s, t, x in rows:
+            if s == k:
+                state = events.hysteresis_step(state, letter(x), confirm)
+                assert got[s, t] == state
+
+
+def test_linked_levels_follow_the_definition():
+    """Against joining step by step over all pairs of groups."""
+    rng = random.Random(6)
+    for _ in range(200):
+        pts = [(rng.randrange(40), rng.randrange(30) / 10) for _ in range(rng.randrange(9))]
+        cap, gap = rng.choice([0.3, 0.8]), rng.choice([0, 3, 8])
+        groups = [[p] for p in sorted(pts)]
+        while True:
+            joins = []
+            for i, a in enumerate(groups):
+                for b in groups[i + 1:]:
+                    m = sorted(a + b)
+                    span = max(p for _, p in m) - min(p for _, p in m)
+                    if span <= cap and min((y[0] - x[0] for x, y in zip(m, m[1:])), default=gap) >= gap:
+                        joins.append((span, m, a, b))
+            if not joins:
+                break
+            _, m, a, b = min(joins, key=lambda j: j[:2])
+            groups = [g for g in groups if g is not a and g is not b] + [m]
+        assert sorted(events.linked_levels(pts, cap, gap)) == sorted(g for g in groups if len(g) > 1)

@@ -18,8 +18,8 @@ def ticks_to_bars(ticks: DataFrame, width: int, symbol: str = "symbol", tie: str
     note = F.col("price") * F.col("qty")
     return ticks.groupBy(symbol, floor_to("ts", width).alias("ts")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", order).alias("close"), F.round(F.sum(note), 2).alias("volume"),
-        F.round(F.sum(F.when(F.col("sgn") > 0, note).otherwise(0.0)), 2).alias("buy_volume"),
+        F.max_by("price", order).alias("close"), F.sum(note).alias("volume"),
+        F.sum(F.when(F.col("sgn") > 0, note).otherwise(0.0)).alias("buy_volume"),
         F.count(F.lit(1)).alias("trades"))
 
 
@@ -42,8 +42,8 @@ def resample_complete(bars: DataFrame, step: int, n: int, label: str = "left") -
     start = floor_to("ts", width)
     out = bars.groupBy("symbol", start.alias("_b")).agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "ts").alias("close"), F.round(F.sum("volume"), 2).alias("volume"),
-        F.round(F.sum("buy_volume"), 2).alias("buy_volume"), F.sum("trades").alias("trades"),
+        F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),
+        F.sum("buy_volume").alias("buy_volume"), F.sum("trades").alias("trades"),
         F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_lo"), F.max("ts").alias("_hi"),
         F.max(F.pmod(F.col("ts"), F.lit(step))).alias("_odd"))
     ok = (F.col("_n") == n) & (F.col("_lo") == F.col("_b")) & (

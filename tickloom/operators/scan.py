@@ -42,7 +42,7 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
         return F.coalesce(b, a)["v"]
     if kind in ("max", "min"):
         return F.greatest(a, b) if kind == "max" else F.least(a, b)
-    return F.coalesce(a, b * 0) + F.coalesce(b, a * 0)
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)  # no neutral value: 0 times infinity is NaN
 
 
 def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, object]],
@@ -92,6 +92,17 @@ def pin(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A derived set that many later steps read, written once to the shared folder, so their plans start from files."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/set-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def framed(df: DataFrame, by: Sequence[str], order: Sequence[str],
            *stages: Callable[[object], dict[str, Column]], back: int = 0, ahead: int = 0,
            block: int = 2048, slice_width: int = DAY) -> DataFrame:
@@ -125,67 +136,127 @@ def k_rows(w, k: int, lag: int = 0):
     return w.rowsBetween(-k + 1 - lag, -lag)
 
 
-def _decayed(decay: float):
-    return lambda acc, e: acc * F.lit(decay) + e
+SUPER, REACH = 256, 1024
+
 
+def _after(acc, e) -> Column:
+    """Affine step e after acc, both as structs (a, c) of y = a * y' + c."""
+    return F.struct((acc["a"] * e["a"]).alias("a"), (e["a"] * acc["c"] + e["c"]).alias("c"))
 
-def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: dict[str, tuple[str, float]] | None = None,
+
+def _same() -> Column:
+    return F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("c"))
+
+
+def _ema_parts(name: str, x: Column, alpha: float, w) -> tuple[list[dict[str, Column]], list[Column]]:
+    """Columns inside a block (three stages) and block aggregates of one EMA.
+
+    A value g rows after the one before it enters with weight alpha / ((1-alpha)^g + alpha), so NULLs let the past decay
+    and the output is carried over them.  Products of decays are kept as sums of logs from the block's first value on.
+    """
+    n, i = name, F.col("_i")
+    running, before = w.rowsBetween(UP, 0), w.rowsBetween(UP, -1)
+    if alpha >= 1.0:  # the value itself
+        one = {f"_v_{n}": x, f"_o_{n}": F.last(x, ignorenulls=True).over(running)}
+        return [one], [F.max_by(F.struct(x.alias("v")), F.when(x.isNotNull(), i)).alias(f"_e_{n}"), F.count(x).alias(f"_k_{n}")]
+    lb = math.log(1.0 - alpha)
+    at = F.when(x.isNotNull(), i)
+    gap = F.col(f"_at_{n}") - F.col(f"_prev_{n}")
+    decay = F.exp(gap * lb)
+    log = F.when(gap == 1, F.lit(lb)).when(gap > 1, gap * lb - F.log(decay + alpha)).otherwise(F.lit(0.0))
+    gain = F.when(gap == 1, F.lit(float(alpha))).otherwise(alpha / (decay + alpha))
+    first = {f"_v_{n}": x, f"_at_{n}": at, f"_prev_{n}": F.last(at, ignorenulls=True).over(before), f"_x_{n}": F.first(x, ignorenulls=True).over(running),
+             f"_f_{n}": F.first(at, ignorenulls=True).over(running)}
+    second = {f"_L_{n}": F.sum(log).over(running), f"_g_{n}": gain}
+    third = {f"_S_{n}": F.coalesce(F.sum(F.when(F.col(f"_prev_{n}").isNotNull(), F.col(f"_g_{n}") * F.col(f"_v_{n}") * F.exp(-F.col(f"_L_{n}")))).over(running), F.lit(0.0))}
+    end = F.max_by(F.struct(F.col(f"_L_{n}").alias("l"), F.col(f"_S_{n}").alias("s"), F.col(f"_x_{n}").alias("x"), F.col(f"_f_{n}").alias("f"), i.alias("i")), F.col(f"_at_{n}"))
+    return [first, second, third], [end.alias(f"_e_{n}"), F.count(f"_v_{n}").alias(f"_k_{n}")]
+
+
+def _weight_of_past(gap: Column, alpha: float) -> Column:
+    """What is left of the value before, ``gap`` rows ago; 0 if there is none."""
+    d = F.exp(gap * math.log(1.0 - alpha))
+    return F.when(gap.isNull(), F.lit(0.0)).when(gap == 1, F.lit(1.0 - alpha)).otherwise(d / (d + alpha))
+
+
+def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: dict[str, tuple] | None = None,
                 runs: dict[str, Column] | None = None, skip: int = 0, block: int = 256, slice_width: int = DAY) -> DataFrame:
     """Exponential recurrences and run lengths in one pass over row blocks.
 
-    ``emas`` maps an output to (input, alpha): y = (1-alpha)*y' + alpha*x, seeded with
-    the first x; the first ``skip`` rows of each key stay NULL.  ``runs`` maps an
-    output to a state column: how many rows ending here share the state.
+    ``emas`` maps an output to (input, alpha) or (input, alpha, min_periods): y = (1-alpha)*y' + alpha*x, seeded with the
+    first x; the first ``skip`` rows of each key stay NULL, and so do rows before the min_periods-th value.  A NULL keeps
+    the last output and lets the past decay once more, as ``ewm(adjust=False)`` has it; alpha 1 gives the last value.
+    ``runs`` maps an output to a state column: how many rows ending here share the state.
 
-    Inside a block an EMA is a weighted running sum; block ends are carried over the
-    earlier blocks until their weight is below 1e-18, so the result is exact in
-    double precision.  A run continues into a block when the states meet at its edge.
-    One table with a row per block serves all outputs.
+    A block is one affine step from the value that enters it to the one that leaves it.  Steps are folded over groups of
+    SUPER blocks and then over the last REACH groups, so the result is exact in double precision.  Blocks are as short as
+    the decay asks for, so no power leaves the range of a double.  A run continues into a block when the states meet at
+    its edge.  One table with a row per block serves all outputs.
     """
-    by, emas, runs = list(by), emas or {}, runs or {}
+    by, runs = list(by), runs or {}
+    emas = {n: (c, float(alpha), *(mp or [1])) for n, (c, alpha, *mp) in (emas or {}).items()}
+    steepest = max([-math.log(1.0 - alpha) for _, alpha, _ in emas.values() if alpha < 1.0], default=0.0)
+    block = max(1, min(block, int(600 / steepest))) if steepest else block
     keep = "_i" in df.columns
     d = indexed(df, by, order, slice_width).withColumn("_p", F.col("_i") - skip)
     d = d.withColumn("_blk", F.when(F.col("_p") >= 0, F.floor(F.col("_p") / block)).otherwise(-1).cast("long"))
-    d = d.withColumn("_q", F.col("_p") % block).withColumns({f"_s_{n}": c for n, c in runs.items()})
+    d = d.withColumns({f"_s_{n}": c for n, c in runs.items()})
     part = by + ["_blk"]
     w = Window.partitionBy(*part).orderBy("_i")
     running = w.rowsBetween(UP, 0)
     wb = Window.partitionBy(*by).orderBy("_blk")
-    local, ends, table, outs = {}, [], [], {}
-    for n, (c, alpha) in emas.items():
-        b = 1.0 - alpha
-        weight = F.when(F.col("_p") == 0, F.lit(1.0)).otherwise(F.lit(float(alpha)))
-        local[f"_y_{n}"] = F.pow(F.lit(b), F.col("_q")) * F.sum(
-            F.when(F.col("_p") >= 0, weight * F.col(c) * F.pow(F.lit(b), -F.col("_q")))).over(running)
-        # the block end as a plain aggregate, so the table needs no window over the rows
-        last = F.max(F.when(F.col("_p") >= 0, F.col("_q")))
-        total = F.sum(F.when(F.col("_p") >= 0, weight * F.col(c) * F.pow(F.lit(b), -F.col("_q"))))
-        ends.append((F.pow(F.lit(b), last) * total).alias(f"_e_{n}"))
-        reach = max(1, math.ceil(42.0 / (alpha * block)) + 1)
-        table.append(F.aggregate(F.collect_list(f"_e_{n}").over(wb.rowsBetween(-reach, -1)), F.lit(0.0),
-                                 _decayed(b ** block)).alias(f"_in_{n}"))
-        outs[n] = F.when(F.col("_p") >= 0, F.col(f"_y_{n}") + F.coalesce(
-            F.col(f"_in_{n}"), F.lit(0.0)) * F.pow(F.lit(b), F.col("_q") + 1))
+    before = wb.rowsBetween(UP, -1)
+    ends = [F.min("_i").alias("_n0")]
+    stages: list[dict[str, Column]] = [{}, {}, {}]
+    for n, (c, alpha, mp) in emas.items():
+        got, last = _ema_parts(n, F.when(F.col("_p") >= 0, F.col(c).cast("double")), alpha, w)
+        for k, cols in enumerate(got):
+            stages[k].update(cols)
+        stages[1][f"_m_{n}"] = F.count(f"_v_{n}").over(running)
+        ends += last
     for n in runs:
         st = F.col(f"_s_{n}")
-        changed = ~st.eqNullSafe(F.lag(st, 1).over(w)) & (F.lag(F.lit(1), 1).over(w).isNotNull())
-        local[f"_c_{n}"] = F.when(changed, F.col("_i"))
+        stages[0][f"_c_{n}"] = F.when(~st.eqNullSafe(F.lag(st, 1).over(w)) & (F.lag(F.lit(1), 1).over(w).isNotNull()), F.col("_i"))
         ends += [F.min_by(f"_s_{n}", "_i").alias(f"_f_{n}"), F.max_by(f"_s_{n}", "_i").alias(f"_z_{n}"), F.max(f"_c_{n}").alias(f"_m_{n}")]
+    for cols in stages:
+        d = d.withColumns(cols)
+    t, outs = d.groupBy(*part).agg(*ends), {}
+    steps = {n: a for n, (_, a, _) in emas.items() if a < 1.0}
+    for n, (_, alpha, mp) in emas.items():
+        t = t.withColumn(f"_seen_{n}", F.coalesce(F.sum(f"_k_{n}").over(before), F.lit(0)))
+        if alpha >= 1.0:
+            t = t.withColumn(f"_in_{n}", F.last(f"_e_{n}", ignorenulls=True).over(before)["v"])
+        else:
+            e = F.col(f"_e_{n}")
+            t = t.withColumn(f"_last_{n}", F.last(e["i"], ignorenulls=True).over(before))
+            past = _weight_of_past(e["f"] - F.col(f"_last_{n}"), alpha)
+            t = t.withColumn(f"_w_{n}", F.when(e.isNull(), _same()).otherwise(F.struct((F.exp(e["l"]) * past).alias("a"), (F.exp(e["l"]) * ((1 - past) * e["x"] + e["s"])).alias("c"))))
+    if steps:
+        ws = Window.partitionBy(*by, "_sup").orderBy("_blk").rowsBetween(UP, -1)
+        t = t.withColumn("_sup", F.floor(F.col("_blk") / SUPER))
+        t = t.withColumns({f"_pre_{n}": F.aggregate(F.collect_list(f"_w_{n}").over(ws), _same(), _after) for n in steps})
+        top = t.groupBy(*by, "_sup").agg(*[F.max_by(_after(F.col(f"_pre_{n}"), F.col(f"_w_{n}")), "_blk").alias(f"_t_{n}") for n in steps])
+        wt = Window.partitionBy(*by).orderBy("_sup").rowsBetween(-REACH, -1)
+        top = top.select(*by, "_sup", *[F.aggregate(F.collect_list(f"_t_{n}").over(wt), F.lit(0.0), lambda acc, e: e["a"] * acc + e["c"]).alias(f"_y_{n}") for n in steps])
+        t = t.join(top, by + ["_sup"], "left").withColumns({f"_in_{n}": F.col(f"_pre_{n}")["a"] * F.col(f"_y_{n}") + F.col(f"_pre_{n}")["c"] for n in steps})
+    for n, (_, alpha, mp) in emas.items():
+        if alpha >= 1.0:
+            y = F.coalesce(f"_o_{n}", f"_in_{n}")
+        else:
+            past = _weight_of_past(F.col(f"_f_{n}") - F.col(f"_last_{n}"), alpha)
+            y = F.when(F.col(f"_f_{n}").isNull(), F.when(F.col(f"_last_{n}").isNotNull(), F.col(f"_in_{n}"))).otherwise(
+                F.exp(f"_L_{n}") * (F.when(F.col(f"_last_{n}").isNull(), 0.0).otherwise(past * F.col(f"_in_{n}")) + (1 - past) * F.col(f"_x_{n}") + F.col(f"_S_{n}")))
+        outs[n] = F.when((F.col("_p") >= 0) & (F.col(f"_seen_{n}") + F.col(f"_m_{n}") >= mp), y)
+    # start of the run that reaches a block's first row
     for n in runs:
-        # start of the run that reaches this block's first row
-        edge = F.when(F.col(f"_f_{n}").eqNullSafe(F.lag(f"_z_{n}", 1).over(wb)) & (F.lag("_n0", 1).over(wb).isNotNull()), None).otherwise(F.col("_n0"))
-        table.append(edge.alias(f"_edge_{n}"))
-    rows = d.withColumns({k: v for k, v in local.items() if k.startswith("_c_")}) if runs else d
-    t = rows.groupBy(*part).agg(F.min("_i").alias("_n0"), *ends)
-    if skip:
-        t = t.withColumns({f"_e_{n}": F.when(F.col("_blk") >= 0, F.col(f"_e_{n}")) for n in emas})
-    t = t.select(*part, *[f"_m_{n}" for n in runs], *table)
+        t = t.withColumn(f"_edge_{n}", F.when(F.col(f"_f_{n}").eqNullSafe(F.lag(f"_z_{n}", 1).over(wb)) & (F.lag("_n0", 1).over(wb).isNotNull()), None).otherwise(F.col("_n0")))
     for n in runs:
-        prior = F.max(F.greatest(f"_edge_{n}", f"_m_{n}")).over(wb.rowsBetween(UP, -1))
+        prior = F.max(F.greatest(f"_edge_{n}", f"_m_{n}")).over(before)
         t = t.withColumn(f"_st_{n}", F.coalesce(F.col(f"_edge_{n}"), prior))
         outs[n] = F.col("_i") - F.coalesce(F.max(f"_c_{n}").over(running), F.col(f"_st_{n}")) + 1
-    d = d.withColumns(local).join(t.drop(*[f"_{p}_{n}" for n in runs for p in ("m", "edge")]), part, "left").withColumns(outs)
-    drop = ["_p", "_blk", "_q", *[f"_{p}_{n}" for n in emas for p in ("y", "in")], *[f"_{p}_{n}" for n in runs for p in ("s", "c", "st")]]
+    carried = [f"_{p}_{n}" for n in emas for p in ("seen", "in", "last") if p != "last" or n in steps] + [f"_st_{n}" for n in runs]
+    d = d.join(t.select(*part, *carried), part, "left").withColumns(outs)
+    drop = ["_p", "_blk", *carried, *[c for cols in stages for c in cols], *[f"_s_{n}" for n in runs]]
     return d.drop(*drop) if keep else d.drop("_i", *drop)
 
 
@@ -196,22 +267,32 @@ def affine_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: d
 
 # --- greedy chains -------------------------------------------------------------------------
 
+SLICE_ROWS = 65_536
+
+
+def _row_slices(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_width: int, slice_rows: int) -> DataFrame:
+    """``_slice``: consecutive rows of a key, at most slice_rows of them, however they lie in time."""
+    d = row_index(df, by, order, "_at", slice_width)
+    return d.withColumn("_slice", F.floor(F.col("_at") / slice_rows).cast("long")).drop("_at")
+
+
 def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie: Sequence[str] = (),
-                 slice_width: int = DAY, strict: bool = False) -> DataFrame:
+                 slice_width: int = DAY, strict: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Keep a row when its time is at or past the moment the last kept row frees its key.
 
     ``free_at`` is a BIGINT column (for a cooldown: ts + spacing); ``strict`` needs
     the time to be past it.  Each (key, slice) is summarised as a step function
     "entry moment -> exit moment", which stays small because chains that start at
     different rows run into each other.  The step functions are composed per key and
-    every slice is then replayed from its true entry moment.
+    every slice is then replayed from its true entry moment.  A slice holds slice_rows rows at most; each row knows the
+    next row a chain through it keeps, so exits and kept rows come from repeated squaring of these jumps, not a row loop.
     """
     import numpy as np
     import pandas as pd
 
     by, tie, cols = list(by), list(tie), df.columns
     step = 1 if strict else 0
-    d = pin(df.withColumn("_free", (free_at + step).cast("long")).withColumn("_slice", bucket_no(ts, slice_width)))
+    d = pin(_row_slices(df.withColumn("_free", (free_at + step).cast("long")), by, [ts, *tie], slice_width, slice_rows))
     part = by + ["_slice"]
     kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     head = ", ".join(f"`{k}` {kt[k]}" for k in by) + ("," if by else "")
@@ -220,10 +301,14 @@ def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie
         p = pdf.sort_values([ts, *tie], kind="mergesort")
         t, fr = p[ts].to_numpy("int64"), p["_free"].to_numpy("int64")
         n = len(t)
-        nxt = np.maximum(np.searchsorted(t, fr, "left"), np.arange(n) + 1)
-        ex = np.empty(n, dtype="int64")
-        for i in range(n - 1, -1, -1):
-            ex[i] = fr[i] if nxt[i] >= n else ex[nxt[i]]
+        last = np.maximum(np.searchsorted(t, fr, "left"), np.arange(n) + 1)
+        last = np.where(last < n, last, np.arange(n))
+        while True:  # last kept row of the chain through each row
+            far = last[last]
+            if (far == last).all():
+                break
+            last = far
+        ex = fr[last]
         first = np.searchsorted(t, t, "left")      # an entry at this time starts at the first row of the tie
         ex = ex[first]
         keep = np.append(ex[1:] != ex[:-1], True)
@@ -248,39 +333,64 @@ def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values([ts, *tie], kind="mergesort")
-        state, keep = int(p["_entry"].iloc[0]), []
-        for t, fr in zip(p[ts].to_numpy("int64"), p["_free"].to_numpy("int64")):
-            ok = t >= state
-            keep.append(ok)
-            if ok:
-                state = fr
-        return p.loc[keep, cols]
+        t, fr = p[ts].to_numpy("int64"), p["_free"].to_numpy("int64")
+        n = len(t)
+        jump = np.append(np.maximum(np.searchsorted(t, fr, "left"), np.arange(n) + 1), n)
+        kept = np.array([np.searchsorted(t, int(p["_entry"].iloc[0]), "left")])
+        while kept[-1] < n:  # twice as many steps each time
+            kept, jump = np.append(kept, jump[kept]), jump[jump]
+        return p.iloc[kept[kept < n]][cols]
 
     return d.join(entries, part).groupBy(*part).applyInPandas(replay, df.schema)
 
 
+RUN = 256
+
+
 def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter: str, states: Sequence[str],
-                start: str, step: Callable[[str, str], str], out: str, slice_width: int = DAY) -> DataFrame:
+                start: str, step: Callable[[str, str], str], out: str, slice_width: int = DAY, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Run a finite-state machine over each key in order and attach the state after each row.
 
     Each (key, slice) is reduced to "entry state -> exit state" (``len(states)``
-    values), the maps are composed per key, and slices replay from their true entry.
+    values), the maps are composed per key, and slices replay from their true entry.  A slice holds slice_rows rows at
+    most.  ``step`` fills one table of letters by states; rows then move through it in runs of RUN rows, all runs of a
+    slice at once.
     """
+    import numpy as np
     import pandas as pd
 
     by, order, cols = list(by), list(order), df.columns
     part = by + ["_slice"]
     kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     head = ", ".join(f"`{k}` {kt[k]}" for k in by) + ","
-    d = pin(df.withColumn("_slice", bucket_no(order[0], slice_width)))
+    d = pin(_row_slices(df, by, order, slice_width, slice_rows))
     names = list(states)
+    number = {s: i for i, s in enumerate(names)}
+
+    def runs(values):
+        """(table of letters by states, letters in runs, state map of each run); the last run is filled up with a letter that changes nothing."""
+        codes, found = pd.factorize(values, use_na_sentinel=False)
+        after = [[step(s, x) for s in names] for x in found]
+        live, todo = set(), [start]
+        while todo:  # every state that rows can reach must have a number
+            i = number[todo.pop()]
+            if i not in live:
+                live.add(i)
+                todo += [row[i] for row in after]
+        table = np.array([[number.get(t, i) for i, t in enumerate(row)] for row in after] + [range(len(names))])
+        grid = np.full(-(-len(codes) // RUN) * RUN, len(found))
+        grid[:len(codes)] = codes
+        grid = grid.reshape(-1, RUN)
+        maps = np.tile(np.arange(len(names)), (len(grid), 1))
+        for k in range(RUN):
+            maps = table[grid[:, k, None], maps]
+        return table, grid, maps
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        now = {s: s for s in names}
-        for x in pdf.sort_values(order)[letter]:
-            seen = {s: step(s, x) for s in set(now.values())}
-            now = {s: seen[v] for s, v in now.items()}
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in part}, "_map": [[now[s] for s in names]]})
+        now = np.arange(len(names))
+        for m in runs(pdf.sort_values(order)[letter])[2]:
+            now = m[now]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in part}, "_map": [[names[i] for i in now]]})
 
     maps = d.select(*part, *[o for o in order if o not in part], letter).groupBy(*part).applyInPandas(
         summarise, f"{head} _slice long, _map array<string>")
@@ -295,12 +405,15 @@ def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter:
     entries = maps.groupBy(*by).applyInPandas(compose, f"{head} _slice long, _entry string")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, got = pdf.sort_values(order), []
-        state = p["_entry"].iloc[0]
-        for x in p[letter]:
-            state = step(state, x)
-            got.append(state)
-        return p[cols].assign(**{out: got})
+        p = pdf.sort_values(order)
+        table, grid, maps = runs(p[letter])
+        now, state = np.empty(len(grid), dtype=int), number[p["_entry"].iloc[0]]
+        for i, m in enumerate(maps):
+            now[i], state = state, m[state]
+        got = np.empty(grid.shape, dtype=int)
+        for k in range(RUN):
+            got[:, k] = now = table[grid[:, k], now]
+        return p[cols].assign(**{out: np.array(names, dtype=object)[got.ravel()[:len(p)]]})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
     return d.join(entries, part).groupBy(*part).applyInPandas(replay, schema)

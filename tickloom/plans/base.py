@@ -19,6 +19,11 @@ ORACLE: dict[str, str] = {}
 REF1, REF2 = "purchase", "signup"
 
 
+def cents(bars: DataFrame) -> DataFrame:
+    """Traded notionals to two decimals: the stand-in views fix them so that both engines sum alike."""
+    return bars.withColumns({c: F.round(c, 2) for c in ("volume", "buy_volume")})
+
+
 class Tables:
     """Lazily built inputs for one (session, folder)."""
 
@@ -37,11 +42,11 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return resample.ticks_to_bars(self.ticks, HOUR)
+        return cents(resample.ticks_to_bars(self.ticks, HOUR))
 
     @cached_property
     def bars6(self) -> DataFrame:
-        return resample.resample_complete(self.bars, HOUR, 6)
+        return cents(resample.resample_complete(self.bars, HOUR, 6))
 
     @cached_property
     def signals(self) -> DataFrame:
