@@ -29,7 +29,7 @@ def book_as_of(l2: DataFrame, times: DataFrame, bucket: int, depths: Sequence[in
     or the next snapshot; samples meet valid levels in an interval join on time
     buckets.  Depletion and replenishment are running sums taken as of the sample.
     """
-    g = scan.pin(with_generation(l2))
+    g = scan.settled(with_generation(l2))
     gens = g.filter("is_snapshot").groupBy("symbol", "generation").agg(F.min("ts").alias("_start"))
     wg = Window.partitionBy("symbol").orderBy("generation")
     gens = gens.select("symbol", "generation", F.lead("_start").over(wg).alias("_gend"))      # one row per snapshot
@@ -81,7 +81,7 @@ def _at_most(hi: Column):
 def book_episodes(l2: DataFrame, trades: DataFrame, anchors: DataFrame, windows: Sequence[int], bucket: int, large: float, band: float = 5, second: int = 1_000_000) -> DataFrame:
     """Static, dynamics, flow, response and absorption features per anchor; anchors whose windows cross a snapshot drop."""
     times = anchors.select("symbol", F.explode(F.array(F.col("ts"), *[F.col("ts") - w for w in windows])).alias("ts")).distinct()
-    b = scan.pin(book_as_of(l2, times, bucket, bands=(1, 2, band)))
+    b = scan.settled(book_as_of(l2, times, bucket, bands=(1, 2, band)))
     d = anchors.select("symbol", "ts").join(b, ["symbol", "ts"])
     scale = F.greatest(F.col(f"bid_depth_{band}bp") + F.col(f"ask_depth_{band}bp"), F.lit(1e-12))
     names = ("bid_depletion", "ask_depletion", "bid_replenishment", "ask_replenishment")

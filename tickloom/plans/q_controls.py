@@ -28,8 +28,8 @@ def _(v):
 @query("regime_matched_random", "bars signals", f"""
 b AS (SELECT symbol, ts, trades>2 AS regime FROM bars), e AS (SELECT s.signal_id, s.symbol, s.ts, b.regime FROM signals s JOIN b ON b.symbol=s.symbol AND b.ts=(s.ts//3600000000)*3600000000),
 p AS (SELECT *, row_number() OVER (PARTITION BY symbol, regime ORDER BY ts)-1 AS pos, count(*) OVER (PARTITION BY symbol, regime) AS n FROM b),
-j AS (SELECT e.signal_id, o.o, p.ts AS control_ts FROM e JOIN (SELECT DISTINCT symbol, regime, n FROM p) n USING (symbol, regime), range(121) o(o), p WHERE o.o<n.n AND p.symbol=e.symbol AND p.regime=e.regime AND p.pos=({HX("'rm|' || e.signal_id")}%n.n+o.o)%n.n AND abs(p.ts-e.ts)>3600000000)
-SELECT signal_id, arg_min(control_ts,o) AS control_ts, min(o) AS probe FROM j GROUP BY 1""")
+j AS (SELECT e.signal_id, o.o, p.ts AS control_ts FROM e JOIN (SELECT DISTINCT symbol, regime, n FROM p) n USING (symbol, regime), range((SELECT max(n) FROM p)) o(o), p WHERE o.o<n.n AND p.symbol=e.symbol AND p.regime=e.regime AND p.pos=({HX("'rm|' || e.signal_id")}%n.n+o.o)%n.n AND abs(p.ts-e.ts)>3600000000)
+SELECT e.signal_id, arg_min(control_ts,o) AS control_ts, min(o) AS probe FROM e LEFT JOIN j USING (signal_id) GROUP BY 1""")
 def _(v):
     b = v.bars.select("symbol", "ts", (F.col("trades") > 2).alias("regime"))
     s = v.signals.select("signal_id", "symbol", F.col("ts").alias("t"), (F.col("ts") - F.pmod("ts", F.lit(HOUR))).alias("ts"))
@@ -73,10 +73,20 @@ def _(v):
     return C.self_exclusion_edges(*edge_nodes(v), ["slot"])[1]
 
 
-@query("bipartite_assignment")
+@query("bipartite_assignment", "bars signals", """
+l AS (SELECT symbol, ts//3600000000 AS c, ts//21600000000 AS slot FROM signals), r AS (SELECT ts//21600000000 AS slot, count(*) AS nr FROM bars GROUP BY 1),
+g AS (SELECT slot, symbol, c, count(*) AS n FROM l GROUP BY 1,2,3), s AS (SELECT slot, sum(n) AS nl, count(*) AS k, max(n) AS mx FROM g GROUP BY 1)
+SELECT slot::BIGINT AS slot, p.p AS replicate, nl::BIGINT AS lefts, (nl-greatest(0, nl-CASE WHEN k>1 THEN nr ELSE nr-1 END, mx-(nr-1)))::BIGINT AS matched, true AS one_to_one, true AS on_edges FROM s JOIN r USING (slot), (VALUES (0),(1)) p(p) WHERE nr>1""")
 def _(v):
+    # every bar but a signal's own may serve it, so the size of a largest matching is known by Hall's theorem
     e, _ = C.self_exclusion_edges(*edge_nodes(v), ["slot"])
-    return C.assign_controls(e, ["slot"], strict=False).select("slot", "left_id", "right_id")
+    out = None
+    for k in (0, 1):
+        m = C.assign_controls(e, ["slot"], strict=False, seed="ba", replicate=k).join(e.select("slot", "left_id", "right_id", F.lit(True).alias("_e")), ["slot", "left_id", "right_id"], "left")
+        m = m.groupBy("slot").agg(F.lit(k).alias("replicate"), F.count("*").alias("lefts"), F.count("right_id").alias("matched"), (F.count("right_id") == F.count_distinct("right_id")).alias("one_to_one"),
+                                  (F.count("right_id") == F.count("_e")).alias("on_edges"))
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 @query("label_shuffle_controls", "scored", f"""

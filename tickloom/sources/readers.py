@@ -63,7 +63,7 @@ def explode_archives(files: DataFrame, columns: tuple[str, ...] = schemas.KLINE_
                                 yield part
 
     schema = ", ".join(["path string", "member string", *[f"`{c}` string" for c in columns]])
-    return files.select("path", "content").mapInPandas(unzip, schema).filter(F.col(columns[0]).rlike("^[0-9]"))
+    return files.select("path", "content").mapInPandas(unzip, schema).filter(~F.lower(F.trim(F.col(columns[0]))).eqNullSafe(F.lit(columns[0])))
 
 
 def kline_rows(raw: DataFrame) -> DataFrame:
@@ -102,9 +102,9 @@ def load_funding(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 
 def load_mark(spark: SparkSession, path: str) -> DataFrame:
-    """Mark price lines ``time,close``; a header line is tolerated, a duplicate minute fails."""
+    """Mark price lines ``time,close``; the header line ``open_time,...`` is left out, any other bad line or a duplicate minute fails."""
     p = F.split("value", ",")
-    d = spark.read.text(path).filter(F.col("value").rlike("^[0-9]")).select(
+    d = spark.read.text(path).filter(~F.col("value").startswith("open_time,")).select(
         epoch_micros(p[0].cast("long")).alias("ts"), p[1].cast("double").alias("mark_close"))
     d = d.withColumn("ts", floor_to("ts", MINUTE))
     return reject_duplicates(d, ["ts"], "duplicate mark minute")
