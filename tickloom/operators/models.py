@@ -12,19 +12,38 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import clip, div, logistic
+from . import order_stats
 
 
-def _stages(names: Sequence[str]):
-    return [Imputer(strategy="median", relativeError=1e-4, inputCols=list(names), outputCols=[f"_i_{n}" for n in names]), VectorAssembler(inputCols=[f"_i_{n}" for n in names], outputCol="_v"),
-            StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="features")]
+def _medians(df: DataFrame, names: Sequence[str]):
+    """Imputer model of the exact medians, which are taken in one distributed pass; one row comes to the driver."""
+    q = order_stats.feature_quantiles(df, names, {"m": 0.5}).select("feature", "m").collect()
+    med = {r.feature: float(r.m) for r in q}
+    row = df.sparkSession.createDataFrame([[med.get(n, 0.0) for n in names]], [str(n) for n in names])
+    return Imputer(strategy="mean", inputCols=list(names), outputCols=[f"_i_{n}" for n in names]).fit(row)
+
+
+def balanced(df: DataFrame, label: str, out: str = "_weight") -> DataFrame:
+    """Class weights rows / (classes * rows of the class), so every class weighs alike; classes are few."""
+    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    w = F.create_map(*[x for c, k in n.items() for x in (F.lit(c), F.lit(sum(n.values()) / (len(n) * k)))])
+    return df.withColumn(out, w[F.col(label)])
 
 
 def fit_linear(df: DataFrame, names: Sequence[str], label: str, kind: str = "logistic", reg: float = 0.0, weight: str | None = None) -> PipelineModel:
-    """Median impute, standardise, then logistic, ridge or plain linear."""
-    kw = {"weightCol": weight} if weight else {}
+    """Median impute, standardise, then logistic, ridge or plain linear; ``weight`` is a column or "balanced"."""
+    df, kw = _weighted(df, label, weight)
     est = (LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=200, tol=1e-9, standardization=False, **kw) if kind == "logistic"
            else LinearRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=0.0, solver="normal", standardization=False, **kw))
-    return Pipeline(stages=[*_stages(names), est]).fit(df)
+    imp = _medians(df, names)
+    rest = Pipeline(stages=[VectorAssembler(inputCols=[f"_i_{n}" for n in names], outputCol="_v"), StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="features"), est])
+    return PipelineModel([imp, *rest.fit(imp.transform(df)).stages])
+
+
+def _weighted(df: DataFrame, label: str, weight: str | None) -> tuple[DataFrame, dict]:
+    if weight == "balanced":
+        return balanced(df, label), {"weightCol": "_weight"}
+    return df, {"weightCol": weight} if weight else {}
 
 
 def exported(model: PipelineModel, names: Sequence[str]) -> dict:
@@ -57,10 +76,11 @@ def score_ensemble(trees: Sequence[dict], base: float, rate: float) -> Column:
     return e
 
 
-def fit_trees(df: DataFrame, names: Sequence[str], label: str, kind: str = "gbt", task: str = "classification", trees: int = 10, depth: int = 3, seed: int = 7) -> PipelineModel:
+def fit_trees(df: DataFrame, names: Sequence[str], label: str, kind: str = "gbt", task: str = "classification", trees: int = 10, depth: int = 3, seed: int = 7, weight: str | None = None) -> PipelineModel:
+    df, kw = _weighted(df, label, weight)
     cls = {("gbt", "classification"): GBTClassifier, ("gbt", "regression"): GBTRegressor, ("forest", "classification"): RandomForestClassifier, ("forest", "regression"): RandomForestRegressor}[kind, task]
-    n = {"maxIter": trees} if kind == "gbt" else {"numTrees": trees}
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep"), cls(featuresCol="features", labelCol=label, maxDepth=depth, seed=seed, **n)]).fit(df)
+    n = {"maxIter": trees} if kind == "gbt" else {"numTrees": trees, "bootstrap": trees > 1}
+    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep"), cls(featuresCol="features", labelCol=label, maxDepth=depth, seed=seed, **n, **kw)]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:

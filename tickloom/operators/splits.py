@@ -6,14 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalars import DAY, day_no, div
+from ..functions.scalars import DAY, HOUR, day_no, div
 from . import scan
 from .quality import fail_if
 
 
 def _times(df: DataFrame) -> DataFrame:
     """Distinct times with 0-based position ``_k`` and their number ``_n``."""
-    t = scan.row_index(df.select("ts").distinct(), [], ["ts"], "_k", 365 * DAY)
+    t = scan.row_index(df.select("ts").distinct(), [], ["ts"], "_k", HOUR)
     return t.crossJoin(F.broadcast(df.agg(F.count_distinct("ts").alias("_n"))))
 
 

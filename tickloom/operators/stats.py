@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import DAY, div, flag, hash60
+from ..functions.scalars import DAY, HOUR, div, flag, hash60
 from . import order_stats, scan
 
 Z95 = 1.959963984540054
@@ -57,7 +58,7 @@ def expected_shortfall(df: DataFrame, col: str, p: float, by: Sequence[str] = ()
     return _by(d.filter(F.col(col) <= F.col("_q")), by).agg(F.max("_q").alias("cut"), F.avg(col).alias("shortfall"))
 
 
-def max_drawdown(df: DataFrame, col: str, order: Sequence[str], by: Sequence[str] = (), slice_width: int = 30 * DAY) -> DataFrame:
+def max_drawdown(df: DataFrame, col: str, order: Sequence[str], by: Sequence[str] = (), slice_width: int = HOUR) -> DataFrame:
     """Largest fall of the running sum below its running peak (the start counts as 0).
 
     Each slice reduces to total, highest and lowest prefix and inner drawdown; the
@@ -84,7 +85,7 @@ def sortino(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 def _dense_ts(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Distinct times with 0-based position and their number."""
-    t = scan.row_index(df.select(ts).distinct(), [], [ts], "_k", 365 * DAY)
+    t = scan.row_index(df.select(ts).distinct(), [], [ts], "_k", HOUR)
     return t.crossJoin(F.broadcast(df.agg(F.count_distinct(ts).alias("_n"))))
 
 
@@ -106,7 +107,7 @@ def temporal_thirds(df: DataFrame, col: str, variant: str, order: Sequence[str]
 
 def equal_folds(df: DataFrame, k: int, col: str, order: Sequence[str]) -> DataFrame:
     """Fold f holds rows n*f//k up to n*(f+1)//k in order; mean and sign per fold."""
-    d = scan.row_index(df, [], list(order), "_r", 30 * DAY, total="_total")
+    d = scan.row_index(df, [], list(order), "_r", HOUR, total="_total")
     f = F.floor(((F.col("_r") + 1) * k - 1) / F.col("_total")) + 1
     g = d.groupBy(f.cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"))
     return g.withColumn("positive", F.col("mean") > 0)
@@ -168,7 +169,7 @@ def block_bootstrap(df: DataFrame, unit: Column, col: str, reps: int, seed: str,
                  ((n_(F.col("m") <= 0) + 1) / (F.count(F.lit(1)) + 1)).alias("p_not_positive"))
 
 
-def prefix_sums(df: DataFrame, cols: dict[str, Column], order: Sequence[str], slice_width: int = 30 * DAY) -> DataFrame:
+def prefix_sums(df: DataFrame, cols: dict[str, Column], order: Sequence[str], slice_width: int = HOUR) -> DataFrame:
     """Exclusive running sums P_name and the row position ``_r``; one extra last row holds the totals."""
     d = df.select(*order, *[c.cast("double").alias(n) for n, c in cols.items()])
     d = scan.prefix_scan(d, [], list(order), {**{f"P_{n}": ("sum", n) for n in cols}, "_r": ("count", F.lit(1))}, slice_width)
@@ -268,7 +269,7 @@ def mean_spearman_by_ts(df: DataFrame, x: str, y: str, min_rows: int = 3) -> Dat
     d = df.withColumns({"_rx": pct_rank(x), "_ry": pct_rank(y)})
     g = d.groupBy("ts").agg(F.count(F.lit(1)).alias("_n"), F.corr("_rx", "_ry").alias("_c"), F.var_pop("_rx").alias("_vx"), F.var_pop("_ry").alias("_vy"))
     g = g.filter((F.col("_n") >= min_rows) & (F.col("_vx") > 0) & (F.col("_vy") > 0))
-    return g.agg(F.count(F.lit(1)).alias("timestamps"), F.avg("_c").alias("mean_ic"), F.avg(flag(F.col("_c") > 0)).alias("positive_share"))
+    return g.agg(F.count(F.lit(1)).alias("timestamps"), F.avg("_c").alias("mean_ic"), F.avg(flag(F.col("_c") > 1e-12)).alias("positive_share"))
 
 
 def threshold_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -344,22 +345,58 @@ def class_metrics(df: DataFrame, pred: str, true: str, classes: Sequence[str]) -
 
 
 def feature_separation(df: DataFrame, names: Sequence[str], good: str) -> DataFrame:
-    """Standardised median difference, rank-biserial, and decile monotonicity of each feature against a 0/1 label."""
-    long = scan.pin(df.select(F.col(good).alias("_y"), *names).unpivot(["_y"], list(names), "feature", "v"))
+    """Each feature against a 0/1 label: difference of medians over the pooled population deviation, rank-biserial, and the
+    two-sided Mann-Whitney p-value (normal approximation with tie and continuity correction).
+
+    NULL where a class is empty or the feature does not vary.
+    """
+    long = scan.pin(df.select(F.col(good).alias("_y"), *names).unpivot(["_y"], list(names), "feature", "v").filter("v is not null and _y in (0, 1)"))
     q = order_stats.quantiles(long, ["feature", "_y"], "v", {"m": 0.5})
-    iq = order_stats.quantiles(long, ["feature"], "v", {"a": 0.25, "b": 0.75}).drop("n")
     med = q.groupBy("feature").agg(F.max(F.when(F.col("_y") == 1, F.col("m"))).alias("_g"), F.max(F.when(F.col("_y") == 0, F.col("m"))).alias("_b"))
-    auc = ranking_metrics(long, "v", "_y", ["feature"]).select("feature", (2 * F.col("auc") - 1).alias("rank_biserial"))
-    return med.join(iq, "feature").join(auc, "feature").select("feature", div(F.col("_g") - F.col("_b"), F.greatest(F.col("b") - F.col("a"), F.lit(1e-12))).alias("median_difference"), "rank_biserial")
-
-
-def decile_monotonicity(df: DataFrame, feature: str, label: str, tie: str) -> DataFrame:
-    """Share of steps between neighbouring deciles where the label rate does not fall."""
-    from .panel import buckets
-
-    g = buckets(df.select(feature, label, tie), feature, [tie], 10).groupBy("bucket").agg(F.avg(label).alias("_y"))
-    g = g.withColumn("_d", F.col("_y") - F.lag("_y", 1).over(Window.partitionBy(F.lit(0)).orderBy("bucket")))
-    return g.agg(F.avg(F.when(F.col("_d").isNotNull(), flag(F.col("_d") >= 0))).alias("monotonicity"))
+    spread = long.groupBy("feature").agg(F.stddev_pop("v").alias("_s"), F.sum(F.col("_y").cast("double")).alias("_n1"), F.sum(1.0 - F.col("_y")).alias("_n0"))
+    ties = long.groupBy("feature", "v").agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy("feature").agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_t3"))
+    auc = ranking_metrics(long, "v", "_y", ["feature"]).select("feature", "auc")
+    d = med.join(spread, "feature").join(auc, "feature", "left").join(ties, "feature")
+    n, prod = F.col("_n1") + F.col("_n0"), F.col("_n1") * F.col("_n0")
+    sd = F.sqrt(prod / 12 * (n + 1 - F.col("_t3") / (n * (n - 1))))
+    z = (F.abs(F.col("auc") * prod - prod / 2) - 0.5) / sd
+    return d.select("feature", div(F.col("_g") - F.col("_b"), F.nullif(F.col("_s"), F.lit(0.0))).alias("median_difference"), (2 * F.col("auc") - 1).alias("rank_biserial"),
+                    F.when((prod > 0) & (sd > 0), F.least(F.lit(1.0), _two_sided(z))).alias("mann_whitney_p"))
+
+
+def _two_sided(z: Column) -> Column:
+    """P(|N| > z) for a standard normal N, by the Abramowitz-Stegun 7.1.26 form of erfc (error below 1.5e-7)."""
+    x = F.greatest(z, F.lit(0.0)) / math.sqrt(2.0)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)
+
+
+def value_bins(df: DataFrame, feature: str, n: int = 10) -> DataFrame:
+    """Rows with ``bin``: n quantile bins closed above, equal edges merged, the lowest value in the first bin."""
+    edges = order_stats.quantiles(df.filter(F.col(feature).isNotNull()).withColumn("_all", F.lit(0)), ["_all"], feature, {f"q{i}": i / n for i in range(n + 1)})
+    e = edges.select(F.array_sort(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(n + 1)]))).alias("_edges"))  # one row
+    d = df.filter(F.col(feature).isNotNull()).crossJoin(F.broadcast(e))
+    below = F.size(F.filter("_edges", lambda x: x < F.col(feature)))
+    return d.withColumn("bin", F.greatest(below - 1, F.lit(0))).drop("_edges")
+
+
+def decile_monotonicity(df: DataFrame, feature: str, label: str) -> DataFrame:
+    """Correlation of bin number and label rate over value deciles with merged edges; NULL under two bins or without variation."""
+    g = value_bins(df.select(feature, label), feature).groupBy("bin").agg(F.avg(label).alias("_y"))
+    return g.agg(F.when((F.count(F.lit(1)) >= 2) & (F.count_distinct("_y") > 1), F.corr(F.col("bin").cast("double"), "_y")).alias("monotonicity"))
+
+
+def binned_mutual_information(df: DataFrame, names: Sequence[str], label: str, n: int = 10) -> DataFrame:
+    """Mutual information in nats of each feature's value bins with a label, from one grouped count over all rows."""
+    out = None
+    for name in names:
+        c = value_bins(df.select(name, label), name, n).groupBy("bin", label).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+        c = c.select(F.lit(name).alias("feature"), "bin", F.col(label).alias("_l"), "_c")
+        out = c if out is None else out.unionByName(c)
+    w = lambda *k: Window.partitionBy("feature", *k)  # at most n bins per label value
+    p = out.withColumns({"_n": F.sum("_c").over(w()), "_b": F.sum("_c").over(w("bin")), "_y": F.sum("_c").over(w("_l"))})
+    return p.groupBy("feature").agg(F.sum(F.col("_c") / F.col("_n") * F.log(F.col("_c") * F.col("_n") / (F.col("_b") * F.col("_y")))).alias("mutual_information"))
 
 
 # --- breakdowns ------------------------------------------------------------------------------------------------

@@ -70,18 +70,22 @@ def zscore(w, c, k: int) -> Column:
     return F.when((F.count(c_(c)).over(fr) >= k) & (sd > 0), div(c_(c) - F.avg(c_(c)).over(fr), sd))
 
 
-def rolling_rank(w, c, k: int, mode: str) -> Column:
+def rolling_rank(w, c, k: int, mode: str, min_periods: int | None = None) -> Column:
     """Percentile of the current value in the trailing k rows.
 
     average: average-tie rank / n, current included; inclusive: share <= current,
     current included; exclusive: share of the k rows before it that are <= current.
+    Only finite values count, a value that is not finite has no percentile, and ``min_periods`` (k if not given)
+    finite values must be there.
     """
-    vals = F.collect_list(c_(c)).over(k_rows(w, k, 1 if mode == "exclusive" else 0))
+    x = c_(c).cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    vals = F.collect_list(F.when(finite, x)).over(k_rows(w, k, 1 if mode == "exclusive" else 0))
     n = F.size(vals)
     le = F.size(F.filter(vals, lambda x: x <= c_(c)))
     lt = F.size(F.filter(vals, lambda x: x < c_(c)))
     pct = div(lt + (le - lt + 1) / 2.0, n) if mode == "average" else div(le, n)
-    return F.when(n >= k, pct)
+    return F.when(finite & (n >= max(1, k if min_periods is None else min_periods)), pct)
 
 
 def beta_corr(w, x="ret", ref="ref_ret", k: int = 24, lag: int = 0, limit: float | None = None) -> dict[str, Column]:

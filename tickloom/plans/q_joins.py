@@ -123,11 +123,11 @@ def _(v):
 
 
 @query("causal_predecessor_match", "scored", """
-a AS (SELECT id, symbol, side, id//40 AS ep, ts FROM scored WHERE regime='F'), b AS (SELECT id, symbol, side, id//40 AS ep, ts FROM scored WHERE regime='O')
+a AS (SELECT id, symbol, side, id//40 AS ep, ts FROM scored WHERE regime='F'), b AS (SELECT id, symbol, side, id//40 AS ep, ts FROM scored WHERE regime<>'F')
 SELECT a.id, count(b.id) AS matches, arg_max(b.id, b.ts::HUGEINT*100000000+b.id) AS previous_id FROM a LEFT JOIN b ON a.symbol=b.symbol AND a.side=b.side AND a.ep=b.ep AND b.ts<=a.ts GROUP BY 1""")
 def _(v):
     x = v.scored.select("id", "symbol", "side", "regime", F.floor(F.col("id") / 40).alias("ep"), F.col("ts").alias("entry_at"))
-    return J.match_predecessor(x.filter("regime = 'F'"), x.filter("regime = 'O'"), ["symbol", "side", "ep"], strict=False)
+    return J.match_predecessor(x.filter("regime = 'F'"), x.filter("regime <> 'F'"), ["symbol", "side", "ep"], strict=False)
 
 
 @query("signal_to_fill_match", "ticks signals", """
@@ -155,12 +155,12 @@ def _(v):
 
 
 @query("pivot_unpivot", "bars", """
-w AS (SELECT ts, max(close) FILTER (symbol='click') AS click, max(close) FILTER (symbol='error') AS error, max(close) FILTER (symbol='purchase') AS purchase FROM bars GROUP BY 1),
-l AS (UNPIVOT w ON click, error, purchase INTO NAME feature VALUE value)
+w AS (SELECT ts, max(close) FILTER (symbol='click') AS click, max(close) FILTER (symbol='error') AS error, max(close) FILTER (symbol='purchase') AS purchase, max(close) FILTER (symbol='signup') AS signup, max(close) FILTER (symbol='view') AS view FROM bars GROUP BY 1),
+l AS (UNPIVOT w ON click, error, purchase, signup, view INTO NAME feature VALUE value)
 SELECT ts, feature, value FROM l""")
 def _(v):
-    w = J.pivot_symbols(v.bars, "close", ["click", "error", "purchase"])
-    return J.unpivot_features(w, ["ts"], ["click", "error", "purchase"]).filter("value is not null")
+    names = ["click", "error", "purchase", "signup", "view"]
+    return J.unpivot_features(J.pivot_symbols(v.bars, "close", names), ["ts"], names).filter("value is not null")
 
 
 @query("contract_cross_grid", "bars", """

@@ -49,18 +49,31 @@ def _(v):
 FE = ["score", "p_clean", "p_danger", "mae"]
 
 
-@query("linear_logistic_fit")
+@query("linear_logistic_fit", "scored", """
+y AS (SELECT (score+p_clean-p_danger>0.4)::INT AS y FROM scored)
+SELECT count(*) AS n, 0.0::DOUBLE AS intercept_equation, 0.0::DOUBLE AS score_equation, round(avg(y),4)+0.0 AS mean_p, round(0.5::DOUBLE,4) AS mean_balanced_p FROM y""")
 def _(v):
+    # the fit is checked by what defines it: penalised score equations, and weighted rates under balanced weights
     d = v.scored.withColumn("y", (F.col("score") + F.col("p_clean") - F.col("p_danger") > 0.4).cast("double"))
     p = M.exported(M.fit_linear(d, FE, "y", "logistic", 0.001), FE)
-    return d.select(M.score_linear(p).alias("p"), "y").groupBy("y").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"))
+    q = M.exported(M.fit_linear(d, FE, "y", "logistic", 0.001, weight="balanced"), FE)
+    e = M.balanced(d.withColumns({"p": M.score_linear(p), "q": M.score_linear(q)}), "y", "w")
+    worst = F.greatest(*[F.abs(F.avg((F.col(n) - mu) / sd * (F.col("p") - F.col("y"))) + 0.001 * c) for n, mu, sd, c in zip(FE, p["mean"], p["scale"], p["coef"])])
+    return e.agg(F.count("*").alias("n"), (F.round(F.avg(F.col("p") - F.col("y")), 4) + 0.0).alias("intercept_equation"), (F.round(worst, 4) + 0.0).alias("score_equation"),
+                 (F.round(F.avg("p"), 4) + 0.0).alias("mean_p"), F.round(F.sum(F.col("w") * F.col("q")) / F.sum("w"), 4).alias("mean_balanced_p"))
 
 
-@query("tree_fit")
+@query("tree_fit", "scored", "SELECT count(*) AS n, true AS few_leaves, 0.0::DOUBLE AS worst_leaf_gap, true AS better_than_rate FROM scored")
 def _(v):
+    # one tree over all rows: a leaf predicts the rate of its rows, and boosting has to beat the overall rate
     d = v.scored.withColumn("y", (F.col("score") * F.col("p_clean") > 0.2).cast("double"))
-    out = M.predict(M.fit_trees(d, FE, "y", "gbt", trees=5), d, "p")
-    return out.groupBy("y").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"))
+    one = M.predict(M.fit_trees(d, FE, "y", "forest", trees=1), d, "p").groupBy("p").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
+    one = one.agg(F.sum("n").alias("n"), (F.count("*") <= 8).alias("few_leaves"), (F.round(F.max(F.abs(F.col("p") - F.col("y"))), 6) + 0.0).alias("worst_leaf_gap"))
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p")))
+    loss = lambda c: -F.avg(F.col("y") * F.log(c) + (1 - F.col("y")) * F.log(1 - c))
+    b = M.predict(M.fit_trees(d, FE, "y", "gbt", trees=5), d, "p")
+    b = b.crossJoin(F.broadcast(d.agg(F.avg("y").alias("_r")))).agg((loss(p) < loss(F.col("_r"))).alias("better_than_rate"))
+    return one.crossJoin(F.broadcast(b))
 
 
 @query("pairwise_ranker")
@@ -109,14 +122,15 @@ def _(v):
 
 
 @query("contract_assignment", "scored", """
-r AS (SELECT id, symbol AS regime, 'C' || c AS contract, net*c+(id%7)/1000.0::DOUBLE*(4-c) AS u FROM scored, range(1,4) t(c) WHERE NOT (symbol='5-LOW' AND id%5<>0)), g AS (SELECT regime, contract, count(*) AS n, avg(u) AS m FROM r GROUP BY 1,2), a AS (SELECT contract, count(*) AS n, avg(u) AS m FROM r GROUP BY 1),
+r AS (SELECT id, symbol AS regime, 'C' || c AS contract, net*c+(id%7)/1000.0::DOUBLE*(4-c) AS u FROM scored, range(1,4) t(c)), g AS (SELECT regime, contract, count(*) AS n, avg(u) AS m FROM r GROUP BY 1,2), a AS (SELECT contract, count(*) AS n, avg(u) AS m FROM r GROUP BY 1),
 gb AS (SELECT * FROM a ORDER BY round(m,12) DESC, contract DESC LIMIT 1), z AS (SELECT regime, count(DISTINCT id) AS sz FROM r GROUP BY 1), l AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY round(m,12) DESC, contract DESC) AS rn FROM g WHERE n>=100)
-SELECT z.regime, CASE WHEN sz>=1000 THEN 'REGIME' ELSE 'GLOBAL' END AS source, CASE WHEN sz>=1000 THEN l.contract ELSE gb.contract END AS contract, round(CASE WHEN sz>=1000 THEN l.m ELSE gb.m END,8)+0.0 AS mean_utility, CASE WHEN sz>=1000 THEN l.n ELSE gb.n END AS n FROM z, gb, l WHERE l.regime=z.regime AND l.rn=1""")
+SELECT z.regime, CASE WHEN sz>=(SELECT median(sz) FROM z) THEN 'REGIME' ELSE 'GLOBAL' END AS source, CASE WHEN sz>=(SELECT median(sz) FROM z) THEN l.contract ELSE gb.contract END AS contract, round(CASE WHEN sz>=(SELECT median(sz) FROM z) THEN l.m ELSE gb.m END,8)+0.0 AS mean_utility, CASE WHEN sz>=(SELECT median(sz) FROM z) THEN l.n ELSE gb.n END AS n FROM z, gb, l WHERE l.regime=z.regime AND l.rn=1""")
 def _(v):
     c = F.col("c")
-    d = v.scored.filter("not (symbol = '5-LOW' and id % 5 <> 0)").withColumn("c", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    d = v.scored.withColumn("c", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
     r = d.select("id", F.col("symbol").alias("regime"), F.concat(F.lit("C"), c.cast("string")).alias("contract"), (F.col("net") * c + (F.col("id") % 7) / 1000.0 * (4 - c)).alias("utility"))
-    return rnd(S.assign_contracts(r, 1000, 100), 8)
+    least = v.scored.groupBy("symbol").count().agg(F.percentile("count", F.lit(0.5))).first()[0]  # half of the regimes are too small for a contract of their own
+    return rnd(S.assign_contracts(r, least, 100), 8)
 
 
 @query("model_competition", "scored", """

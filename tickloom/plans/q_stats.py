@@ -144,12 +144,13 @@ def _(v):
 
 
 @query("synchronised_calendar_bootstrap", "scored", f"""
-y AS (SELECT ts//{D}-9131 AS d, sum(net) AS s, count(*) AS c FROM scored WHERE ts//{D}-9131 BETWEEN 0 AND 729 GROUP BY 1),
-g AS (SELECT r.r AS rep, j.j AS j, o.o AS o, ('0x' || substr(sha256('cal|' || r.r || '|' || j.j),1,15))::BIGINT % 724 + o.o AS d FROM range(50) r(r), range(53) j(j), range(7) o(o) WHERE j.j*7+o.o<365),
+b AS (SELECT min(ts//{D}) AS lo, max(ts//{D})-min(ts//{D})+1 AS days FROM scored), y AS (SELECT ts//{D}-lo AS d, sum(net) AS s, count(*) AS c FROM scored, b GROUP BY 1),
+g AS (SELECT r.r AS rep, j.j AS j, o.o AS o, ('0x' || substr(sha256('cal|' || r.r || '|' || j.j),1,15))::BIGINT % ((SELECT days FROM b)-6) + o.o AS d FROM range(50) r(r), range(53) j(j), range(7) o(o) WHERE j.j*7+o.o<365),
 m AS (SELECT rep, coalesce(sum(s)/sum(c),0) AS m FROM g LEFT JOIN y USING (d) GROUP BY 1)
 SELECT round(avg(m),9)+0.0 AS mean, round(quantile_cont(m,0.5),9)+0.0 AS median, round(quantile_disc(m,0.05),9)+0.0 AS p5, round(quantile_disc(m,0.95),9)+0.0 AS p95 FROM m""")
 def _(v):
-    return rnd(S.calendar_bootstrap(v.scored, "net", 50, "cal", 9131, 730), 9)
+    b = v.scored.agg(F.min(F.floor(F.col("ts") / DAY)).alias("lo"), F.max(F.floor(F.col("ts") / DAY)).alias("hi")).first()
+    return rnd(S.calendar_bootstrap(v.scored, "net", 50, "cal", b.lo, b.hi - b.lo + 1), 9)
 
 
 @query("circular_shift_null", "scored", f"""
@@ -194,10 +195,7 @@ r AS (SELECT ts, rank() OVER (PARTITION BY ts ORDER BY score)+(count(*) OVER (PA
 g AS (SELECT ts, count(*) AS n, CASE WHEN var_pop(rx)>0 AND var_pop(ry)>0 THEN corr(rx,ry) END AS c FROM r GROUP BY 1)
 SELECT count(*) AS timestamps, round(avg(c),7)+0.0 AS mean_ic, round(avg((c>1e-12)::INT),7)+0.0 AS positive_share FROM g WHERE n>=3 AND c IS NOT NULL""")
 def _(v):
-    from ..operators.panel import pct_rank
-    d = v.scored.withColumns({"_rx": pct_rank("score"), "_ry": pct_rank("net")}).groupBy("ts").agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("c"), F.var_pop("_rx").alias("a"), F.var_pop("_ry").alias("b"))
-    share = d.filter("n >= 3 and a > 0 and b > 0").agg(F.avg((F.col("c") > 1e-12).cast("double")).alias("positive_share"))
-    return rnd(S.mean_spearman_by_ts(v.scored, "score", "net").drop("positive_share").crossJoin(share), 7)
+    return rnd(S.mean_spearman_by_ts(v.scored, "score", "net"), 7)
 
 
 @query("rank_auc_ap", "scored", """
@@ -248,16 +246,31 @@ def _(v):
 
 @query("feature_separation", "scored", """
 l AS (UNPIVOT (SELECT label, score, mae, size FROM scored) ON score, mae, size INTO NAME feature VALUE v),
-m AS (SELECT feature, median(v) FILTER (label=1) AS g, median(v) FILTER (label=0) AS b, quantile_cont(v,0.75)-quantile_cont(v,0.25) AS iqr FROM l GROUP BY 1),
+m AS (SELECT feature, median(v) FILTER (label=1) AS g, median(v) FILTER (label=0) AS b, stddev_pop(v) AS sd, (count(*) FILTER (label=1))::DOUBLE AS n1, (count(*) FILTER (label=0))::DOUBLE AS n0 FROM l GROUP BY 1),
 r AS (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY v)+(count(*) OVER (PARTITION BY feature, v)-1)/2.0 AS rk FROM l),
 a AS (SELECT feature, (sum(rk) FILTER (label=1)-count(*) FILTER (label=1)*(count(*) FILTER (label=1)+1)/2.0)/(count(*) FILTER (label=1)*count(*) FILTER (label=0)) AS auc FROM r GROUP BY 1),
-d AS (SELECT 1+(row_number() OVER (ORDER BY size, id)-1)*10//count(*) OVER () AS bk, label FROM scored), e AS (SELECT bk, avg(label) AS y FROM d GROUP BY 1), s AS (SELECT y-lag(y) OVER (ORDER BY bk) AS df FROM e)
-SELECT feature, round((g-b)/greatest(iqr,1e-12),8)+0.0 AS median_difference, round(2*auc-1,8)+0.0 AS rank_biserial, (SELECT round(avg((df>=0)::INT),8)+0.0 FROM s WHERE df IS NOT NULL) AS size_monotonicity FROM m JOIN a USING (feature)""")
-def _(v):
-    m = S.decile_monotonicity(v.scored, "size", "label", "id").select(F.col("monotonicity").alias("size_monotonicity"))
+t AS (SELECT feature, sum(c*c*c-c) AS t3 FROM (SELECT feature, v, count(*)::DOUBLE AS c FROM l GROUP BY 1,2) GROUP BY 1),
+z AS (SELECT *, greatest(0, (abs(auc*n1*n0-n1*n0/2)-0.5)/sqrt(n1*n0/12*(n1+n0+1-t3/((n1+n0)*(n1+n0-1)))))/sqrt(2.0) AS x FROM m JOIN a USING (feature) JOIN t USING (feature)), y AS (SELECT *, 1/(1+0.3275911*x) AS u FROM z),
+q AS (SELECT list_sort(list_distinct(quantile_cont(size, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e FROM scored),
+d AS (SELECT greatest(0, len(list_filter(e, lambda k: k<size))-1) AS bin, avg(label) AS y FROM scored, q GROUP BY 1)
+SELECT feature, round((g-b)/nullif(sd,0),8)+0.0 AS median_difference, round(2*auc-1,8)+0.0 AS rank_biserial,
+ round(least(1, u*(0.254829592+u*(-0.284496736+u*(1.421413741+u*(-1.453152027+u*1.061405429))))*exp(-x*x)),8)+0.0 AS mann_whitney_p, (SELECT round(corr(bin,y),8)+0.0 FROM d) AS size_monotonicity FROM y""")
+def _(v):
+    m = S.decile_monotonicity(v.scored, "size", "label").select(F.col("monotonicity").alias("size_monotonicity"))
     return rnd(S.feature_separation(v.scored, ["score", "mae", "size"], "label").crossJoin(F.broadcast(m)), 8)
 
 
+_MI = lambda c: f"""(WITH q AS (SELECT list_sort(list_distinct(quantile_cont({c}, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e FROM scored),
+ c AS (SELECT greatest(0, len(list_filter(e, lambda k: k<{c}))-1) AS bin, label, count(*)::DOUBLE AS c FROM scored, q GROUP BY 1,2),
+ p AS (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY bin) AS b, sum(c) OVER (PARTITION BY label) AS y FROM c)
+ SELECT '{c}' AS feature, round(sum(c/n*ln(c*n/(b*y))),8)+0.0 AS mutual_information FROM p)"""
+
+
+@query("binned_mutual_information", "scored", f"SELECT * FROM {_MI('score')} UNION ALL SELECT * FROM {_MI('mae')} UNION ALL SELECT * FROM {_MI('size')}")
+def _(v):
+    return rnd(S.binned_mutual_information(v.scored, ["score", "mae", "size"], "label"), 8)
+
+
 @query("label_alignment", "scored", """
 b AS (SELECT net, side, symbol, regime, score>0.6 AS hi, p_danger<0.3 AS safe FROM scored), l AS (SELECT net, side, symbol, regime, 'hi' AS label, hi::INT AS o FROM b UNION ALL SELECT net, side, symbol, regime, 'safe', safe::INT FROM b)
 SELECT label, side, symbol, regime, count(*) AS n, round(avg(o),8)+0.0 AS prevalence, round(avg(net) FILTER (o=1),8)+0.0 AS selected_mean, round(avg(net) FILTER (o=0),8)+0.0 AS other_mean, round(sum((o=1 AND net>0)::INT)/nullif(sum((net>0)::INT),0)::DOUBLE,8)+0.0 AS positive_recall,
