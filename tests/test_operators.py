@@ -5,10 +5,10 @@ import itertools
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tickloom.functions import scalars as S
-from tickloom.operators import book, controls, events, joins, panel, paths, quality, resample, splits, stats
+from tickloom.operators import book, controls, events, joins, panel, paths, quality, resample, splits, stats, windows
 from tickloom.sources import readers, sinks
 
 B = "symbol string, ts long, open double, high double, low double, close double, volume double, buy_volume double, trades long"
@@ -243,3 +243,32 @@ def test_cross_rank_ties(frame):
     d = frame([(1, "a", 1.0), (1, "b", 2.0), (1, "c", 2.0), (1, "d", 3.0), (2, "a", 5.0)], "ts long, symbol string, x double")
     got = {(r.ts, r.symbol): r.m for r in d.select("ts", "symbol", panel.mid_rank("x").alias("m")).collect()}
     assert got == {(1, "a"): 0.0, (1, "b"): 0.5, (1, "c"): 0.5, (1, "d"): 1.0, (2, "a"): 0.0}
+
+
+def test_rolling_rank_counts_finite_values(frame):
+    x = [1.0, float("inf"), 3.0, None, 2.0, float("nan"), 5.0]
+    d = frame([("A", i, v) for i, v in enumerate(x)], "symbol string, ts long, x double")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    got = {r.ts: (r.a, r.e) for r in d.select("ts", windows.rolling_rank(w, "x", 4, "inclusive", 2).alias("a"), windows.rolling_rank(w, "x", 4, "exclusive", 1).alias("e")).collect()}
+    assert got == {0: (None, None), 1: (None, None), 2: (1.0, 1.0), 3: (None, None), 4: (0.5, 0.5), 5: (None, None), 6: (1.0, 1.0)}
+
+
+def test_digest_has_one_row_at_any_size(frame):
+    d = frame([(i, i % 3) for i in range(40)], "id long, x int")
+    rows = sinks.content_digest(d, "id", "id", chunk=2).collect()
+    assert len(rows) == 1 and rows[0].rows == 40
+    assert sinks.content_digest(d.limit(0), "id", "id", chunk=2).collect()[0].rows == 0
+
+
+def test_ticks_keep_small_notionals(frame):
+    t = frame([("A", i, 0.001 * (i + 1), 1.0, 1, i) for i in range(2)], "symbol string, ts long, price double, qty double, sgn int, event_id long")
+    assert abs(resample.ticks_to_bars(t, 1000).collect()[0].volume - 0.003) < 1e-12
+
+
+def test_regime_match_searches_the_whole_stratum(frame):
+    pool = frame([("s", t) for t in range(300)], "g string, ts long")
+    ev = frame([(1, "s", 150), (2, "s", 10), (3, "none", 5)], "id long, g string, ts long")
+    far = {r.id: r.control_ts for r in controls.regime_matched(ev, pool, ["g"], "id", "x", 140).collect()}
+    assert far[1] is not None and abs(far[1] - 150) > 140 and abs(far[2] - 10) > 140 and far[3] is None
+    none = {r.id: r.control_ts for r in controls.regime_matched(ev, pool, ["g"], "id", "x", 400).collect()}
+    assert none == {1: None, 2: None, 3: None}
