@@ -58,6 +58,7 @@ GOLDEN = {
 }
 
 
+# The constants of the 60-bar input that the golden values belong to.
 def snapshot():
     rows, step = [], 5 * 60 * 1_000_000
     for s in range(11):

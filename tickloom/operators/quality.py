@@ -22,11 +22,12 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def fail_if(df: DataFrame, bad: Column, message: str) -> DataFrame:
-    """Rows pass through; an offending row fails the job when it is computed.
+    """Rows pass through; an offending row fails the job, also if a later filter would remove it.
 
-    Spark may run a later filter first, so a row that filter removes is not checked.
+    The check is a projected column that counts as non-deterministic, so no filter or join moves below it.
     """
-    return df.filter(F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
+    ok = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.monotonically_increasing_id() >= 0)
+    return df.withColumn("_checked", ok).filter("_checked").drop("_checked")
 
 
 def bar_quality(bars: DataFrame, step: int, version: str | None = None) -> DataFrame:

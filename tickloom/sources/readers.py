@@ -174,7 +174,8 @@ def parse_journal(lines: DataFrame, id_col: str, schema: str) -> DataFrame:
 
 def read_journal(spark: SparkSession, path: str, id_col: str, schema: str) -> DataFrame:
     """Identity-checked rows of a JSON-lines journal; conflicting payloads of one identity fail."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
+    # file, place of the split in it, and order within the split: the order of the lines however files are split
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line")).alias("seq"))
     d = parse_journal(lines, id_col, schema)
     # one predicate: Catalyst may reorder two filters and drop a conflict before it is seen
     keep = F.when(F.col("status") == "conflict", F.raise_error(F.lit("conflicting payloads")).cast("boolean")).otherwise(F.col("status") == "ok")
