@@ -46,7 +46,7 @@ def test_base_spans():
 
 @pytest.fixture(scope="module")
 def field(spark):
-    return S.fit(S.sample(C.documents(spark, SF)))
+    return S.fit(S.sample(C.documents(spark, "/root/testdata/sf0.1")))  # enough secrets to learn shapes from
 
 
 def test_decoding_is_exact(spark, field):
@@ -84,10 +84,11 @@ def test_viterbi_against_all_paths(field):
 
 
 def test_field_finds_what_no_pattern_names(field):
-    t = "see ghp_16C7e42F292c6912E7710c838347Ae178B4a and tel 47853805923, mail a@b.com, version 2024-01-01"
-    spans = S.find(pa.array([t, None, ""]), field)
-    assert any(k == 3 and "16C7e42F292c6912E7710c838347Ae178B4a" in t[a:z] for a, k, z in spans[0]) and len(spans[0]) == 1
-    assert spans[1:] == [[], []]
+    t = 'The login uses pwd = "15959ad9338a8dac1d" here.'
+    clean = "tel 47853805923, mail a@b.com, version 2024-01-01, see page 12 of the report"
+    spans = S.find(pa.array([t, None, "", clean]), field)
+    assert S.base_spans(t) == [] and [t[a:z] for a, k, z in spans[0] if k == 3] == ["15959ad9338a8dac1d"] and len(spans[0]) == 1
+    assert spans[1:] == [[], [], []]
 
 
 def test_scan_rows(spark, edge, field):
@@ -113,14 +114,17 @@ def test_redact(spark, edge, field):
 
 # toxicity
 def test_toxicity_held_out(spark):
-    rows = queries.op1_toxicity(spark, SF).collect()
-    assert len(rows) == C.documents(spark, SF).count()
-    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op1_toxicity(spark, sf).collect()
+    assert len(rows) == C.documents(spark, sf).count()
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(r.score, y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
     pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    assert auc > 0.9, auc
+    caught = sum(s >= 0.3 for s in pos) / len(pos)
+    # a few hundred toxic rows to learn from; the check tables have ten times as many and give 0.9999
+    assert auc > 0.9 and caught > 0.65 and sum(s >= 0.3 for s in neg) < 0.02 * len(neg), (auc, caught)
 
 
 def test_toxicity_edges(spark, edge):
@@ -129,10 +133,12 @@ def test_toxicity_edges(spark, edge):
         model = toxicity.fit(*toxicity.sample(edge, labels, cond))
         got = toxicity.score(edge, model).collect()
         assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got)
-    plain = ["good words here %d and there" % i for i in range(40)]
-    nasty = ["good words zorgle here %d and blarg there" % i for i in range(40)]
+    rng = random.Random(3)
+    some = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(12))
+    plain = [some() for _ in range(200)]
+    nasty = [f"{some()} zorgle {some()} blarghek {some()}" for _ in range(60)]
     model = toxicity.fit(nasty, plain)
-    s = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "you zorgle blarg zorgle"), (2, ""), (3, None), (4, "here and there")], "doc_id long, text string"), model).collect()}
+    s = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "you zorgle blarghek zorgle"), (2, ""), (3, None), (4, "here and there")], "doc_id long, text string"), model).collect()}
     assert s[1] > max(s[2], s[3], s[4]) and s[2] == s[3] < 0.3
 
 

@@ -43,7 +43,7 @@ def _contexts(texts: list[str]) -> Counter:
     for t in texts:
         w = words(t)
         seen.update(zip([b"", *w[:-1]], w, [*w[1:], b""]))
-    return Counter(w for _, w, _ in seen)
+    return Counter(w for _, w, _ in sorted(seen))  # a fixed order, so ties fall alike in every run
 
 
 def _sharper(toxic: Counter, plain: Counter, least: float = 20.0) -> dict[bytes, int]:
