@@ -47,6 +47,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, row_id: str, total
     return out.select(*[rows[c] for c in rows.columns], *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in extra])
 
 
+def smallest(rows: DataFrame, order: str, n: int) -> list:
+    """About the n rows with the least ``order`` (rows that tie with the last come too, at most as many again).
+
+    The bound is found on the order column alone, so tasks send the driver numbers, and then only the rows themselves.
+    """
+    edge = rows.select(order).orderBy(order).limit(n).agg(F.max(order)).first()[0]
+    if edge is None:
+        return []
+    return sorted(rows.filter(F.col(order) <= edge).limit(2 * n).collect(), key=lambda r: tuple(r))[:n]
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node reachable.
 

@@ -66,7 +66,7 @@ def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     t = F.col(text_col)
     d = df.filter(t.isNotNull() & F.col(label_col).isNotNull() & (F.length(t) <= most_chars))
     h = F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"))
-    return [(r.t, r.l) for r in d.select(h.alias("h"), t.alias("t"), F.col(label_col).alias("l")).orderBy("h", "t").limit(rows).collect()]
+    return [(r.t, r.l) for r in C.smallest(d.select(h.alias("h"), t.alias("t"), F.col(label_col).alias("l")), "h", rows)]
 
 
 def text_evidence(df: DataFrame, model: dict, most_evidence: int = 60) -> DataFrame:
@@ -80,7 +80,7 @@ def text_evidence(df: DataFrame, model: dict, most_evidence: int = 60) -> DataFr
         for batch in batches:
             data, off = T.utf8(batch.column(at))
             ll, size = np.zeros((batch.num_rows, len(table))), np.zeros(batch.num_rows, np.int64)
-            for i, j in T.chunks(off):
+            for i, j in T.chunks(off, 1 << 20):
                 lo = off[i]
                 b, doc = data[lo:off[j]], off[i:j + 1] - lo
                 if not len(b):
