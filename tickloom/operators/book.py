@@ -88,7 +88,7 @@ def book_episodes(l2: DataFrame, trades: DataFrame, anchors: DataFrame, windows:
     for w in windows:
         p = b.select("symbol", (F.col("ts") + w).alias("ts"), *[F.col(c).alias(f"_{c}") for c in ("generation", "mid", "spread_bps", "microprice_minus_mid_bps", "obi_l5", *names)])
         d = d.join(p, ["symbol", "ts"]).filter(F.col("_generation") == F.col("generation"))
-        d = d.withColumn("_lo", F.col("ts") - w)
+        d = scan.settled(d.withColumn("_lo", F.col("ts") - w))
         n = F.col("r_price") * F.col("r_amount")
         f = joins.range_agg(d.select("symbol", "ts", "_lo"), trades.select("symbol", "ts", "price", "amount", "side"), "_lo", "ts", [
             F.sum(F.when(F.col("r_side") == "buy", n).otherwise(0.0)).alias("_buy"), F.sum(F.when(F.col("r_side") == "sell", n).otherwise(0.0)).alias("_sell"), F.count(F.lit(1)).alias("_cnt"), F.avg((n >= large).cast("double")).alias("_lg")], "(]", w, ["symbol", "ts"])
