@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import text as T
+from . import common as C, text as T
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -283,7 +283,7 @@ def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs:
         hint = hint | t.contains(k)
     h = F.shiftrightunsigned(F.xxhash64(F.lit("crf"), F.col(id_col).cast("string")), 8)
     rows = df.filter(t.isNotNull() & (F.length(t) <= most_chars)).select(F.when(hint, h / 20).otherwise(h).alias("h"), t.alias("text"))
-    return [r.text for r in rows.orderBy("h", "text").limit(docs).collect()]
+    return [r.text for r in C.smallest(rows, "h", docs)]
 
 
 def find(texts, model: dict) -> list[list[tuple[int, int, int]]]:
