@@ -37,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training windows, with their ids."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1)
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, added=True)
 
 
 STAGES = [("language ID", identify), ("exact dedup", drop_copies), ("SimHash near-dedup", drop_near_copies), ("secret scans", redact_secrets), ("packing", pack)]

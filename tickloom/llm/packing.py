@@ -6,12 +6,14 @@ Every task packs the documents of its own partition, ``hold`` remainders at a ti
 bounded; windows less than ``fill`` full go on open into the next lot, the fullest first, at most half a lot.
 
 Null and empty texts are one end id.  Rows repeated with one id are packed each on its own.  An empty table gives no piece.
-Ids come from the merges of a ``tokenizers`` file; special tokens' strings in a text are ordinary text.
+Ids come from the merges of a ``tokenizers`` file.  With ``added``, strings of the file's added tokens in a text get those
+tokens' ids and the parts between are cut on their own, as ``Tokenizer.encode`` has it; else they are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +48,39 @@ def encoder(path: str):
     return many
 
 
+@lru_cache(2)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """Pattern and ids of the added tokens of a tokenizers file; of those that begin at one place the longest is taken."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens = spec.get("added_tokens") or []
+    if tokens and (spec.get("normalizer") or len({t["normalized"] for t in tokens}) > 1 or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens)):
+        raise ValueError(f"{path} does not find added tokens by their plain strings")
+    ids = {t["content"].encode(): t["id"] for t in tokens}
+    return re.compile(b"|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None, ids
+
+
+def with_added(data: np.ndarray, off: np.ndarray, path: str, merged) -> tuple[np.ndarray, np.ndarray]:
+    """merged(bytes, offsets) -> (ids, offsets of the texts in them), with the ids of added tokens where their strings stand."""
+    pattern, names = added_tokens(path)
+    raw = data.tobytes()
+    if pattern is None or not any(t in raw for t in names):
+        return merged(data, off)
+    found = [(d, *m.span(), names[m[0]]) for d in range(len(off) - 1) for m in pattern.finditer(raw, off[d], off[d + 1])]
+    if not found:
+        return merged(data, off)
+    doc, start, end, name = (np.array(c, np.int64) for c in zip(*found))
+    keep = np.ones(len(data), bool)
+    for a, z in zip(start, end):
+        keep[a:z] = False
+    gone = np.concatenate([[0], np.cumsum(end - start)])
+    # a text of k added tokens is k + 1 parts
+    parts = np.insert(off - gone[np.searchsorted(start, off)], doc + 1, start - gone[:-1])
+    ids, at = merged(data[keep], parts)
+    before = np.searchsorted(doc, np.arange(len(off)))
+    return np.insert(ids, at[doc + np.arange(len(doc)) + 1], name), np.asarray(at)[np.arange(len(off)) + before] + before
+
+
 class Windows:
     """Open windows by remaining capacity, under a segment tree of counts."""
 
@@ -96,10 +131,11 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def pack(df: DataFrame, path: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", hold: int = 4096, fill: float = 0.98) -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", hold: int = 4096, fill: float = 0.98, added: bool = False) -> DataFrame:
     """Pieces (id_col, start, length, ids as little-endian unsigned 32-bit binary, doc_tokens, sequence_id, offset)."""
     def run(batches):
         many, cache = encoder(path), bpe._caches.setdefault(path, T.WordCache(np.int32))
+        merged = lambda data, off: bpe.merged_ids(data, off, cache, many)
         base, used = TaskContext.get().partitionId() << 40, 0
         held: list[tuple] = []  # remainders: (length, id, start, bytes, doc_tokens)
 
@@ -139,7 +175,8 @@ def pack(df: DataFrame, path: str, end_id: int, window: int = 2048, id_col: str
             names = batch.column(0).to_pylist()
             for i, j in T.chunks(off, bpe.CHUNK):
                 lo = off[i]
-                ids, at = bpe.merged_ids(data[lo:off[j]], off[i:j + 1] - lo, cache, many)
+                part = data[lo:off[j]], off[i:j + 1] - lo
+                ids, at = with_added(*part, path, merged) if added else merged(*part)
                 raw, end = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
                 full: list[tuple] = []
                 for name, x, y in zip(names[i:j], at[:-1].tolist(), at[1:].tolist()):

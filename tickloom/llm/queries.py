@@ -72,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=1))
+    return packing.digest(packing.pack(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=1, added=True))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secret_scan, op4_rp_forest, op5_warc, op6_byte_bpe, op7_simhash, op8_sharding, op9_language_id, op10_packing)}
