@@ -2,7 +2,7 @@
 
 log posterior(l) = log prior(host, l) + s * text log-likelihood(l) + log P(declared | l) + log P(address | l).
 
-Text: hashed byte-trigram models, fitted on a bounded sample of rows with a language label, and a background model with all
+Text: hashed byte-trigram models, fitted on a bounded sample of the rows of each language label, and a background model with all
 trigrams alike ("und").  s makes a text count as at most ``most_evidence`` trigrams, since neighbours are not independent.
 Declared markup language and address suffix: their frequencies given the language that the text alone suggests, counted by
 grouped aggregation over all rows.  Host prior: counts of text posteriors per host, smoothed towards those of the domain,
@@ -61,12 +61,23 @@ def fit(rows: list[tuple[str, str]], least_rows: int = 5) -> dict:
     return {"langs": [*langs, UND], "table": np.array(table, np.float32)}
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 3000, most_chars: int = 20_000) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts of at most most_chars characters, by hash order."""
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 3000, most_chars: int = 20_000, each: int = 200) -> list[tuple[str, str]]:
+    """The first most_chars characters of texts of every label, by hash order: an equal share of ``rows`` for each label, or ``each`` if that is more."""
     t = F.col(text_col)
-    d = df.filter(t.isNotNull() & F.col(label_col).isNotNull() & (F.length(t) <= most_chars))
-    h = F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"))
-    return [(r.t, r.l) for r in C.smallest(d.select(h.alias("h"), t.alias("t"), F.col(label_col).alias("l")), "h", rows)]
+    d = df.filter(t.isNotNull() & F.col(label_col).isNotNull())
+    sizes = d.groupBy(F.col(label_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
+        return []
+    most = max(each, rows // len(sizes))
+    # rows whose hash lies under a bound by their label's size: six deviations more than wanted, so that hardly any draw falls short
+    span = 1 << 40
+    bounds = df.sparkSession.createDataFrame([(r.l, min(span, int(span * (most + 6 * most ** 0.5 + 10) / r.n))) for r in sizes], "_l string, bound long")
+    h = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"), t), F.lit(span))
+    drawn = d.join(F.broadcast(bounds), F.col(label_col) == F.col("_l")).withColumn("h", h).filter("h < bound")
+    got: dict[str, list[tuple[int, str]]] = {}
+    for r in drawn.select("h", F.substring(t, 1, most_chars).alias("t"), "_l").collect():
+        got.setdefault(r["_l"], []).append((r.h, r.t))
+    return [(text, label) for label in sorted(got) for _, text in sorted(got[label])[:most]]
 
 
 def text_evidence(df: DataFrame, model: dict, most_evidence: int = 60) -> DataFrame:
