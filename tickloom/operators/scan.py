@@ -136,7 +136,7 @@ def k_rows(w, k: int, lag: int = 0):
     return w.rowsBetween(-k + 1 - lag, -lag)
 
 
-SUPER, REACH = 256, 1024
+SUPER = 256
 
 
 def _after(acc, e) -> Column:
@@ -179,6 +179,20 @@ def _weight_of_past(gap: Column, alpha: float) -> Column:
     return F.when(gap.isNull(), F.lit(0.0)).when(gap == 1, F.lit(1.0 - alpha)).otherwise(d / (d + alpha))
 
 
+def _entering(t: DataFrame, by: list[str], at: str, names: list[str], levels: int) -> DataFrame:
+    """t with _in_*: the value that enters each affine step _w_*, folded from a key's first step on by so many levels of groups."""
+    if not levels:
+        w = Window.partitionBy(*by).orderBy(at).rowsBetween(UP, -1)
+        return t.withColumns({f"_in_{n}": F.aggregate(F.collect_list(f"_w_{n}").over(w), F.lit(0.0), lambda acc, e: e["a"] * acc + e["c"]) for n in names})
+    up = f"{at}_up"
+    w = Window.partitionBy(*by, up).orderBy(at).rowsBetween(UP, -1)
+    t = t.withColumn(up, F.floor(F.col(at) / SUPER))
+    t = t.withColumns({f"_pre_{n}": F.aggregate(F.collect_list(f"_w_{n}").over(w), _same(), _after) for n in names})
+    top = t.groupBy(*by, up).agg(*[F.max_by(_after(F.col(f"_pre_{n}"), F.col(f"_w_{n}")), at).alias(f"_w_{n}") for n in names])
+    top = _entering(top, by, up, names, levels - 1).select(*by, up, *[F.col(f"_in_{n}").alias(f"_y_{n}") for n in names])
+    return t.join(top, [*by, up], "left").withColumns({f"_in_{n}": F.col(f"_pre_{n}")["a"] * F.col(f"_y_{n}") + F.col(f"_pre_{n}")["c"] for n in names})
+
+
 def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: dict[str, tuple] | None = None,
                 runs: dict[str, Column] | None = None, skip: int = 0, block: int = 256, slice_width: int = DAY) -> DataFrame:
     """Exponential recurrences and run lengths in one pass over row blocks.
@@ -189,7 +203,7 @@ def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: di
     ``runs`` maps an output to a state column: how many rows ending here share the state.
 
     A block is one affine step from the value that enters it to the one that leaves it.  Steps are folded over groups of
-    SUPER blocks and then over the last REACH groups, so the result is exact in double precision.  Blocks are as short as
+    SUPER blocks, groups of groups and then all of a key's largest groups, so the result is exact in double precision.  Blocks are as short as
     the decay asks for, so no power leaves the range of a double.  A run continues into a block when the states meet at
     its edge.  One table with a row per block serves all outputs.
     """
@@ -232,13 +246,7 @@ def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: di
             past = _weight_of_past(e["f"] - F.col(f"_last_{n}"), alpha)
             t = t.withColumn(f"_w_{n}", F.when(e.isNull(), _same()).otherwise(F.struct((F.exp(e["l"]) * past).alias("a"), (F.exp(e["l"]) * ((1 - past) * e["x"] + e["s"])).alias("c"))))
     if steps:
-        ws = Window.partitionBy(*by, "_sup").orderBy("_blk").rowsBetween(UP, -1)
-        t = t.withColumn("_sup", F.floor(F.col("_blk") / SUPER))
-        t = t.withColumns({f"_pre_{n}": F.aggregate(F.collect_list(f"_w_{n}").over(ws), _same(), _after) for n in steps})
-        top = t.groupBy(*by, "_sup").agg(*[F.max_by(_after(F.col(f"_pre_{n}"), F.col(f"_w_{n}")), "_blk").alias(f"_t_{n}") for n in steps])
-        wt = Window.partitionBy(*by).orderBy("_sup").rowsBetween(-REACH, -1)
-        top = top.select(*by, "_sup", *[F.aggregate(F.collect_list(f"_t_{n}").over(wt), F.lit(0.0), lambda acc, e: e["a"] * acc + e["c"]).alias(f"_y_{n}") for n in steps])
-        t = t.join(top, by + ["_sup"], "left").withColumns({f"_in_{n}": F.col(f"_pre_{n}")["a"] * F.col(f"_y_{n}") + F.col(f"_pre_{n}")["c"] for n in steps})
+        t = _entering(t, by, "_blk", list(steps), 2 if block >= 64 else 3)
     for n, (_, alpha, mp) in emas.items():
         if alpha >= 1.0:
             y = F.coalesce(f"_o_{n}", f"_in_{n}")
