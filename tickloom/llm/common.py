@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -81,3 +81,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = e.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = stored(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "cc")
     raise RuntimeError("components did not settle")
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str = "pos", total: str = "n") -> DataFrame:
+    """rows with their 0-based position in their group by ``order``, and the group's number of rows; stored on the way.
+
+    Rows are dealt out by ranges of (group, order), so a hot group takes many tasks.  Each task counts as it streams over its
+    sorted rows, and one table row per (task, group) says how many came before.  group is a string without nulls; rows that
+    tie in the whole order may be numbered either way.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches):
+        task, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(group)).to_pylist()
+            local = []
+            for k in keys:
+                seen = seen + 1 if k == last else 0
+                last = k
+                local.append(seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(keys), pa.int32()), pa.array(local, pa.int64())], [*batch.schema.names, "_task", "_local"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    d = stored(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(run, f"{fields}, _task int, _local bigint"), "numbered")
+    w = Window.partitionBy(group).orderBy("_task")
+    parts = d.groupBy(group, "_task").agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.select(F.col(group).alias("_g"), F.col("_task").alias("_t"), F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                         F.sum("_c").over(Window.partitionBy(group)).alias(total))
+    d = d.join(parts, (F.col(group) == F.col("_g")) & (F.col("_task") == F.col("_t")))
+    return d.select(*rows.columns, (F.col("_off") + F.col("_local")).alias(name), total)

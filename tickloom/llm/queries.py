@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, common as C, exact_dedup, langid, packing, rp_forest, secret_scan, sharding, simhash, toxicity, warc
+from . import bpe, common as C, exact_dedup, langid, merkle, packing, rp_forest, secret_scan, sharding, simhash, sql, toxicity, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -75,9 +75,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=1, added=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secret_scan, op4_rp_forest, op5_warc, op6_byte_bpe, op7_simhash, op8_sharding, op9_language_id, op10_packing)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    low = {"text": F.translate("text", merkle.UPPER, merkle.UPPER.lower())}
+    rows = merkle.leaves(C.documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], changed=low, where=hit)
+    return merkle.manifest(rows).withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secret_scan, op4_rp_forest, op5_warc, op6_byte_bpe, op7_simhash, op8_sharding, op9_language_id, op10_packing, op12_merkle_manifest)}
 
 ORACLE = {
+    "op12_merkle_manifest": sql.merkle(),
     "op2_exact_dedup": r"""WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
         g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, t.h AS text_sha256 FROM t JOIN g ON t.h = g.h""",
