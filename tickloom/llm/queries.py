@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, common as C, exact_dedup, langid, merkle, packing, rp_forest, secret_scan, sharding, simhash, sql, toxicity, warc
+from . import bpe, common as C, exact_dedup, langid, lm, merkle, packing, rp_forest, secret_scan, sharding, simhash, sql, toxicity, trie, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -75,6 +75,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=1, added=True))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     low = {"text": F.translate("text", merkle.UPPER, merkle.UPPER.lower())}
@@ -82,9 +86,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(rows).withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secret_scan, op4_rp_forest, op5_warc, op6_byte_bpe, op7_simhash, op8_sharding, op9_language_id, op10_packing, op12_merkle_manifest)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    return lm.score(docs, lm.fit(docs, ~held), keep={"held_out": held})
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_secret_scan, op4_rp_forest, op5_warc, op6_byte_bpe, op7_simhash, op8_sharding, op9_language_id, op10_packing, op11_prefix_trie, op12_merkle_manifest, op13_lm_scoring)}
 
 ORACLE = {
+    "op11_prefix_trie": sql.prefix_trie(),
     "op12_merkle_manifest": sql.merkle(),
     "op2_exact_dedup": r"""WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
         g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)

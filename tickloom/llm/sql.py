@@ -42,3 +42,21 @@ def merkle(levels: int = 7, top: int = 4) -> str:
         up AS MATERIALIZED (SELECT d.doc_id, d.leaf, s.h AS subroot, 1 AS one, s.i, d.cur, d.sib FROM {doc} d JOIN subroots s ON d.g IS NOT DISTINCT FROM s.g),
         {', '.join(among)}
         SELECT doc_id, leaf, subroot, (SELECT any_value(h) FROM {roots}) AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = (SELECT any_value(h) FROM {roots}) AS verified FROM {last}"""
+
+
+def prefix_trie() -> str:
+    return f"""WITH t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+          UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+        s AS MATERIALIZED (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY part, pos) AS seq, list(length(text) ORDER BY part, pos) AS chars FROM r GROUP BY conv_id),
+        a AS (SELECT c.conv_id, coalesce(seq, []) AS seq, coalesce(chars, []) AS chars FROM c LEFT JOIN s ON c.conv_id = s.conv_id),
+        p AS (SELECT conv_id, seq[1:d] AS key, d AS depth, len(seq) AS size, CASE WHEN d = 0 THEN 0 ELSE chars[d] END AS chars FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM a)),
+        n AS MATERIALIZED (SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM p GROUP BY key),
+        k AS MATERIALIZED (SELECT key[1:depth - 1] AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+        w AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.key = k.key),
+        u AS (SELECT key[1:d] AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM w) GROUP BY ALL)
+        SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, w.ends_sha256
+        FROM w JOIN u ON w.key = u.key LEFT JOIN w q ON w.depth > 0 AND q.key = w.key[1:w.depth - 1]"""

@@ -130,7 +130,7 @@ _pow: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow.get("p", ())) < n:
-        keep = min(max(n, 1 << 22), 1 << 23)
+        keep = 1 << max(16, (n - 1).bit_length()) if n < 1 << 22 else n  # doubles while short
         for name, base in (("p", BASE), ("i", np.uint64(pow(int(BASE), -1, 1 << 64)))):
             a = np.full(max(n, keep), base, np.uint64)
             a[0] = 1
