@@ -47,29 +47,62 @@ def test_exact_dedup(docs, rows, spark):
     groups = {}
     for i, t in rows:
         groups.setdefault(norm(t), []).append(i)
-    exp = sorted(((i, min(x for x in g if x is not None), len(g), i == min(x for x in g if x is not None), hashlib.sha256(norm(t).encode()).hexdigest())
-                  for i, t in rows for g in [groups[norm(t)]]), key=str)
-    assert sorted(map(tuple, exact_dedup.report(docs).collect()), key=str) == exp
+    exp = sorted(((i, min(x for x in g if x is not None), len(g), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows for g in [groups[norm(t)]]), key=str)
+    got = exact_dedup.report(docs)
+    assert sorted(map(tuple, got.drop("kept").collect()), key=str) == exp
+    stays = sorted((r.doc_id, r.text_sha256) for r in got.filter("kept").collect())
+    assert stays == sorted({(k, h) for _, k, _, h in exp})  # one row of each text, the smallest id
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, _, _, k, _ in exp if k} | {None}  # a row without an id cannot be named, so it stays
+    assert sorted((r.doc_id, norm(r.text)) for r in kept.collect()) == sorted((min(x for x in g if x is not None), t) for t, g in groups.items())
     assert exact_dedup.report(docs.limit(0)).count() == 0
 
 
 def test_digest_index_keeps_earlier_batches(docs, spark):
     path = C.shared_path(spark, "t-index")
+    texts = lambda d: d.select(exact_dedup.normalised(F.col("text"))).distinct().count()
     first = docs.filter("doc_id < 30 or doc_id is null")
     exact_dedup.report(first, exact_dedup.DigestIndex(spark, path, 4)).count()
     again = exact_dedup.DigestIndex(spark, path, 4)
-    n = again.read().count()
+    assert again.read().count() == texts(first)
     r = {x.doc_id: x for x in exact_dedup.report(docs.filter("doc_id >= 30"), again).collect()}
-    assert n == exact_dedup.digests(first).select("digest").distinct().count()
     assert r[55].keep_id == 0 and not r[55].kept  # row 55 is row 0 in other white space
-    assert again.read().count() == exact_dedup.digests(docs).select("digest").distinct().count()
+    assert again.read().count() == texts(docs)
     plan = again.unseen(again.read())._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan
 
 
+def test_index_keeps_its_number_of_buckets(spark):
+    path = C.shared_path(spark, "t-index")
+    batch = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert exact_dedup.report(batch, exact_dedup.DigestIndex(spark, path, 4)).filter("kept").count() == 200
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 7)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # the session's own number does not matter to an index that is there
+    try:
+        index = exact_dedup.DigestIndex(spark, path)
+        assert index.buckets == 4
+        assert exact_dedup.report(batch, index).filter("kept").count() == 0 and index.read().count() == 200
+        more = batch.unionByName(spark.createDataFrame([(7, "new")], batch.schema))
+        assert [(r.doc_id, r.text) for r in exact_dedup.keep_first(more, index).collect()] == [(7, "new")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+REPEATS = [(3, "A A A"), (5, "A A A"), (5, "unique text of five words"), (9, "same"), (9, "same"), (None, "no id"), (None, "no id"), (None, None), (4, "")]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark, tmp_path):
+    docs = spark.createDataFrame(REPEATS, "doc_id long, text string").withColumn("_gone", F.lit(1)).withColumn("row", F.lit("x"))
+    want = [(3, "A A A"), (4, ""), (5, "unique text of five words"), (9, "same"), (None, "no id")]
+    for d, table in ((docs, False), (C.stored(docs.repartition(3), "t-rows"), True)):
+        for keep in (exact_dedup.keep_first, simhash.keep_one):
+            got = keep(d, table=table)
+            assert got.columns == docs.columns
+            assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def brute_fp(t):
     w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     h = [xxh64_intdigest(" ".join(w[i:i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []

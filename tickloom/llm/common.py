@@ -30,6 +30,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+ROW = "__row"
+
+
+def rowed(df: DataFrame, table: bool = False) -> DataFrame:
+    """df with ROW, each row's file and place in it, by which single rows can be told apart whatever their ids.
+
+    ``table`` says that df is a plain read of stored files; anything else is stored first.
+    """
+    d = df if table else stored(df, "rows")
+    m = d.metadataColumn("_metadata")
+    return d.select("*", F.struct(m["file_path"].alias("file"), m["row_index"].alias("at")).alias(ROW))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (with ROW) less those whose ROW is in gone, without that column."""
+    g = gone.select(F.col(ROW)["file"].alias("__f"), F.col(ROW)["at"].alias("__a"))
+    return rows.join(g, (F.col(ROW)["file"] == F.col("__f")) & (F.col(ROW)["at"] == F.col("__a")), "left_anti").drop(ROW)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, row_id: str, total: int, parts: int = 200) -> DataFrame:
     """rows left-joined to groups (one row per key, with its number of rows in ``n``) without a hot task.
 

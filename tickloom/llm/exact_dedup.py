@@ -4,14 +4,19 @@ A batch's distinct digests meet the index in a sort-merge anti-join whose index
 shuffle; digests that are new are appended with the row that keeps them.
 
 Null text counts as empty.  Runs of the bytes 0x20, 0x09-0x0D count as one space.  Within a batch the smallest id of equal
-texts stays; a text already in the index is a copy of the row that the index names.  Rows repeated with one id share its
-fate.  A null id never keeps a text unless no row of the text has an id.  An empty table gives an empty report.
+texts stays, and of rows that tie, the first by file and place; a text already in the index is a copy of the row that the
+index names, and no row of the batch stays for it.  Rows are told apart by their place, so rows that share an id but not a
+text are judged each by its text.  A null id never keeps a text unless no row of the text has an id.  An empty table gives
+an empty report.
+
+The number of buckets belongs to the index and is kept beside its data; opening it with another number is refused.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C
@@ -22,7 +27,8 @@ def normalised(text) -> F.Column:
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
+    """(id, row, digest) of the rows of ``common.rowed``."""
+    return df.select(F.col(id_col).alias("id"), F.col(C.ROW).alias("row"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
 
 
 class DigestIndex:
@@ -30,10 +36,26 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        layout = f"{path.rstrip('/')}/_layout"  # names with an underscore are no part of the table
+        known = self._first(layout, "buckets int")
+        if known is None and self._first(path, "digest binary, keep_id bigint") is not None:
+            raise ValueError(f"{path} holds an index without its number of buckets")
+        if known is not None and buckets not in (None, known.buckets):
+            raise ValueError(f"the index at {path} has {known.buckets} buckets, not {buckets}")
+        self.buckets = known.buckets if known is not None else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if known is None:
+            spark.range(1).select(F.lit(self.buckets).cast("int").alias("buckets")).write.mode("overwrite").parquet(layout)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
 
+    def _first(self, path: str, schema: str):
+        try:
+            return self.spark.read.schema(schema).parquet(path).first()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -45,21 +67,28 @@ class DigestIndex:
 
 
 def dedup(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds the batch df to the index; (id, digest, keep_id, n): n counts the rows of df with the text."""
+    """Adds the batch df (with ROW) to the index; (id, row, digest, keep_id, kept, n): n counts the rows of df with the text."""
     rows = C.stored(digests(df, id_col, text_col), "digests")
-    groups = C.stored(rows.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "groups")
-    index.append(index.unseen(groups))
-    known = groups.drop("keep_id").join(index.read(), "digest")
-    return C.join_groups(rows, known, "digest", "id", rows.count())
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    groups = rows.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select("digest", F.col("first")["id"].alias("keep_id"), F.col("first")["row"].alias("keep_row"), "n")
+    groups = C.stored(groups, "groups")
+    fresh = C.stored(index.unseen(groups), "fresh")
+    index.append(fresh)
+    known = groups.drop("keep_id", "keep_row").join(index.read(), "digest").join(fresh.select("digest", "keep_row"), "digest", "left")
+    return C.join_groups(rows, known, "digest", "id", rows.count()).withColumn("kept", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))).drop("keep_row")
+
+
+def _judged(rows: DataFrame, index: DigestIndex | None, id_col: str, text_col: str) -> DataFrame:
+    return dedup(rows, index or DigestIndex(rows.sparkSession, C.shared_path(rows.sparkSession, "digest-index")), id_col, text_col)
 
 
-def report(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    index = index or DigestIndex(df.sparkSession, C.shared_path(df.sparkSession, "digest-index"))
-    d = dedup(df, index, id_col, text_col)
-    return d.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+def report(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", table: bool = False) -> DataFrame:
+    """(id_col, keep_id, group_size, kept, text_sha256) per row of df; ``table``: df is a plain read of stored files."""
+    d = _judged(C.rowed(df.select(id_col, text_col), table), index, id_col, text_col)
+    return d.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_first(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", table: bool = False) -> DataFrame:
     """The rows of df that keep their text, with all their columns."""
-    gone = report(df, index, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = C.rowed(df, table)
+    return C.without(rows, _judged(rows, index, id_col, text_col).filter("not kept").select(F.col("row").alias(C.ROW)))

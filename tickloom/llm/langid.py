@@ -91,7 +91,7 @@ def text_evidence(df: DataFrame, model: dict, most_evidence: int = 60) -> DataFr
         for batch in batches:
             data, off = T.utf8(batch.column(at))
             ll, size = np.zeros((batch.num_rows, len(table))), np.zeros(batch.num_rows, np.int64)
-            for i, j in T.chunks(off, 1 << 20):
+            for i, j in T.chunks(off, 1 << 19):
                 lo = off[i]
                 b, doc = data[lo:off[j]], off[i:j + 1] - lo
                 if not len(b):
@@ -109,7 +109,7 @@ def text_evidence(df: DataFrame, model: dict, most_evidence: int = 60) -> DataFr
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], lists], [*names, "ll"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "text") + ", ll array<double>"
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(T.tidy(run), schema)
 
 
 def _softmax(v: Column) -> Column:
@@ -181,12 +181,11 @@ def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = F.coalesce(F.col(text_col), F.lit(""))
     none = F.lit(None).cast("string")
     return docs.select(F.col(id_col).alias("id"), t.alias("text"), F.when(t.contains("<html"), F.lower(F.regexp_extract(t, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))).alias("declared"),
-                       none.alias("address"), F.col(source_col).alias("host"), none.alias("domain"))
+                       none.alias("address"), F.col(source_col).alias("host"), none.alias("domain"), *[c for c in (C.ROW,) if c in docs.columns])
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of df that are accepted, with all their columns; labels only serve to fit."""
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", source_col: str = "source", table: bool = False) -> DataFrame:
+    """The rows of df that are accepted, with all their columns; labels only serve to fit.  ``table``: df is a plain read of stored files."""
     model = fit(sample(df, id_col, text_col, label_col))
-    f = fuse(document_rows(df, id_col, text_col, source_col), model)
-    gone = f.filter("not accepted").select(F.col("id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = C.rowed(df, table)
+    return C.without(rows, fuse(document_rows(rows, id_col, text_col, source_col), model).filter("not accepted").select(C.ROW))

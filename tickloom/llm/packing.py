@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bpe, text as T
 
+CHUNK = 2 << 20  # bytes of text cut at once
 PIECES = "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -173,7 +174,7 @@ def pack(df: DataFrame, path: str, end_id: int, window: int = 2048, id_col: str
         for batch in batches:
             data, off = T.utf8(batch.column(1))
             names = batch.column(0).to_pylist()
-            for i, j in T.chunks(off, bpe.CHUNK):
+            for i, j in T.chunks(off, CHUNK):
                 lo = off[i]
                 part = data[lo:off[j]], off[i:j + 1] - lo
                 ids, at = with_added(*part, path, merged) if added else merged(*part)
@@ -199,7 +200,7 @@ def pack(df: DataFrame, path: str, end_id: int, window: int = 2048, id_col: str
             yield flush(True)
 
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, PIECES).withColumnRenamed("id", id_col)
+    return d.mapInArrow(T.tidy(run), PIECES).withColumnRenamed("id", id_col)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

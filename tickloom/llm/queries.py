@@ -28,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.report(C.documents(spark, sf_dir))
+    return exact_dedup.report(C.documents(spark, sf_dir), table=True)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,7 +290,7 @@ def find(texts, model: dict) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind number, end) of every text of an Arrow string column."""
     data, off = T.utf8(texts)
     found: list[list[tuple[int, int, int]]] = []
-    for i, j in T.chunks(off, 2 << 20):
+    for i, j in T.chunks(off, 1 << 19):
         lo = off[i]
         b, doc = data[lo:off[j]], off[i:j + 1] - lo
         s, e = tokens(b, doc)
@@ -322,7 +322,7 @@ def scan(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "starts", "ends", "kinds"])
 
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "id bigint, starts array<bigint>, ends array<bigint>, kinds array<bigint>").withColumnRenamed("id", id_col)
+    return d.mapInArrow(T.tidy(run), "id bigint, starts array<bigint>, ends array<bigint>, kinds array<bigint>").withColumnRenamed("id", id_col)
 
 
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -354,4 +354,4 @@ def redact(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
             cols = [pa.array(texts, batch.schema.field(at).type) if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(T.tidy(run), df.schema)

@@ -8,14 +8,14 @@ again by the pigeonhole rule: its still unknown bits fall into r+1 blocks, a pai
 grow by each block in turn until groups are small or few bits are left.  A group is compared whole, block by block, and
 gives at most one link per member, enough for its components.
 
-Null text counts as empty; a text without words has fingerprint zero and is linked like any other.  Rows repeated with one
-id are one document.  Null ids take part but never name a component unless all its ids are null.  Empty tables stay empty.
+Null text counts as empty; a text without words has fingerprint zero and is linked like any other.  Rows that
+share an id take part each by its own text; ``keep_one`` keeps one row of a group, the first by file and place if ids tie.
+Null ids take part but never name a component unless all its ids are null.  Empty tables stay empty.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
@@ -49,7 +49,9 @@ def majority(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id_col, fp bigint) per row; A-Z are lower-cased, words end at 0x20 and 0x09-0x0D."""
+    """(id_col, fp bigint) per row, and ROW if df has it; A-Z are lower-cased, words end at 0x20 and 0x09-0x0D."""
+    more = [C.ROW] if C.ROW in df.columns else []
+
     def run(batches):
         for batch in batches:
             data, off = T.utf8(batch.column(1))
@@ -74,9 +76,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 h = np.fromiter([xxh64_intdigest(raw[x:y], seed) for x, y in zip(at[k].tolist(), (at[last] - 1).tolist())], np.uint64, len(k))
                 fps.append(majority(h, cut))
             fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["id", "fp", *more])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint").withColumnRenamed("id", id_col)
+    schema = "id bigint, fp bigint" + "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in more)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more).mapInArrow(T.tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def _joined(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,20 +165,20 @@ def spanning(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def near_groups(fp_rows: DataFrame, id_col: str = "doc_id", radius: int = 3, most: int = 1024) -> DataFrame:
-    """(id_col, fp, component_id) per row of fp_rows(id_col, fp)."""
-    rows = C.stored(fp_rows.select(F.col(id_col).alias("id"), "fp"), "fingerprints")
-    each = C.stored(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fp")
+    """(id_col, fp, component_id) per row of fp_rows(id_col, fp); with ROW also that and ``kept``, true for one row of a component."""
+    more = [C.ROW] if C.ROW in fp_rows.columns else []
+    rows = C.stored(fp_rows.select(F.col(id_col).alias("id"), "fp", *more), "fingerprints")
+    each = C.stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *more)).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fp")
     pairs = C.stored(links(groups(each.select("fp"), radius, most), radius).distinct(), "links")
     root = C.components(pairs).withColumnsRenamed({"node": "fp"})
     named = each.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(best, "root").select("fp", "component_id", "n")
-    out = C.join_groups(rows.withColumn("_b", F.unhex(F.hex("fp"))), label.select(F.unhex(F.hex("fp")).alias("_b"), "component_id", "n"), "_b", "id", rows.count())
-    return out.select(F.col("id").alias(id_col), "fp", "component_id")
+    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    label = named.join(best, "root").select("fp", "best", "n")
+    out = C.join_groups(rows.withColumn("_b", F.unhex(F.hex("fp"))), label.select(F.unhex(F.hex("fp")).alias("_b"), "best", "n"), "_b", "id", rows.count())
+    return out.select(F.col("id").alias(id_col), "fp", F.col("best")["id"].alias("component_id"), *more, *[(F.col(c) == F.col("best")[c]).alias("kept") for c in more])
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of each group stays: the smallest id; all columns of df."""
-    g = near_groups(fingerprints(df, id_col, text_col), id_col, **kw)
-    gone = g.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: bool = False, **kw) -> DataFrame:
+    """One document of each group stays: the smallest id; all columns of df.  ``table``: df is a plain read of stored files."""
+    rows = C.rowed(df, table)
+    return C.without(rows, near_groups(fingerprints(rows, id_col, text_col), id_col, **kw).filter("not kept").select(C.ROW))

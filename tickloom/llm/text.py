@@ -36,6 +36,27 @@ def chunks(off: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def release() -> None:
+    """Gives freed memory back to the system; for the end of a task, since workers live on."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent from some C libraries
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that releases memory when its task ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 @lru_cache(1)
 def _classes() -> np.ndarray:
     import regex
