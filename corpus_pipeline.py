@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, exact dedup, SimHash near-dedup, secret scans, packing.
 
 Each stage takes the documents its predecessor kept and returns them with the columns of ``documents``; the last returns
-packed pieces.  Between stages the rows are written as Parquet in the shared folder and read again.
+packed pieces.  Between stages the rows are written as Parquet in the shared folder and read again, so a stage's docs are
+always a plain read of stored files, whose rows are told apart by file and place, not by doc_id.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from tickloom.llm.queries import tokenizer_file
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language of the corpus stay; labels of the rows themselves serve to fit the text models."""
-    return langid.keep_identified(docs)
+    return langid.keep_identified(docs, table=True)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    return exact_dedup.keep_first(docs)
+    return exact_dedup.keep_first(docs, table=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, table=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
