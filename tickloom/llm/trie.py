@@ -53,7 +53,7 @@ def rebuilt(rows: DataFrame, every: int = 100, modulus: int = 6) -> tuple[DataFr
     heads = C.stored(rows.filter((F.col("conv") % every == 0) & (F.col("pos") < modulus - 1)).withColumnRenamed("conv", "base"), "heads")
     lent = convs.join(heads, "base").filter("pos < h").select("conv", "pos", "digest", "chars")
     have = heads.groupBy("base").agg(F.count(F.lit(1)).alias("have"))
-    shift = convs.join(have, "base", "left").select(F.col("conv").alias("_c"), (F.coalesce(F.least("h", "have"), F.lit(0)) - F.col("h")).alias("shift"))
+    shift = convs.join(have, "base", "left").select(F.col("conv").alias("_c"), (F.least("h", F.coalesce("have", F.lit(0))) - F.col("h")).alias("shift"))
     h = F.crc32(F.col("conv").cast("string").cast("binary")) % modulus
     own = rows.filter(F.col("pos") >= h).join(shift, F.col("conv") == F.col("_c")).select("conv", (F.col("pos") + F.col("shift")).alias("pos"), "digest", "chars")
     return convs.select("conv"), lent.unionByName(own)
