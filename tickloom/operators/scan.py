@@ -179,18 +179,25 @@ def _weight_of_past(gap: Column, alpha: float) -> Column:
     return F.when(gap.isNull(), F.lit(0.0)).when(gap == 1, F.lit(1.0 - alpha)).otherwise(d / (d + alpha))
 
 
-def _entering(t: DataFrame, by: list[str], at: str, names: list[str], levels: int) -> DataFrame:
-    """t with _in_*: the value that enters each affine step _w_*, folded from a key's first step on by so many levels of groups."""
-    if not levels:
-        w = Window.partitionBy(*by).orderBy(at).rowsBetween(UP, -1)
-        return t.withColumns({f"_in_{n}": F.aggregate(F.collect_list(f"_w_{n}").over(w), F.lit(0.0), lambda acc, e: e["a"] * acc + e["c"]) for n in names})
-    up = f"{at}_up"
-    w = Window.partitionBy(*by, up).orderBy(at).rowsBetween(UP, -1)
-    t = t.withColumn(up, F.floor(F.col(at) / SUPER))
-    t = t.withColumns({f"_pre_{n}": F.aggregate(F.collect_list(f"_w_{n}").over(w), _same(), _after) for n in names})
-    top = t.groupBy(*by, up).agg(*[F.max_by(_after(F.col(f"_pre_{n}"), F.col(f"_w_{n}")), at).alias(f"_w_{n}") for n in names])
-    top = _entering(top, by, up, names, levels - 1).select(*by, up, *[F.col(f"_in_{n}").alias(f"_y_{n}") for n in names])
-    return t.join(top, [*by, up], "left").withColumns({f"_in_{n}": F.col(f"_pre_{n}")["a"] * F.col(f"_y_{n}") + F.col(f"_pre_{n}")["c"] for n in names})
+def _entering(t: DataFrame, by: list[str], at: str, names: list[str]) -> DataFrame:
+    """t with _in_*: the value that enters each affine step _w_*, folded from a key's first step on.
+
+    Steps are folded within groups of SUPER blocks, group totals within groups of groups, and their totals over the key, each
+    by a window over the one table of blocks: no list is longer than a group, and nothing is planned twice.
+    """
+    group, groups = [*by, "_u1"], [*by, "_u2"]
+    w1, w2, w3 = (Window.partitionBy(*k).orderBy(at) for k in (group, groups, by))
+    before = lambda w: w.rowsBetween(UP, -1)
+    fold = lambda c, w: F.aggregate(F.collect_list(c).over(before(w)), _same(), _after)
+    t = t.withColumns({"_u1": F.floor(F.col(at) / SUPER), "_u2": F.floor(F.col(at) / SUPER ** 2)})
+    t = t.withColumns({"_z1": F.lead(F.lit(1)).over(w1).isNull(), "_z2": F.lead(F.lit(1)).over(w2).isNull(), **{f"_p1_{n}": fold(f"_w_{n}", w1) for n in names}})
+    t = t.withColumns({f"_t1_{n}": F.when(F.col("_z1"), _after(F.col(f"_p1_{n}"), F.col(f"_w_{n}"))) for n in names})
+    t = t.withColumns({f"_p2_{n}": fold(f"_t1_{n}", w2) for n in names})
+    t = t.withColumns({f"_t2_{n}": F.when(F.col("_z2"), _after(F.col(f"_p2_{n}"), F.col(f"_t1_{n}"))) for n in names})
+    value = lambda e, y: e["a"] * y + e["c"]
+    top = lambda n: F.aggregate(F.collect_list(f"_t2_{n}").over(before(w3)), F.lit(0.0), lambda acc, e: value(e, acc))
+    t = t.withColumns({f"_t3_{n}": top(n) for n in names})
+    return t.withColumns({f"_in_{n}": value(F.col(f"_p1_{n}"), value(F.col(f"_p2_{n}"), F.col(f"_t3_{n}"))) for n in names})
 
 
 def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: dict[str, tuple] | None = None,
@@ -246,7 +253,7 @@ def recurrences(df: DataFrame, by: Sequence[str], order: Sequence[str], emas: di
             past = _weight_of_past(e["f"] - F.col(f"_last_{n}"), alpha)
             t = t.withColumn(f"_w_{n}", F.when(e.isNull(), _same()).otherwise(F.struct((F.exp(e["l"]) * past).alias("a"), (F.exp(e["l"]) * ((1 - past) * e["x"] + e["s"])).alias("c"))))
     if steps:
-        t = _entering(t, by, "_blk", list(steps), 2 if block >= 64 else 3)
+        t = _entering(t, by, "_blk", list(steps))
     for n, (_, alpha, mp) in emas.items():
         if alpha >= 1.0:
             y = F.coalesce(f"_o_{n}", f"_in_{n}")

@@ -98,8 +98,7 @@ e AS (SELECT symbol, i, ts, close AS e6, close AS w14 FROM barsi WHERE i=0 UNION
  FROM e JOIN barsi b ON b.symbol=e.symbol AND b.i=e.i+1)
 SELECT symbol, ts, round(e6,6)+0.0 AS ema_6, CASE WHEN i>=13 THEN round(w14,6)+0.0 END AS wilder_14 FROM e""")
 def _(v):
-    d = scan.affine_scan(v.bars, SY, ["ts"], {"ema_6": ("close", W.span(6)), "wilder_14": ("close", 1 / 14)}, block=64)
-    d = scan.row_index(d, SY, ["ts"], "k").withColumn("wilder_14", F.when(F.col("k") >= 13, F.col("wilder_14")))
+    d = scan.affine_scan(v.bars, SY, ["ts"], {"ema_6": ("close", W.span(6)), "wilder_14": ("close", 1 / 14, 14)}, block=64)
     return rnd(d.select("symbol", "ts", "ema_6", "wilder_14"))
 
 
