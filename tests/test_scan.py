@@ -224,3 +224,70 @@ def test_linked_levels_follow_the_definition():
             _, m, a, b = min(joins, key=lambda j: j[:2])
             groups = [g for g in groups if g is not a and g is not b] + [m]
         assert sorted(events.linked_levels(pts, cap, gap)) == sorted(g for g in groups if len(g) > 1)
+
+
+def _chain(times, free, strict=False):
+    out, until = [], None
+    for t, f in sorted(zip(times, free)):
+        if until is None or (t > until if strict else t >= until):
+            out.append(t)
+            until = f
+    return out
+
+
+@pytest.mark.parametrize("pattern", ["even", "bursts", "long", "one"])
+def test_step_functions_compose_over_a_tree_of_slices(spark, monkeypatch, pattern):
+    """Hundreds of slices of one key, evenly spaced or not; a group never holds more than FAN maps."""
+    import random
+
+    monkeypatch.setattr(scan, "FAN", 4)
+    rng = random.Random(3)
+    n = 1500
+    times = {"even": list(range(n)), "bursts": [100 * (i // 50) + i % 7 for i in range(n)], "long": list(range(n)), "one": [5] * 40 + list(range(100, 400))}[pattern]
+    free = {"even": [t + 10 for t in times], "bursts": [t + 3 for t in times], "long": [t + rng.choice([2, 40, 300]) for t in times], "one": [t + 7 for t in times]}[pattern]
+    free = [free[times.index(t)] for t in times]  # rows of one time free the key alike, so any of them may stay
+    df = spark.createDataFrame(list(zip(["a"] * len(times), times, free, range(len(times)))), "symbol string, ts long, until long, id long")
+    for strict in (False, True):
+        got = scan.greedy_chain(df, ["symbol"], "ts", F.col("until"), tie=["id"], strict=strict, slice_rows=8)
+        assert sorted(r.ts for r in got.collect()) == _chain(times, free, strict)
+    assert sorted(r.ts for r in scan.greedy_chain(df, [], "ts", F.col("until"), tie=["id"], slice_rows=8).collect()) == _chain(times, free)
+
+
+def test_state_maps_compose_over_a_tree_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(scan, "FAN", 4)
+    letters = ["abc"[(i * i // 7) % 3] for i in range(700)]
+    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(letters)], "symbol string, ts long, letter string")
+    step = lambda s, x: {"a": "up", "b": "down"}.get(x, s)
+    got = {r.ts: r.state for r in scan.fold_states(df, ["symbol"], ["ts"], "letter", ["up", "down"], "up", step, "state", slice_rows=8).collect()}
+    state = "up"
+    for i, x in enumerate(letters):
+        state = step(state, x)
+        assert got[i] == state
+
+
+@pytest.mark.parametrize("times", [[7] * 900, [i // 300 for i in range(900)], list(range(900)), [5] * 500 + [i * i for i in range(400)]])
+def test_no_slice_above_the_bound(spark, times):
+    """One key and one day, also one moment and rows that are all alike: slices of 100 rows at most, in order."""
+    random.Random(1).shuffle(times)
+    df = spark.createDataFrame([("a", t, 1.0) for t in times] + [("b", 3, 2.0), (None, 4, 1.0)], "symbol string, ts long, x double")
+    cut = scan.bounded_slices(df.withColumn("_slice", F.lit(0).cast("long")), ["symbol"], ["ts"], 100)
+    per = cut.groupBy("symbol", "_slice", "_cut").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("symbol", "_cut").collect()
+    assert max(r.n for r in per) <= 100 and sum(r.n for r in per) == 902
+    hot = [r for r in per if r.symbol == "a"]
+    assert len(hot) == 9 and all(x.hi <= y.lo for x, y in zip(hot, hot[1:]))
+    got = scan.prefix_scan(df, ["symbol"], ["ts"], {"s": ("sum", "x"), "k": ("count", "x")}, most=100, totals={"all": "k"}).filter("symbol = 'a'").orderBy("s").collect()
+    assert [r.s for r in got] == [r.k for r in got] == list(range(1, 901)) and [r.ts for r in got] == sorted(times) and {r.all for r in got} == {900}
+
+
+def test_asof_with_a_crowded_moment(spark):
+    from tickloom.operators import joins
+
+    rng = random.Random(4)
+    left = [("a", 5 if rng.random() < 0.6 else rng.randrange(20), i) for i in range(400)]
+    right = [("a", 5 if rng.random() < 0.5 else rng.randrange(20), float(i)) for i in range(200)]
+    l, r = spark.createDataFrame(left, "symbol string, ts long, id long"), spark.createDataFrame(right, "symbol string, ts long, v double")
+    for exact in (True, False):
+        got = {x.id: x.v for x in joins.asof_join(l, r, allow_exact=exact, right_tie="v", most=50).collect()}
+        for _, t, i in left:
+            seen = [(u, v) for _, u, v in right if (u <= t if exact else u < t)]
+            assert got[i] == (max(seen)[1] if seen else None)

@@ -15,11 +15,11 @@ from .quality import fail_if
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("symbol",), columns: Sequence[str] | None = None, on: str = "ts",
               allow_exact: bool = True, tolerance: int | None = None, direction: str = "backward", right_tie: str | None = None,
-              slice_width: int = DAY, age: str | None = None) -> DataFrame:
+              slice_width: int = DAY, age: str | None = None, most: int | None = scan.MOST) -> DataFrame:
     """Latest right row at or before each left row (first at or after it with ``direction='forward'``).
 
     Both sides are united and a running "last right row" passes over them in time
-    slices, so the cost is linear and a hot key is split.  ``age`` names an optional
+    slices of at most ``most`` rows (None: whole days), so the cost is linear and a hot key, day or moment is split.  ``age`` names an optional
     distance column; rows beyond ``tolerance`` get NULLs.
     """
     cols = list(columns) if columns else [c for c in right.columns if c not in (*by, on)]
@@ -31,7 +31,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("symbol",)
     tie = (F.col(right_tie).cast("double") * sgn) if right_tie else F.lit(0).cast("double")
     r = right.select(*by, t(), F.lit(rrank).alias("_side"), tie.alias("_tie"), F.struct(F.col(on).alias("_rt"), *cols).alias("_r"))
     u = l.unionByName(r, allowMissingColumns=True)
-    u = scan.prefix_scan(u, by, ["_t", "_side", "_tie"], {"_m": ("last", F.when(F.col("_side") == rrank, F.col("_r")))}, slice_width)
+    u = scan.prefix_scan(u, by, ["_t", "_side", "_tie"], {"_m": ("last", F.when(F.col("_side") == rrank, F.col("_r")))}, slice_width, most=most)
     d = u.filter(F.col("_side") == lrank)
     dist = F.abs(F.col(f"_l.{on}") - F.col("_m._rt"))
     ok = F.lit(True) if tolerance is None else dist <= tolerance

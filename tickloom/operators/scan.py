@@ -45,46 +45,98 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)  # no neutral value: 0 times infinity is NaN
 
 
+MOST = 1 << 20
+
+
+def bounded_slices(d: DataFrame, by: Sequence[str], order: Sequence[str], most: int = MOST) -> DataFrame:
+    """d(by, _slice, ...) with ``_cut``: 0, but in a slice of more than ``most`` rows its runs of most rows, in order.
+
+    Slices are counted first.  Only rows of slices above the bound are dealt out anew, by ranges of their full order with a
+    row number for the last, so a day, a moment or a row repeated any number of times takes many tasks.  Each task counts on
+    over its sorted rows, a table with a row per task and slice adds what came before, and places are stored.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    keys = [*by, "_slice"]
+    full = settled(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most))
+    total = full.agg(F.sum("_rows")).first()[0]
+    if not total:
+        return d.withColumn("_cut", F.lit(0).cast("long"))
+    names = d.columns
+    f = full.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)])
+
+    def same(t: DataFrame, other: DataFrame) -> Column:
+        out = F.lit(True)
+        for i, k in enumerate(keys):
+            out = out & t[k].eqNullSafe(other[f"_f{i}"])
+        return out
+
+    def count(batches):
+        task, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            place = []
+            for k in zip(*cols):
+                n = n + 1 if k == last else 0
+                last = k
+                place.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(place), pa.int32()), pa.array(place, pa.int64())], [*batch.schema.names, "_task", "_place"])
+
+    ranges = [*keys, *[o for o in order if o not in keys], "_any"]
+    h = d.join(f, same(d, f), "left_semi").withColumn("_any", F.monotonically_increasing_id())
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in h.schema.fields)
+    h = settled(h.repartitionByRange(int(-(-2 * total // most)), *ranges).sortWithinPartitions(*ranges).mapInArrow(count, f"{schema}, _task int, _place long"))
+    w = Window.partitionBy(*keys).orderBy("_task").rowsBetween(UP, -1)
+    ahead = h.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_ahead", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
+    ahead = ahead.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)], F.col("_task").alias("_bt"), "_ahead")
+    h = h.join(ahead, same(h, ahead) & (h["_task"] == ahead["_bt"])).withColumn("_cut", F.floor((F.col("_ahead") + F.col("_place")) / most).cast("long"))
+    return d.join(f, same(d, f), "left_anti").withColumn("_cut", F.lit(0).cast("long")).unionByName(h.select(*names, "_cut"))
+
+
 def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, object]],
                 slice_width: int = DAY, slice_col: Column | None = None, exclusive: bool = False,
-                totals: dict[str, str] | None = None) -> DataFrame:
+                totals: dict[str, str] | None = None, most: int | None = None) -> DataFrame:
     """Running sum/count/max/min/last per key in ``order``, exact and skew-free.
 
     Level one aggregates each (key, slice); level two scans the slice table, which
     has one row per key and slice; the carried values join back and finish inside
     the slice.  ``order[0]`` must be the sliced column.  ``totals`` maps an extra column
-    to the output whose whole-key sum (or count) it carries, from the same slice table.
+    to the output whose whole-key sum (or count) it carries, from the same slice table.  With ``most`` slices are counted
+    while the plan is made, and none of more than so many rows stays whole (``bounded_slices``).
     """
     by, order = list(by), list(order)
-    part = by + ["_slice"]
+    place = ["_slice", "_cut"] if most else ["_slice"]
+    part = by + place
     d = df.withColumn("_slice", slice_col if slice_col is not None else bucket_no(order[0], slice_width))
+    d = bounded_slices(d, by, order, most) if most else d
     cols = {n: (k, F.col(c) if isinstance(c, str) else c) for n, (k, c) in specs.items()}
     table = d.groupBy(*part).agg(*[_agg(k, c, order).alias(f"_t_{n}") for n, (k, c) in cols.items()])
     keys = by or [F.lit(0)]
-    wc = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(UP, -1)
+    wc = Window.partitionBy(*keys).orderBy(*place).rowsBetween(UP, -1)
     whole = Window.partitionBy(*keys)
     carry = table.select(*part, *[_carry(k, f"_t_{n}", wc).alias(f"_c_{n}") for n, (k, _) in cols.items()],
                          *[F.sum(f"_t_{n}").over(whole).alias(t) for t, n in (totals or {}).items()])
     wl = Window.partitionBy(*part).orderBy(*order).rowsBetween(UP, -1 if exclusive else 0)
     out = d.join(carry, part, "left").withColumns({f"_l_{n}": _local(k, c, wl) for n, (k, c) in cols.items()})
     out = out.withColumns({n: _merge(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, (k, _) in cols.items()})
-    return out.drop("_slice", *[f"_{p}_{n}" for n in cols for p in "cl"])
+    return out.drop(*place, *[f"_{p}_{n}" for n in cols for p in "cl"])
 
 
 def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "_i",
-              slice_width: int = DAY, slice_col: Column | None = None, total: str | None = None) -> DataFrame:
+              slice_width: int = DAY, slice_col: Column | None = None, total: str | None = None, most: int | None = None) -> DataFrame:
     """0-based position of each row in its key; ``total`` also attaches the key's row count."""
-    out = prefix_scan(df, by, order, {name: ("count", F.lit(1))}, slice_width, slice_col, totals={total: name} if total else None)
+    out = prefix_scan(df, by, order, {name: ("count", F.lit(1))}, slice_width, slice_col, totals={total: name} if total else None, most=most)
     return out.withColumn(name, (F.col(name) - 1).cast("long"))
 
 
-def indexed(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_width: int = DAY) -> DataFrame:
+def indexed(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_width: int = DAY, most: int | None = None) -> DataFrame:
     """``df`` with its row position ``_i``; a frame that carries it already is left alone.
 
     Index once, then chain ``framed`` and ``recurrences``: they reuse ``_i`` instead
     of scanning the input again.
     """
-    return df if "_i" in df.columns else row_index(df, by, order, "_i", slice_width)
+    return df if "_i" in df.columns else row_index(df, by, order, "_i", slice_width, most=most)
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -283,11 +335,57 @@ def affine_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], specs: d
 # --- greedy chains -------------------------------------------------------------------------
 
 SLICE_ROWS = 65_536
+FAN = 32
+
+
+def _entry_states(maps: DataFrame, by: Sequence[str], most: int, merge: Callable, step: Callable, start, kind: str) -> DataFrame:
+    """(by, _slice, _entry): the state that enters each slice of its key, from maps(by, _slice, payload) "entry -> exit".
+
+    Up a tree, FAN neighbouring maps are merged into one until a key has FAN of them; down the tree, each group's entry is
+    led through its own maps.  ``most`` is the number of slices of the longest key.  A group never holds more than FAN maps.
+    ``merge`` makes one payload (a dict) of several rows' (in order), ``step(row, state)`` applies one.
+    """
+    import pandas as pd
+
+    by = list(by)
+    kt = {f.name: f.dataType.simpleString() for f in maps.schema.fields}
+    load = [c for c in maps.columns if c not in (*by, "_slice")]
+    head = "".join(f"`{k}` {kt[k]}, " for k in by)
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("_slice")
+        got = merge([r for _, r in p.iterrows()])
+        return pd.DataFrame({**{k: [p[k].iloc[0]] for k in by}, "_slice": [p["_slice"].iloc[0] // FAN], **{c: [got[c]] for c in load}})
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("_slice")
+        state, entry = (p["_from"].iloc[0] if "_from" in p else start), []
+        for _, r in p.iterrows():
+            entry.append(state)
+            state = step(r, state)
+        return p[[*by, "_slice"]].assign(_entry=entry)
+
+    schema = f"{head}_slice long, _entry {kind}"
+    levels, n = [maps], most
+    while n > FAN:
+        t = levels[-1] = settled(levels[-1])  # read on the way up and on the way down
+        levels.append(t.withColumn("_up", F.floor(F.col("_slice") / FAN)).groupBy(*by, "_up").applyInPandas(merged, f"{head}_slice long, " + ", ".join(f"`{c}` {kt[c]}" for c in load)))
+        n = -(-n // FAN)
+    out = levels[-1].groupBy(*by).applyInPandas(walked, schema)
+    for t in reversed(levels[:-1]):
+        up = out.select(*by, F.col("_slice").alias("_up"), F.col("_entry").alias("_from"))
+        out = t.withColumn("_up", F.floor(F.col("_slice") / FAN)).join(up, [*by, "_up"]).groupBy(*by, "_up").applyInPandas(walked, schema)
+    return out
+
+
+def _slices_of(d: DataFrame) -> int:
+    """Number of slices of the longest key; d is pinned, so its rows are numbered once for this and what follows."""
+    return (d.agg(F.max("_slice")).first()[0] or 0) + 1
 
 
 def _row_slices(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_width: int, slice_rows: int) -> DataFrame:
     """``_slice``: consecutive rows of a key, at most slice_rows of them, however they lie in time."""
-    d = row_index(df, by, order, "_at", slice_width)
+    d = row_index(df, by, order, "_at", slice_width, most=MOST)
     return d.withColumn("_slice", F.floor(F.col("_at") / slice_rows).cast("long")).drop("_at")
 
 
@@ -298,8 +396,8 @@ def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie
     ``free_at`` is a BIGINT column (for a cooldown: ts + spacing); ``strict`` needs
     the time to be past it.  Each (key, slice) is summarised as a step function
     "entry moment -> exit moment", which stays small because chains that start at
-    different rows run into each other.  The step functions are composed per key and
-    every slice is then replayed from its true entry moment.  A slice holds slice_rows rows at most; each row knows the
+    different rows run into each other.  The step functions are composed pairwise up
+    and down a tree of slices (``_entry_states``) and every slice is then replayed from its true entry moment.  A slice holds slice_rows rows at most; each row knows the
     next row a chain through it keeps, so exits and kept rows come from repeated squaring of these jumps, not a row loop.
     """
     import numpy as np
@@ -333,18 +431,28 @@ def greedy_chain(df: DataFrame, by: Sequence[str], ts: str, free_at: Column, tie
     maps = d.select(*part, ts, *[c for c in tie if c not in part and c != ts], "_free").groupBy(*part).applyInPandas(
         summarise, f"{head} _slice long, upto array<long>, `exit` array<long>")
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("_slice")
-        state, entry = -(2 ** 62), []
-        for upto, ex in zip(p["upto"], p["exit"]):
-            entry.append(state)
-            j = int(np.searchsorted(np.asarray(upto), state, "left"))
-            if j < len(upto):
-                state = int(ex[j])
-        return p[part].assign(_entry=entry)
-
-    gk = by if by else [F.lit(0)]
-    entries = maps.groupBy(*gk).applyInPandas(compose, f"{head} _slice long, _entry long")
+    # no chain enters a slice later than the latest moment that a row before it frees its key: what lies beyond is cut off
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(UP, -1)
+    reach = d.groupBy(*part).agg(F.max("_free").alias("_top")).withColumn("reach", F.coalesce(F.max("_top").over(w), F.lit(-(2 ** 62)))).drop("_top")
+    need = F.size(F.filter("upto", lambda x: x < F.col("reach"))) + 1
+    maps = maps.join(reach, part).withColumns({"upto": F.slice("upto", F.lit(1), need), "exit": F.slice("exit", F.lit(1), need)})
+
+    def through(row, state):
+        """States (one or an array) after a slice."""
+        j = np.minimum(np.searchsorted(row["upto"], state, "left"), len(row["upto"]))
+        return np.where(j < len(row["upto"]), np.append(row["exit"], 0)[j], state)
+
+    def merge(rows) -> dict:
+        reach = rows[0]["reach"]
+        at = np.unique(np.concatenate([np.asarray(r["upto"], dtype="int64") for r in rows]))
+        at = at[:np.searchsorted(at, reach, "left") + 1]
+        state = at
+        for r in rows:
+            state = through(r, state)
+        keep = np.append(state[1:] != state[:-1], True)
+        return {"upto": at[keep], "exit": state[keep], "reach": reach}
+
+    entries = _entry_states(maps, by, _slices_of(d), merge, lambda r, state: int(through(r, state)), -(2 ** 62), "long")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values([ts, *tie], kind="mergesort")
@@ -367,7 +475,7 @@ def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter:
     """Run a finite-state machine over each key in order and attach the state after each row.
 
     Each (key, slice) is reduced to "entry state -> exit state" (``len(states)``
-    values), the maps are composed per key, and slices replay from their true entry.  A slice holds slice_rows rows at
+    values), the maps are composed up and down a tree of slices, and slices replay from their true entry.  A slice holds slice_rows rows at
     most.  ``step`` fills one table of letters by states; rows then move through it in runs of RUN rows, all runs of a
     slice at once.
     """
@@ -410,14 +518,13 @@ def fold_states(df: DataFrame, by: Sequence[str], order: Sequence[str], letter:
     maps = d.select(*part, *[o for o in order if o not in part], letter).groupBy(*part).applyInPandas(
         summarise, f"{head} _slice long, _map array<string>")
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, state, entry = pdf.sort_values("_slice"), start, []
-        for m in p["_map"]:
-            entry.append(state)
-            state = m[names.index(state)]
-        return p[part].assign(_entry=entry)
+    def merge(rows) -> dict:
+        now = list(names)
+        for r in rows:
+            now = [r["_map"][number[x]] for x in now]
+        return {"_map": now}
 
-    entries = maps.groupBy(*by).applyInPandas(compose, f"{head} _slice long, _entry string")
+    entries = _entry_states(maps, by, _slices_of(d), merge, lambda r, state: r["_map"][number[state]], start, "string")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(order)

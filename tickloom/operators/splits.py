@@ -13,7 +13,7 @@ from .quality import fail_if
 
 def _times(df: DataFrame) -> DataFrame:
     """Distinct times with 0-based position ``_k`` and their number ``_n``."""
-    t = scan.row_index(df.select("ts").distinct(), [], ["ts"], "_k", HOUR)
+    t = scan.row_index(df.select("ts").distinct(), [], ["ts"], "_k", HOUR, most=scan.MOST)
     return t.crossJoin(F.broadcast(df.agg(F.count_distinct("ts").alias("_n"))))
 
 

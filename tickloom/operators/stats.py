@@ -85,7 +85,7 @@ def sortino(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 def _dense_ts(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Distinct times with 0-based position and their number."""
-    t = scan.row_index(df.select(ts).distinct(), [], [ts], "_k", HOUR)
+    t = scan.row_index(df.select(ts).distinct(), [], [ts], "_k", HOUR, most=scan.MOST)
     return t.crossJoin(F.broadcast(df.agg(F.count_distinct(ts).alias("_n"))))
 
 
@@ -107,7 +107,7 @@ def temporal_thirds(df: DataFrame, col: str, variant: str, order: Sequence[str]
 
 def equal_folds(df: DataFrame, k: int, col: str, order: Sequence[str]) -> DataFrame:
     """Fold f holds rows n*f//k up to n*(f+1)//k in order; mean and sign per fold."""
-    d = scan.row_index(df, [], list(order), "_r", HOUR, total="_total")
+    d = scan.row_index(df, [], list(order), "_r", HOUR, total="_total", most=scan.MOST)
     f = F.floor(((F.col("_r") + 1) * k - 1) / F.col("_total")) + 1
     g = d.groupBy(f.cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"))
     return g.withColumn("positive", F.col("mean") > 0)
@@ -172,7 +172,7 @@ def block_bootstrap(df: DataFrame, unit: Column, col: str, reps: int, seed: str,
 def prefix_sums(df: DataFrame, cols: dict[str, Column], order: Sequence[str], slice_width: int = HOUR) -> DataFrame:
     """Exclusive running sums P_name and the row position ``_r``; one extra last row holds the totals."""
     d = df.select(*order, *[c.cast("double").alias(n) for n, c in cols.items()])
-    d = scan.prefix_scan(d, [], list(order), {**{f"P_{n}": ("sum", n) for n in cols}, "_r": ("count", F.lit(1))}, slice_width)
+    d = scan.prefix_scan(d, [], list(order), {**{f"P_{n}": ("sum", n) for n in cols}, "_r": ("count", F.lit(1))}, slice_width, most=scan.MOST)
     out = d.select(F.col("_r"), *[f"P_{n}" for n in cols])
     zero = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_r"), *[F.lit(0.0).alias(f"P_{n}") for n in cols])
     return out.unionByName(zero)
