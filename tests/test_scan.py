@@ -291,3 +291,21 @@ def test_asof_with_a_crowded_moment(spark):
         for _, t, i in left:
             seen = [(u, v) for _, u, v in right if (u <= t if exact else u < t)]
             assert got[i] == (max(seen)[1] if seen else None)
+
+
+@pytest.mark.parametrize("gap", [1, 40])
+def test_a_chain_that_never_forgets_takes_few_passes(spark, gap):
+    """Every second row stays, so a slice's outcome hangs on all slices before it."""
+    import math
+
+    rows = [("g", i, "ab"[i // 3 % 2]) for i in range(330)] + [("h", 1000 * i, "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "grp string, ts long, symbol string")
+    passes: list[int] = []
+    got = events.two_level_thinning(df, ["grp"], 1, gap, slice_rows=11, passes=passes)
+    kept, last, cluster = [], {}, {}
+    for g, t, x in rows:
+        if t - last.get((g, x), -(2 ** 62)) > 1 and t - cluster.get(g, -(2 ** 62)) > gap:
+            kept.append((g, t))
+            last[g, x] = cluster[g] = t
+    assert sorted((r.grp, r.ts) for r in got.collect()) == sorted(kept)
+    assert len(passes) <= scan.TRIES * (math.log2(32) + 1) and passes[0] == 34

@@ -598,40 +598,71 @@ def ranked(df: DataFrame, by: Sequence[str], key: Column, tie: str | Sequence[st
 
 # --- general sequential folds ------------------------------------------------------------------
 
-def slice_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], walk: Callable, out_schema: str, slice_width: int = DAY) -> DataFrame:
+TRIES = 3
+
+
+def slice_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], walk: Callable, out_schema: str, slice_width: int = DAY,
+               slice_rows: int = SLICE_ROWS, passes: list[int] | None = None) -> DataFrame:
     """Exact sequential fold whose state is neither finite nor composable.
 
-    ``walk(rows, state_text) -> (rows_out, state_text)`` runs one slice.  Every slice
-    runs in parallel from an assumed entry state; exits are compared with the assumed
-    entries and the pass repeats until all agree.  Chains forget their start quickly,
-    so a few passes are usual.  The small state table is checkpointed between passes.
+    ``walk(rows, state_text) -> (rows_out, state_text)`` takes the next rows in order.  Slices of at most slice_rows rows are
+    walked side by side from the state that is assumed to enter them; where the slice before leaves another one, they are
+    walked again.  Chains mostly forget their start within a slice, so one or two passes are usual.  After each TRIES passes
+    without agreement, neighbours are joined in pairs and walked one after the other, so a chain that never forgets costs at
+    most TRIES * (log2(slices) + 1) passes.  A task streams over its rows and holds one batch of them and one state.
+    ``passes`` receives the number of slices that each pass walked.
     """
     import pandas as pd
 
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    by, order = list(by), list(order)
-    part = by + ["_slice"]
+    by, order, cols = list(by), list(order), df.columns
     kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    head = ", ".join(f"`{k}` {kt[k]}" for k in by) + ("," if by else "")
-    d = pin(df.withColumn("_slice", bucket_no(order[0], slice_width)))
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, state = walk(pdf.sort_values(order, kind="mergesort"), pdf["_entry"].iloc[0] or "")
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in part}, "_exit": [state]})
+    head = "".join(f"`{k}` {kt[k]}, " for k in by)
+    d = settled(_row_slices(df, by, order, slice_width, slice_rows))
+    most = _slices_of(d)
+    key = [*by, "_slice"]
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = walk(pdf.sort_values(order, kind="mergesort"), pdf["_entry"].iloc[0] or "")
-        return rows
+    def states(batches):
+        """Entry and exit of each slice; the state goes on from slice to slice of a group."""
+        group, now, state, entry = None, None, "", ""
+        for batch in batches:
+            out = []
+            for k, p in batch.groupby([*by, "_grp", "_slice"], sort=False, dropna=False):
+                if k != now:
+                    if now is not None:
+                        out.append((*now[:-2], now[-1], entry, state))
+                    if k[:-1] != group:
+                        group, state = k[:-1], p["_from"].iloc[0]
+                    now, entry = k, state
+                state = walk(p[cols], state)[1]
+            yield pd.DataFrame(out, columns=[*key, "_entry", "_exit"])
+        if now is not None:
+            yield pd.DataFrame([(*now[:-2], now[-1], entry, state)], columns=[*key, "_entry", "_exit"])
+
+    def final(batches):
+        now, state = None, ""
+        for batch in batches:
+            for k, p in batch.groupby(key, sort=False, dropna=False):
+                if k != now:
+                    now, state = k, p["_entry"].iloc[0]
+                rows, state = walk(p[cols], state)
+                yield rows
 
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice")
-    entries = d.select(*part).distinct().withColumn("_entry", F.lit("")).checkpoint()
+    table, join, tries = None, 0, 0
+    todo = d.select(*key).distinct().select(*by, F.col("_slice").alias("_grp"), F.lit("").alias("_from"))
     while True:
-        got = d.join(entries, part).groupBy(*part).applyInPandas(exits, f"{head} _slice long, _exit string")
-        nxt = got.withColumn("_entry", F.coalesce(F.lag("_exit", 1).over(w), F.lit(""))).drop("_exit").checkpoint()
-        moved = nxt.join(entries.withColumnRenamed("_entry", "_was"), part).filter("_entry <> _was").limit(1).count()
-        entries = nxt
-        if moved == 0:
+        rows = d.withColumn("_grp", F.shiftright("_slice", join)).join(todo, [*by, "_grp"])
+        got = rows.repartition(*by, F.col("_grp")).sortWithinPartitions(*by, "_grp", "_slice", *order).mapInPandas(states, f"{head}_slice long, _entry string, _exit string")
+        table = settled(got if table is None else got.withColumn("_new", F.lit(1)).unionByName(table.withColumn("_new", F.lit(0)))
+                        .groupBy(*key).agg(F.max_by(F.struct("_entry", "_exit"), "_new").alias("_s")).select(*key, "_s._entry", "_s._exit"))
+        if passes is not None:
+            passes.append(todo.count())
+        tries += 1
+        if tries % TRIES == 0 and (most - 1) >> join:
+            join += 1
+        t = table.withColumn("_want", F.coalesce(F.lag("_exit").over(w), F.lit(""))).withColumn("_grp", F.shiftright("_slice", join))
+        todo = settled(t.groupBy(*by, "_grp").agg(F.min_by("_want", "_slice").alias("_from"), F.max(F.when(F.col("_entry") != F.col("_want"), 1)).alias("_bad")).filter("_bad = 1").drop("_bad"))
+        if not todo.take(1):
             break
-    return d.join(entries, part).groupBy(*part).applyInPandas(final, out_schema)
+    entries = table.select(*key, "_entry")
+    return d.join(entries, key).repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(final, out_schema)
