@@ -272,3 +272,43 @@ def test_regime_match_searches_the_whole_stratum(frame):
     assert far[1] is not None and abs(far[1] - 150) > 140 and abs(far[2] - 10) > 140 and far[3] is None
     none = {r.id: r.control_ts for r in controls.regime_matched(ev, pool, ["g"], "id", "x", 400).collect()}
     assert none == {1: None, 2: None, 3: None}
+
+
+def test_step_up_and_step_down_over_slices(spark, monkeypatch):
+    """Adjusted p-values of many tests, most of them tied, against the textbook loops; no window spans the family."""
+    import random
+
+    from tickloom.operators import stats
+
+    monkeypatch.setattr(stats, "RANKS", 50)
+    rng = random.Random(8)
+    rows = [(f"t{i:04}", rng.choice([0.0001, 0.001, 0.03, rng.random(), rng.random() ** 3])) for i in range(700)]
+    df = spark.createDataFrame(rows, "test string, p double")
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    n, low, high, ok, bh, holm = len(rows), 1.0, 0.0, True, {}, {}
+    for r in range(n, 0, -1):
+        t, p = order[r - 1]
+        low = min(low, p * n / r)
+        bh[t] = low
+    for r in range(1, n + 1):
+        t, p = order[r - 1]
+        high, ok = max(high, min(1.0, (n - r + 1) * p)), ok and p <= 0.05 / (n - r + 1)
+        holm[t] = (high, ok)
+    accepted = max((r for r in range(1, n + 1) if order[r - 1][1] <= 0.05 * r / n), default=0)
+    d = stats.holm(stats.bh(df, "p", "test"), "p", "test")
+    assert d.columns == ["test", "p", "accepted", "bh_adjusted", "holm_adjusted", "rejected"]
+    got = {r.test: r for r in d.collect()}
+    assert len(got) == n and {t for t, r in got.items() if r.accepted} == {t for t, _ in order[:accepted]}
+    assert all(abs(got[t].bh_adjusted - bh[t]) < 1e-12 and abs(got[t].holm_adjusted - holm[t][0]) < 1e-12 and got[t].rejected == holm[t][1] for t in got)
+
+
+def test_radix_selection_keeps_the_smallest_draws(spark):
+    from tickloom.operators import stats
+
+    df = spark.range(500).select("id", ((F.col("id") * 37) % 101 - 50.0).alias("net"))
+    draws = {(r.rep, r.id): r.h for r in df.crossJoin(spark.range(4).withColumnRenamed("id", "rep")).select("rep", "id", stats.draw("s", F.col("rep").cast("int"), F.col("id")).alias("h")).collect()}
+    net = {r.id: r.net for r in df.collect()}
+    for bits in (12, 3):  # few bits leave many rows for the last step
+        for r in stats.random_coverage(df, 0.3, 4, "s", bits=bits).collect():
+            kept = sorted(range(500), key=lambda i: (draws[r.rep, i], i))[:150]
+            assert abs(r.net - sum(net[i] for i in kept) / 150) < 1e-9

@@ -221,33 +221,59 @@ def circular_shift(df: DataFrame, fold: str, week: str, value: str, other: str,
     return m.groupBy("rep").agg(F.corr("v", "o").alias("statistic"), F.count(F.lit(1)).alias("weeks"))
 
 
-def random_coverage(df: DataFrame, keep: float, reps: int, seed: str, col: str = "net", ident: str = "id") -> DataFrame:
-    """Permutation baseline: the rows with the smallest round(keep*n) hash ranks per repetition."""
-    d = df.select(ident, F.col(col).alias("_x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", draw(seed, F.col("rep"), F.col(ident)))
-    # equal-width hash slices are balanced, so the rank needs no value bounds
-    d = scan.row_index(d, ["rep"], ["_h", ident], "_r", slice_col=F.shiftright("_h", 52))
-    d = d.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"), F.sum(col).alias("_all"), n_(F.col(col) <= 0).alias("_bad"))))
-    kept = F.col("_r") < F.greatest(F.lit(1), F.bround(F.col("_n") * keep))
-    g = d.groupBy("rep").agg(F.avg(F.when(kept, F.col("_x"))).alias("net"), (n_(~kept & (F.col("_x") <= 0)) / F.max("_bad")).alias("bad_rejected"), (F.sum(F.when(kept, F.col("_x"))) - F.max("_all")).alias("guard_value"))
-    return g
+def _holding(counts: DataFrame, digit: str) -> DataFrame:
+    """Per rep, the digit whose rows hold the k-th of counts(rep, digit, n, k), and k within it."""
+    w = Window.partitionBy("rep").orderBy(digit).rowsBetween(scan.UP, 0)
+    c = counts.withColumn("_upto", F.sum("_c").over(w))
+    return c.filter((F.col("_upto") - F.col("_c") < F.col("_k")) & (F.col("_k") <= F.col("_upto"))).withColumn("_k", F.col("_k") - F.col("_upto") + F.col("_c")).select("rep", digit, "_k")
+
+
+def random_coverage(df: DataFrame, keep: float, reps: int, seed: str, col: str = "net", ident: str = "id", bits: int = 12) -> DataFrame:
+    """Permutation baseline: the rows with the smallest round(keep*n) hash ranks per repetition.
+
+    The last row kept is found by radix selection: counts by the first ``bits`` of the 60-bit hash, then by the next, leave a
+    few of n rows to be put in order.  Rows are never shuffled once a repetition: what moves is at most 2^bits counts a
+    repetition and task, and those few rows.
+    """
+    d = df.select(F.col(ident).alias("_id"), F.col(col).alias("_x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", draw(seed, F.col("rep"), F.col("_id")))
+    d = d.withColumns({"_d1": F.shiftright("_h", 60 - bits), "_d2": F.shiftright("_h", 60 - 2 * bits)})
+    whole = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(col).alias("_all"), n_(F.col(col) <= 0).alias("_bad"))
+    k = whole.select(F.greatest(F.lit(1), F.bround(F.col("_n") * keep)).cast("long").alias("_k"))
+    one = _holding(d.groupBy("rep", "_d1").agg(F.count(F.lit(1)).alias("_c")).crossJoin(F.broadcast(k)), "_d1")
+    in_one = d.join(F.broadcast(one), ["rep", "_d1"])  # one row a repetition
+    two = _holding(in_one.groupBy("rep", "_d2", "_k").agg(F.count(F.lit(1)).alias("_c")), "_d2")
+    rest = d.join(F.broadcast(two), ["rep", "_d2"]).withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("_h", "_id")))
+    last = rest.filter("_r = _k").select("rep", F.struct("_h", "_id").alias("_last"))
+    kept = F.struct("_h", "_id") <= F.col("_last")
+    g = d.join(F.broadcast(last), "rep").crossJoin(F.broadcast(whole)).groupBy("rep")
+    return g.agg(F.avg(F.when(kept, F.col("_x"))).alias("net"), (n_(~kept & (F.col("_x") <= 0)) / F.max("_bad")).alias("bad_rejected"), (F.sum(F.when(kept, F.col("_x"))) - F.max("_all")).alias("guard_value"))
 
 
 # --- multiple testing, association --------------------------------------------------------------------------
 
+RANKS = 65_536
+
+
+def _tests(df: DataFrame, p: str, ident: str) -> DataFrame:
+    """df with the rank ``_r`` (from 1) of each test by (p, ident), and their number ``_n``."""
+    part = F.coalesce(F.floor(F.col(p) * 4096), F.lit(-1)).cast("long")
+    return scan.row_index(df, [], [p, ident], "_r", slice_col=part, total="_n", most=RANKS).withColumn("_r", F.col("_r") + 1)
+
+
 def bh(df: DataFrame, p: str, ident: str, alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg accept set and adjusted p; a test family is a short table."""
-    w, n = Window.partitionBy(F.lit(0)).orderBy(p, ident), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    d = df.withColumns({"_r": F.row_number().over(w), "_n": n})
-    cut = F.max(F.when(F.col(p) <= alpha * F.col("_r") / F.col("_n"), F.col("_r"))).over(Window.partitionBy(F.lit(0)))
-    adj = F.min(F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_r"))).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return d.withColumns({"accepted": F.coalesce(F.col("_r") <= cut, F.lit(False)), "bh_adjusted": adj}).drop("_r", "_n")
+    """Benjamini-Hochberg accept set and adjusted p.  The running minimum comes from the far end, over slices of RANKS tests."""
+    d = _tests(df, p, ident).withColumn("_back", -F.col("_r"))
+    cut = d.agg(F.max(F.when(F.col(p) <= alpha * F.col("_r") / F.col("_n"), F.col("_r"))).alias("_cut"))
+    d = scan.prefix_scan(d, [], ["_back"], {"bh_adjusted": ("min", F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_r")))}, RANKS)
+    d = d.crossJoin(F.broadcast(cut))  # one row
+    return d.withColumn("accepted", F.coalesce(F.col("_r") <= F.col("_cut"), F.lit(False))).select(*df.columns, "accepted", "bh_adjusted")
 
 
 def holm(df: DataFrame, p: str, ident: str, alpha: float = 0.05) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(p, ident)
-    d = df.withColumns({"_m": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) - F.row_number().over(w) + 1})
-    run = w.rowsBetween(scan.UP, 0)
-    return d.withColumns({"holm_adjusted": F.max(F.least(F.lit(1.0), F.col("_m") * F.col(p))).over(run), "rejected": F.min((F.col(p) <= alpha / F.col("_m")).cast("int")).over(run) == 1}).drop("_m")
+    """Holm's adjusted p and reject set, by a running maximum and minimum over slices of RANKS tests."""
+    d = _tests(df, p, ident).withColumn("_m", F.col("_n") - F.col("_r") + 1)
+    d = scan.prefix_scan(d, [], ["_r"], {"holm_adjusted": ("max", F.least(F.lit(1.0), F.col("_m") * F.col(p))), "_ok": ("min", (F.col(p) <= alpha / F.col("_m")).cast("int"))}, RANKS)
+    return d.select(*df.columns, "holm_adjusted", (F.col("_ok") == 1).alias("rejected"))
 
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
