@@ -3,7 +3,7 @@
 log posterior(l) = log prior(host, l) + s * text log-likelihood(l) + log P(declared | l) + log P(address | l).
 
 Text: hashed byte-trigram models, fitted on a bounded sample of the rows of each language label, and a background model with all
-trigrams alike ("und").  s makes a text count as at most ``most_evidence`` trigrams, since neighbours are not independent.
+trigrams alike ("und").  All tables together take 64 MB at most: beyond 256 labels they have fewer buckets each.  s makes a text count as at most ``most_evidence`` trigrams, since neighbours are not independent.
 Declared markup language and address suffix: their frequencies given the language that the text alone suggests, counted by
 grouped aggregation over all rows.  Host prior: counts of text posteriors per host, smoothed towards those of the domain,
 which are smoothed towards those of all rows.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import common as C, text as T
 
 BUCKETS = 1 << 16
+TABLE_CELLS = 1 << 24
 UND = "und"
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
@@ -48,34 +49,46 @@ def trigrams(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(rows: list[tuple[str, str]], least_rows: int = 5) -> dict:
     """Trigram log-probabilities of each label with enough rows, from (text, label) pairs."""
-    counts: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
+    for _, label in rows:
+        seen[label] = seen.get(label, 0) + 1
+    buckets = BUCKETS
+    while buckets * len(seen) > TABLE_CELLS:
+        buckets //= 2
+    counts: dict[str, np.ndarray] = {}
     for text, label in rows:
         b = np.frombuffer(text.encode(), np.uint8)
         key, ok = trigrams(b, np.array([0, len(b)]))
-        counts.setdefault(label, np.zeros(BUCKETS))
-        counts[label] += np.bincount(key[ok], minlength=BUCKETS)
-        seen[label] = seen.get(label, 0) + 1
+        counts.setdefault(label, np.zeros(buckets))
+        counts[label] += np.bincount(key[ok] & (buckets - 1), minlength=buckets)
     langs = sorted(x for x in counts if seen[x] >= least_rows)
-    table = [np.log((counts[x] + 0.01) / (counts[x].sum() + 0.01 * BUCKETS)) for x in langs] + [np.full(BUCKETS, -np.log(BUCKETS))]
+    table = [np.log((counts[x] + 0.01) / (counts[x].sum() + 0.01 * buckets)) for x in langs] + [np.full(buckets, -np.log(buckets))]
     return {"langs": [*langs, UND], "table": np.array(table, np.float32)}
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 3000, most_chars: int = 20_000, each: int = 200) -> list[tuple[str, str]]:
-    """The first most_chars characters of texts of every label, by hash order: an equal share of ``rows`` for each label, or ``each`` if that is more."""
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 3000, most_chars: int = 20_000, each: int = 200,
+           most_rows: int = 40_000, least: int = 5) -> list[tuple[str, str]]:
+    """Beginnings of texts of every label, by hash order: an equal share of ``rows`` for each label, or ``each`` if that is more.
+
+    Never more than most_rows texts: with many labels each has fewer, with more than most_rows / least the most frequent
+    labels share them.  A text gives most_chars characters, fewer where the texts together would pass rows x most_chars.
+    Equal rows count once.
+    """
     t = F.col(text_col)
-    d = df.filter(t.isNotNull() & F.col(label_col).isNotNull())
-    sizes = d.groupBy(F.col(label_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if not sizes:
-        return []
-    most = max(each, rows // len(sizes))
-    # rows whose hash lies under a bound by their label's size: six deviations more than wanted, so that hardly any draw falls short
     span = 1 << 40
-    bounds = df.sparkSession.createDataFrame([(r.l, min(span, int(span * (most + 6 * most ** 0.5 + 10) / r.n))) for r in sizes], "_l string, bound long")
     h = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"), t), F.lit(span))
-    drawn = d.join(F.broadcast(bounds), F.col(label_col) == F.col("_l")).withColumn("h", h).filter("h < bound")
+    d = df.filter(t.isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).alias("_l"), h.alias("h"), t.alias("t"))
+    sizes = d.groupBy("_l").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "_l").limit(most_rows // least).collect()
+    if not sizes:
+        return []
+    most = min(max(each, rows // len(sizes)), most_rows // len(sizes))
+    chars = min(most_chars, max(1, rows * most_chars // (most * len(sizes))))
+    # rows whose hash lies under a bound by their label's size, an estimate: enough more than wanted that hardly any draw falls short
+    want = 1.15 * (most + 6 * most ** 0.5 + 10)
+    bounds = df.sparkSession.createDataFrame([(r["_l"], min(span, int(span * want / max(1, r.n)))) for r in sizes], "_b string, bound long")
+    drawn = d.join(F.broadcast(bounds), F.col("_l") == F.col("_b")).filter("h < bound").select("_l", "h", F.substring("t", 1, chars).alias("t")).distinct()
     got: dict[str, list[tuple[int, str]]] = {}
-    for r in drawn.select("h", F.substring(t, 1, most_chars).alias("t"), "_l").collect():
+    for r in drawn.collect():
         got.setdefault(r["_l"], []).append((r.h, r.t))
     return [(text, label) for label in sorted(got) for _, text in sorted(got[label])[:most]]
 
@@ -97,6 +110,7 @@ def text_evidence(df: DataFrame, model: dict, most_evidence: int = 60) -> DataFr
                 if not len(b):
                     continue
                 key, ok = trigrams(b, doc)
+                key &= table.shape[1] - 1
                 full = np.flatnonzero(doc[1:] > doc[:-1])
                 first = doc[:-1][full]
                 size[i + full] = np.add.reduceat(ok, first, dtype=np.int64)

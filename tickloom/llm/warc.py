@@ -118,8 +118,16 @@ def ranges(index: DataFrame, max_gap: int = 64 << 10, range_bytes: int = 8 << 20
     return r.groupBy("archive", "r").agg(F.min("offset").alias("start"), F.max(end).alias("stop"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records")).drop("r")
 
 
+def tasks(n: int) -> int:
+    """How many tasks read n ranges: one each up to 1,024, then up to 16 each."""
+    return max(1, min(n, max(1024, -(-n // 16))))
+
+
 def read(index: DataFrame, folder: str, **kw) -> DataFrame:
-    """The records that the index rows name, read back and checked against their digests."""
+    """The records that the index rows name, read back and checked against their digests.
+
+    The ranges are stored and counted first: their rows are few bytes, so nothing but their number tells how much they stand for.
+    """
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
 
     def run(frames):
@@ -140,5 +148,5 @@ def read(index: DataFrame, folder: str, **kw) -> DataFrame:
                     out[c] = pd.array([r[out.columns.get_loc(c)] for r in rows], "Int64")
                 yield out
 
-    r = ranges(index, **kw)
-    return r.repartition(F.col("archive"), F.col("start")).select("archive", "start", "stop", "records").mapInPandas(run, schema)
+    r = C.stored(ranges(index, **kw), "warc-ranges")
+    return r.repartition(tasks(r.count()), F.col("archive"), F.col("start")).select("archive", "start", "stop", "records").mapInPandas(run, schema)
