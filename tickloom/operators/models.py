@@ -8,11 +8,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import clip, div, logistic
-from . import order_stats
+from . import order_stats, scan
 
 
 def _medians(df: DataFrame, names: Sequence[str]):
@@ -120,12 +120,73 @@ def apply_platt(prob: str, fit: tuple[float, float]) -> Column:
     return logistic(fit[0] * logit(F.col(prob)) + fit[1])
 
 
-def fit_isotonic(df: DataFrame, prob: str, label: str):
-    return IsotonicRegression(featuresCol="_x", labelCol="_y").fit(df.select(F.col(prob).alias("_x"), F.col(label).cast("double").alias("_y")))
-
-
-def apply_isotonic(model, df: DataFrame, prob: str, out: str) -> DataFrame:
-    return model.transform(df.withColumn("_x", F.col(prob))).withColumn(out, F.col("prediction")).drop("_x", "prediction")
+def _lower_hull(pdf):
+    """The corners of the lower convex hull of points (_N, _S) in ascending _N; both ends stay."""
+    p = pdf.sort_values("_N", ignore_index=True)
+    ns, ss, keep = p["_N"].tolist(), p["_S"].tolist(), []
+    for i, (n, s) in enumerate(zip(ns, ss)):
+        while len(keep) > 1:
+            a, b = keep[-2], keep[-1]
+            if (ss[b] - ss[a]) * (n - ns[b]) < (s - ss[b]) * (ns[b] - ns[a]):
+                break
+            keep.pop()
+        keep.append(i)
+    return p.iloc[keep]
+
+
+def fit_isotonic(df: DataFrame, prob: str, label: str, rows: int = 65_536) -> DataFrame:
+    """Least-squares non-decreasing fit as blocks (block, lo, hi, n, value, next_lo, next_value), lowest first.
+
+    Rows become counts per distinct probability, whose running sums are points; the fit's values are the slopes of their lower
+    convex hull.  Windows of at most ``rows`` points keep their own hull's corners, rounds with windows shifted by half go on
+    with what is left, and when neither placement drops a point every corner is convex, so the hull is whole.  Nothing but
+    counts reaches the driver.  Rows with a NULL or NaN probability or a NULL label are left out.
+    """
+    x = F.col(prob).cast("double")
+    d = df.filter(x.isNotNull() & ~F.isnan(x) & F.col(label).isNotNull()).groupBy(x.alias("_x")).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.col(label).cast("double")).alias("_s"))
+    d = scan.settled(d)
+    # a point stands before its probability; the last one stands after all
+    p = scan.prefix_scan(d, [], ["_x"], {"_N": ("sum", "_n"), "_S": ("sum", "_s"), "_prev": ("last", "_x")}, slice_col=scan.log_slice(F.col("_x")), exclusive=True, most=scan.MOST)
+    p = p.select("_x", "_prev", F.coalesce("_N", F.lit(0.0)).alias("_N"), F.coalesce("_S", F.lit(0.0)).alias("_S"))
+    p = p.unionByName(d.agg(F.lit(None).cast("double").alias("_x"), F.max("_x").alias("_prev"), F.sum("_n").alias("_N"), F.sum("_s").alias("_S")).filter("_N is not null"))
+
+    def placed(t: DataFrame) -> DataFrame:
+        return scan.settled(scan.row_index(t.select("_x", "_prev", "_N", "_S"), [], ["_N"], "_i", slice_col=scan.log_slice(F.col("_N")), most=scan.MOST))
+
+    p, quiet, shift = placed(p), 0, 0
+    left = p.count()
+    while quiet < 2:
+        small = left <= rows
+        g = F.lit(0).cast("long") if small else F.floor((F.col("_i") + shift) / rows)
+        q = scan.settled(p.withColumn("_g", g).groupBy("_g").applyInPandas(_lower_hull, "_x double, _prev double, _N double, _S double, _i long, _g long"))
+        n = q.count()
+        quiet = 2 if small else quiet + 1 if n == left else 0
+        shift = rows // 2 - shift
+        p, left = (p, n) if n == left else (placed(q), n)
+    at = lambda k, **cols: p.select((F.col("_i") - k).alias("block"), *[F.col(c).alias(o) for o, c in cols.items()])
+    b = at(0, lo="_x", _N0="_N", _S0="_S").join(at(1, hi="_prev", _N1="_N", _S1="_S"), "block")
+    b = scan.settled(b.select("block", "lo", "hi", (F.col("_N1") - F.col("_N0")).alias("n"), ((F.col("_S1") - F.col("_S0")) / (F.col("_N1") - F.col("_N0"))).alias("value")))
+    return b.join(b.select((F.col("block") - 1).alias("block"), F.col("lo").alias("next_lo"), F.col("value").alias("next_value")), "block", "left")
+
+
+def apply_isotonic(blocks: DataFrame, df: DataFrame, prob: str, out: str) -> DataFrame:
+    """df with the fitted value: a block's inside it, straight lines between blocks, the nearest block's outside; NULL for NULL or NaN.
+
+    Each row finds its block by a running last over blocks and rows in order, in row-bounded slices.
+    """
+    x = F.col(prob).cast("double")
+    x = F.when(~F.isnan(x), x)
+    names = df.columns
+    rows = df.select(x.alias("_x"), F.lit(1).alias("_kind"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    fit = blocks.select(F.col("lo").alias("_x"), F.lit(0).alias("_kind"), F.struct("lo", "hi", "value", "next_lo", "next_value").alias("_block"))
+    d = rows.unionByName(fit, allowMissingColumns=True)
+    d = scan.prefix_scan(d, [], ["_x", "_kind"], {"_at": ("last", "_block")}, slice_col=scan.log_slice(F.col("_x")), most=scan.MOST).filter("_kind = 1")
+    first = blocks.filter("block = 0").select(F.col("value").alias("_first"))
+    a = lambda c: F.col("_at")[c]
+    between = a("value") + (a("next_value") - a("value")) * (F.col("_x") - a("hi")) / (a("next_lo") - a("hi"))
+    v = F.when(F.col("_x").isNull(), None).when(F.col("_at").isNull(), F.col("_first")).when((F.col("_x") <= a("hi")) | a("next_lo").isNull(), a("value")).otherwise(between)
+    return d.join(F.broadcast(first), how="left").select(*[F.col("_row")[c].alias(c) for c in names], v.alias(out))
 
 
 def shrunk_rates(df: DataFrame, key: str, label: str, k: float) -> DataFrame:

@@ -91,6 +91,16 @@ def _(v):
     return M.select_calibrator(d.withColumn("raw", F.col("p_clean")), ["raw", "platt", "isotonic"], "y")
 
 
+@query("calibration_isotonic", "scored", """
+d AS (SELECT mae*49 AS x, count(*) AS n, sum((net+mae*4.9>0.04)::INT) AS s FROM scored GROUP BY 1),
+c AS (SELECT x, sum(n) OVER w AS n1, sum(s) OVER w AS s1, sum(n) OVER w - n AS n0, sum(s) OVER w - s AS s0 FROM d WINDOW w AS (ORDER BY x)),
+m AS (SELECT a.x AS ax, b.x, min((b.s1-a.s0)/(b.n1-a.n0)) OVER (PARTITION BY a.x ORDER BY b.x DESC) AS v FROM c a JOIN c b ON b.x>=a.x)
+SELECT id, round(v,9)+0.0 AS p FROM scored JOIN (SELECT x, max(v) AS v FROM m GROUP BY 1) f ON f.x=mae*49""")
+def _(v):
+    d = v.scored.select("id", (F.col("mae") * 49).alias("x"), (F.col("net") + F.col("mae") * 4.9 > 0.04).cast("int").alias("y"))
+    return M.apply_isotonic(M.fit_isotonic(d, "x", "y"), d, "x", "p").select("id", (F.round("p", 9) + 0.0).alias("p"))
+
+
 @query("calibration_shrinkage", "scored", """
 g AS (SELECT symbol, count(*) AS n, avg(label) AS l FROM scored GROUP BY 1), a AS (SELECT avg(label) AS gl FROM scored)
 SELECT symbol, n, round(l,8)+0.0 AS local, round(gl,8)+0.0 AS "global", round(n/(n+500.0),8)::DOUBLE+0.0 AS local_weight, round(gl*(1-n/(n+500.0))+l*n/(n+500.0),8)+0.0 AS shrunk FROM g, a""")
