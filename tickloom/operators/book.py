@@ -15,73 +15,113 @@ def _imbalance(b: Column, a: Column) -> Column:
     return F.coalesce(div(b - a, F.nullif(b + a, F.lit(0.0))), F.lit(0.0))
 
 
-def with_generation(l2: DataFrame) -> DataFrame:
-    """Number of snapshot messages up to each message; rows of one message share (symbol, ts)."""
-    msg = l2.groupBy("symbol", "ts").agg(F.max(F.col("is_snapshot").cast("int")).alias("_snap"))
-    msg = scan.prefix_scan(msg, ["symbol"], ["ts"], {"generation": ("sum", "_snap")}).drop("_snap")
-    return l2.join(msg, ["symbol", "ts"]).filter(F.col("generation") > 0)
+COUNTERS = ("bid_replenishment", "bid_depletion", "ask_replenishment", "ask_depletion")
 
 
-def book_as_of(l2: DataFrame, times: DataFrame, bucket: int, depths: Sequence[int] = (1, 5, 10, 20), bands: Sequence[float] = (1, 2, 5), strict: bool = True) -> DataFrame:
+def _replay(depths: Sequence[int], bands: Sequence[float]):
+    """Function of one slice: the books at its sample rows, and a last row (ts NULL) with the slice's counters.
+
+    Rows come with the book that entered the slice (``_i`` -1).  A side's book is an array over the slice's own price ladder,
+    best first; the writes between two samples are laid on it at once, a new generation clears it.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", kind="stable")
+        s = pdf[pdf["_kind"] == 2]
+        si, sg = s["_i"].to_numpy(), s["_g"].to_numpy()
+        out = {c: np.zeros(len(s) + 1) for c in COUNTERS}
+        books = []
+        for side, sign in (("bid", -1.0), ("ask", 1.0)):
+            u = pdf[(pdf["_kind"] < 2) & (pdf["side"] == side)]
+            g, raw = u["_g"].to_numpy(), u["amount"].to_numpy("float64")
+            held = np.where(np.isnan(raw), 0.0, raw)
+            ladder, at = np.unique(sign * u["price"].to_numpy("float64"), return_inverse=True)
+            o = np.lexsort((at, g))                                     # stable: a level's writes of a generation in order
+            before = np.zeros(len(u))
+            before[o[1:]] = np.where((g[o[1:]] == g[o[:-1]]) & (at[o[1:]] == at[o[:-1]]), held[o[:-1]], 0.0)
+            delta = np.where((u["_kind"] == 1) & (u["_i"] >= 0) & ~np.isnan(raw), raw - before, 0.0)
+            pos = np.searchsorted(u["_i"].to_numpy(), si)
+            for name, d in (("replenishment", delta.clip(min=0)), ("depletion", (-delta).clip(min=0))):
+                out[f"{side}_{name}"] = np.append(np.append(0.0, np.cumsum(d))[pos], d.sum())
+            books.append((ladder, at, held, pos, np.searchsorted(g, sg), np.zeros(len(ladder))))
+        names = ["best_bid", "best_ask", "_ba", "_aa", *[f"_{x}{k}" for x in "ba" for k in depths], *[f"_{x}d{n}" for x in "ba" for n in range(len(bands))]]
+        rows, at_gen, done = [], None, [0, 0]
+        for k in range(len(s)):
+            fresh = sg[k] != at_gen
+            if not fresh and all(done[n] == b[3][k] for n, b in enumerate(books)):
+                rows.append(rows[-1])
+                continue
+            at_gen, live = sg[k], []
+            for n, (ladder, at, held, pos, start, book) in enumerate(books):
+                if fresh:
+                    book[:], done[n] = 0.0, start[k]
+                book[at[done[n]:pos[k]]] = held[done[n]:pos[k]]       # of several writes the last stays
+                done[n] = pos[k]
+                on = np.flatnonzero(book > 0)
+                live.append((ladder[on], book[on]))
+            (bp, ba), (ap, aa) = live
+            bid, ask = -bp[0] if len(bp) else np.nan, ap[0] if len(ap) else np.nan
+            mid, deep = (bid + ask) / 2, []
+            for (p, x), sign in zip(live, (-1.0, 1.0)):
+                deep += [0.0 if np.isnan(mid) else x[:np.searchsorted(p, sign * mid * (1 + sign * d / 10000), "right")].sum() for d in bands]
+            rows.append([bid, ask, ba[:1].sum(), aa[:1].sum(), *[x[:d].sum() for x in (ba, aa) for d in depths], *deep])
+        e = pd.DataFrame(rows, columns=names, dtype="float64").reindex(range(len(s) + 1))
+        head = pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "_slice": pdf["_slice"].iloc[0], "ts": pd.array([*s["ts"], None], "Int64"), "_g": pd.array([*sg, None], "Int64")})
+        return pd.concat([head, pd.DataFrame(out), e], axis=1)
+
+    return replay
+
+
+def book_as_of(l2: DataFrame, times: DataFrame, slice_rows: int = 16_384, depths: Sequence[int] = (1, 5, 10, 20), bands: Sequence[float] = (1, 2, 5), strict: bool = True) -> DataFrame:
     """Book features per (symbol, ts) of ``times``: best levels, mid, microprice, spread, imbalance, depth, counters.
 
-    Each level row is valid until the next row of its (symbol, generation, side, price)
-    or the next snapshot; samples meet valid levels in an interval join on time
-    buckets.  Depletion and replenishment are running sums taken as of the sample.
+    Updates and samples are put in one order and cut into slices of ``slice_rows`` rows of a symbol.  A slice is summed up as the
+    last write of each level; a write is carried to the slices after it as far as the level's next write or the end of its
+    generation, so every slice starts from its own book and all are replayed at once.  Carried rows are the live levels
+    once per slice: take ``slice_rows`` above the depth of a book.  Rows of one message share (symbol, ts); of several writes
+    of a level in one message updates beat snapshot rows, then the largest amount stays.  A NULL amount removes a level without counting; rows
+    with another side or no price are left out, and so are samples before the first snapshot or of a book without levels.
     """
-    g = scan.settled(with_generation(l2))
-    gens = g.filter("is_snapshot").groupBy("symbol", "generation").agg(F.min("ts").alias("_start"))
-    wg = Window.partitionBy("symbol").orderBy("generation")
-    gens = gens.select("symbol", "generation", F.lead("_start").over(wg).alias("_gend"))      # one row per snapshot
-    wl = Window.partitionBy("symbol", "generation", "side", "price").orderBy("ts")
-    lv = g.withColumns({"_next": F.lead("ts").over(wl), "_prev": F.coalesce(F.lag("amount").over(wl), F.lit(0.0))})
-    delta = F.col("amount") - F.col("_prev")
-    kinds = {f"{s}_{k}": F.when((F.col("side") == s) & ~F.col("is_snapshot") & cond, F.abs(delta)).otherwise(0.0)
-             for s in ("bid", "ask") for k, cond in (("replenishment", delta > 0), ("depletion", delta <= 0))}
-    per = lv.groupBy("symbol", "ts").agg(*[F.sum(e).alias(n) for n, e in kinds.items()], F.max("generation").alias("generation"))
-    run = scan.prefix_scan(per, ["symbol"], ["ts"], {f"c_{n}": ("sum", n) for n in kinds}).select("symbol", "ts", "generation", *[F.col(f"c_{n}").alias(n) for n in kinds])
-    s = joins.asof_join(times.select("symbol", "ts"), run, columns=["generation", *kinds]).filter("generation is not null")
-    end = F.least(F.col("_next"), F.col("_gend"))
-    live = lv.join(gens, ["symbol", "generation"], "left").filter(F.col("amount") > 0).select("symbol", "generation", "side", "price", "amount", F.col("ts").alias("_from"), end.alias("_to"))
-    top = times.agg(F.max("ts").alias("_max"))
-    live = live.crossJoin(F.broadcast(top)).withColumn("_to", F.coalesce("_to", F.greatest(F.col("_max"), F.col("_from")) + 1)).filter(F.col("_from") <= F.col("_max")).drop("_max")
-    j = joins.interval_join(live, times.select("symbol", "ts"), "_from", "_to", "[)", bucket).select("symbol", F.col("r_ts").alias("ts"), "side", "price", "amount")
-    better = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    j = j.withColumn("_r", F.row_number().over(Window.partitionBy("symbol", "ts", "side").orderBy(better)))
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    amt = lambda c: F.sum(F.when(c, F.col("amount")).otherwise(0.0))
-    b = j.groupBy("symbol", "ts").agg(
-        F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), amt(bid & (F.col("_r") == 1)).alias("_ba"), amt(ask & (F.col("_r") == 1)).alias("_aa"),
-        *[amt(bid & (F.col("_r") <= k)).alias(f"_b{k}") for k in depths], *[amt(ask & (F.col("_r") <= k)).alias(f"_a{k}") for k in depths],
-        F.collect_list(F.when(bid, F.struct("price", "amount"))).alias("_bl"), F.collect_list(F.when(ask, F.struct("price", "amount"))).alias("_al"))
+    kind = F.when(F.col("is_snapshot"), 0).otherwise(1)
+    t = l2.select("symbol", "ts", kind.alias("_kind"), "side", F.col("price").cast("double").alias("price"), F.col("amount").cast("double").alias("amount"))
+    t = t.unionByName(times.select("symbol", "ts", F.lit(2).alias("_kind")), allowMissingColumns=True).filter("symbol is not null and ts is not null")
+    t = scan.settled(t)                                                 # counted, summed and numbered below
+    t = scan.prefix_scan(t, ["symbol"], ["ts", "_kind", "side", "price", "amount"], {"_i": ("count", F.lit(1)), "_g": ("max", F.when(F.col("_kind") == 0, F.col("ts")))}, most=scan.MOST)
+    t = scan.settled(t.filter("_g is not null").withColumn("_slice", F.floor(F.col("_i") / slice_rows).cast("long")))
+    gens = scan.row_index(t.filter("_kind = 0").select("symbol", F.col("ts").alias("_g")).distinct(), ["symbol"], ["_g"]).select("symbol", "_g", (F.col("_i") + 1).alias("generation"))
+    rows = t.filter("_kind = 2 or side in ('bid', 'ask') and price is not null")
+    level = ["symbol", "_g", "side", "price"]
+    last = rows.filter("_kind < 2").groupBy(*level, "_slice").agg(F.max_by(F.struct("amount"), "_i")["amount"].alias("amount"))
+    last = last.withColumn("_next", F.lead("_slice").over(Window.partitionBy(*level).orderBy("_slice"))).filter("amount > 0")
+    ends = t.groupBy("symbol", "_g").agg(F.max("_slice").alias("_end"))
+    held = last.join(ends, ["symbol", "_g"]).withColumn("_to", F.least("_next", "_end")).filter(F.col("_to") > F.col("_slice"))
+    held = held.withColumn("_slice", F.explode(F.sequence(F.col("_slice") + 1, F.col("_to"))))
+    held = held.select("symbol", "_g", "side", "price", "amount", "_slice", F.lit(0).alias("_kind"), F.lit(-1).cast("long").alias("_i"), F.lit(None).cast("long").alias("ts"))
+    sums = [*[f"_{x}{k}" for x in "ba" for k in depths], *[f"_{x}d{n}" for x in "ba" for n in range(len(bands))]]
+    schema = "symbol string, _slice long, ts long, _g long, " + ", ".join(f"`{c}` double" for c in (*COUNTERS, "best_bid", "best_ask", "_ba", "_aa", *sums))
+    b = scan.settled(rows.unionByName(held).groupBy("symbol", "_slice").applyInPandas(_replay(depths, bands), schema))
+    w = Window.partitionBy("symbol").orderBy("_slice").rowsBetween(scan.UP, -1)
+    past = b.filter("ts is null").select("symbol", "_slice", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(f"_c_{c}") for c in COUNTERS])
+    b = b.filter("ts is not null").join(past, ["symbol", "_slice"]).join(gens, ["symbol", "_g"])
+    b = b.select("symbol", "ts", "generation", *[(F.col(c) + F.col(f"_c_{c}")).alias(c) for c in COUNTERS], *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("best_bid", "best_ask")], "_ba", "_aa", *sums)
+    b = b.filter("best_bid is not null or best_ask is not null")
     if strict:
         b = fail_if(b, F.col("best_bid").isNull() | F.col("best_ask").isNull() | (F.col("best_bid") >= F.col("best_ask")), "book incomplete or crossed")
-    mid = (F.col("best_bid") + F.col("best_ask")) / 2
-    b = b.withColumn("mid", mid)
+    b = b.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
     micro = div(F.col("best_ask") * F.col("_ba") + F.col("best_bid") * F.col("_aa"), F.col("_ba") + F.col("_aa"))
-    inside = lambda arr, ok: F.aggregate(F.filter(arr, ok), F.lit(0.0), lambda acc, x: acc + x["amount"])
     cols = {"spread_bps": (F.col("best_ask") - F.col("best_bid")) / F.col("mid") * 10000, "microprice_minus_mid_bps": (micro / F.col("mid") - 1) * 10000}
     cols |= {f"obi_l{k}": _imbalance(F.col(f"_b{k}"), F.col(f"_a{k}")) for k in depths}
-    for d in bands:
-        lo, hi = F.col("mid") * (1 - d / 10000), F.col("mid") * (1 + d / 10000)
-        cols[f"bid_depth_{d}bp"] = inside("_bl", _at_least(lo))
-        cols[f"ask_depth_{d}bp"] = inside("_al", _at_most(hi))
-    b = b.withColumns(cols).drop("_ba", "_aa", "_bl", "_al", *[f"_{x}{k}" for x in "ba" for k in depths])
-    return s.join(b, ["symbol", "ts"])
-
-
-def _at_least(lo: Column):
-    return lambda x: x["price"] >= lo
-
-
-def _at_most(hi: Column):
-    return lambda x: x["price"] <= hi
+    for n, d in enumerate(bands):
+        cols |= {f"bid_depth_{d}bp": F.col(f"_bd{n}"), f"ask_depth_{d}bp": F.col(f"_ad{n}")}
+    return b.withColumns(cols).drop("_ba", "_aa", *sums)
 
 
-def book_episodes(l2: DataFrame, trades: DataFrame, anchors: DataFrame, windows: Sequence[int], bucket: int, large: float, band: float = 5, second: int = 1_000_000) -> DataFrame:
+def book_episodes(l2: DataFrame, trades: DataFrame, anchors: DataFrame, windows: Sequence[int], large: float, band: float = 5, second: int = 1_000_000, slice_rows: int = 16_384) -> DataFrame:
     """Static, dynamics, flow, response and absorption features per anchor; anchors whose windows cross a snapshot drop."""
     times = anchors.select("symbol", F.explode(F.array(F.col("ts"), *[F.col("ts") - w for w in windows])).alias("ts")).distinct()
-    b = scan.settled(book_as_of(l2, times, bucket, bands=(1, 2, band)))
+    b = scan.settled(book_as_of(l2, times, slice_rows, bands=(1, 2, band)))
     d = anchors.select("symbol", "ts").join(b, ["symbol", "ts"])
     scale = F.greatest(F.col(f"bid_depth_{band}bp") + F.col(f"ask_depth_{band}bp"), F.lit(1e-12))
     names = ("bid_depletion", "ask_depletion", "bid_replenishment", "ask_replenishment")
