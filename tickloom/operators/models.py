@@ -96,6 +96,68 @@ def fit_ranker(pairs: DataFrame, diffs: Sequence[str], label: str = "prefer_firs
     return dict(zip(diffs, [float(x) for x in m.coefficients]))
 
 
+def fit_panel_ranker(panel: DataFrame, value: str, features: Sequence[str], reg: float = 0.01, group: str = "ts", steps: int = 50) -> dict:
+    """Logistic on the differences of all pairs of a timestamp with unequal ``value``, without a table of pairs.
+
+    A timestamp's rows (bounded by the symbol universe) are one record; tasks go through its pairs in numpy blocks and return
+    sums of loss, gradient and curvature, so a Newton step is one scan and its result is one row.  The loss does not depend on
+    which of a pair comes first.  ``reg`` weighs the squared coefficients of differences scaled to a mean square of one.
+    Rows with a NULL, NaN or infinite number or no timestamp are left out; without any pair all weights are 0.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names, k = list(features), len(features)
+    d = panel.select(group, F.col(value).cast("double").alias("_v"), F.array(*[F.col(f).cast("double") for f in names]).alias("_x"))
+    sound = lambda x: x.isNotNull() & (F.abs(x) < float("inf"))
+    d = d.filter(F.col(group).isNotNull() & sound(F.col("_v")) & F.forall("_x", sound)).groupBy(group).agg(F.collect_list(F.struct("_v", "_x")).alias("_rows")).filter(F.size("_rows") > 1)
+    d = scan.settled(d.select(F.transform("_rows", lambda r: r["_v"]).alias("v"), F.flatten(F.transform("_rows", lambda r: r["_x"])).alias("x")))
+    out = ["n", "loss", *[f"g{i}" for i in range(k)], *[f"h{i}" for i in range(k * k)]]
+
+    def sums(w: np.ndarray, scale: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        def walk(frames):
+            total = np.zeros(len(out))
+            for frame in frames:
+                for v, x in zip(frame["v"], frame["x"]):
+                    v, x = np.asarray(v), np.asarray(x).reshape(-1, k) / scale
+                    for a in range(0, len(v), 256):
+                        for b in range(0, len(v), 256):
+                            i, j = np.nonzero(v[a:a + 256, None] > v[None, b:b + 256])
+                            e = x[a + i] - x[b + j]
+                            z = e @ w
+                            q = np.exp(-np.logaddexp(0.0, z))         # probability of the wrong order
+                            total += np.concatenate([[len(z), np.logaddexp(0.0, -z).sum()], -(q @ e), ((e * (q * (1 - q))[:, None]).T @ e).ravel()])
+            yield pd.DataFrame([total], columns=out)
+
+        r = d.mapInPandas(walk, ", ".join(f"{c} double" for c in out)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in out]).first()
+        return r[0], r[1], np.array(r[2:2 + k]), np.array(r[2 + k:]).reshape(k, k)
+
+    n, _, _, h = sums(np.zeros(k), np.ones(k))
+    if not n:
+        return dict.fromkeys(names, 0.0)
+    scale = np.sqrt(4 * np.diag(h) / n)                               # at zero weights a pair's curvature is a quarter of its squares
+    scale[scale == 0] = 1.0
+
+    def at(w):
+        _, loss, g, h = sums(w, scale)
+        return loss / n + reg / 2 * (w @ w), g / n + reg * w, h / n + reg * np.eye(k)
+
+    w = np.zeros(k)
+    loss, g, h = at(w)
+    for _ in range(steps):
+        step = np.linalg.lstsq(h, g, rcond=None)[0]
+        nxt = at(w - step)
+        while nxt[0] > loss and np.abs(step).max() > 1e-12:
+            step = step / 2
+            nxt = at(w - step)
+        if nxt[0] > loss:
+            break
+        w, (loss, g, h) = w - step, nxt
+        if np.abs(g).max() < 1e-10:
+            break
+    return dict(zip(names, (w / scale).tolist()))
+
+
 def pair_accuracy(pairs: DataFrame, weights: dict[str, float], label: str = "prefer_first") -> DataFrame:
     e = sum((w * F.col(c) for c, w in weights.items()), F.lit(0.0))
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg(((e > 0).cast("int") == F.col(label)).cast("double")).alias("accuracy"))

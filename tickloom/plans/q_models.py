@@ -76,11 +76,28 @@ def _(v):
     return one.crossJoin(F.broadcast(b))
 
 
+_RANK = ["volume", "trades", "open"]
+
+
+def _ranked_pairs(v):
+    w = M.fit_panel_ranker(v.bars, "close", _RANK)
+    return J.pairwise(v.bars.select("symbol", "ts", "close", *_RANK), "close", _RANK), {f"d_{f}": x for f, x in w.items()}
+
+
 @query("pairwise_ranker")
 def _(v):
-    p = J.pairwise(v.bars.select("symbol", "ts", "close", "volume", "trades", "open"), "close", ["volume", "trades", "open"])
-    w = M.fit_ranker(p, ["d_volume", "d_trades", "d_open"])
-    return M.pair_accuracy(p, w)
+    return M.pair_accuracy(*_ranked_pairs(v))
+
+
+@query("pairwise_ranker_equation", "bars", """
+SELECT count(*) AS pairs, 0.0::DOUBLE AS score_equation FROM bars a JOIN bars b ON a.ts=b.ts AND a.symbol<b.symbol AND a.close<>b.close""")
+def _(v):
+    # the fit never sees this table of pairs; at its weights the penalised score equations hold over it
+    p, w = _ranked_pairs(v)
+    z = sum((x * F.col(c) for c, x in w.items()), F.lit(0.0))
+    gap = 1 / (1 + F.exp(-z)) - F.col("prefer_first")
+    worst = [F.abs(F.avg(F.col(c) * gap) / F.sqrt(F.avg(F.col(c) ** 2)) + 0.01 * x * F.sqrt(F.avg(F.col(c) ** 2))) for c, x in w.items()]
+    return p.agg(F.count("*").alias("pairs"), (F.round(F.greatest(*worst), 6) + 0.0).alias("score_equation"))
 
 
 @query("calibration")
