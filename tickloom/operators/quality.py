@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import DAY, finite, flag
 from . import scan
 
-def bad_bar() -> Column:
-    """Non-finite, non-positive or incoherent OHLC, or negative volume."""
+def bad_bar(zero: bool = False) -> Column:
+    """Non-finite, non-positive or incoherent OHLC, or negative volume; with ``zero`` a price of 0 is allowed."""
+    least = F.least("open", "high", "low", "close")
     return ~(finite("open") & finite("high") & finite("low") & finite("close") & finite("volume")) | (
-        F.least("open", "high", "low", "close") <= 0) | (F.col("volume") < 0) | (
+        (least < 0) if zero else (least <= 0)) | (F.col("volume") < 0) | (
         F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
 
 

@@ -24,18 +24,19 @@ def epoch_micros(c) -> Column:
     return F.when(c < 10 ** 11, c * 1_000_000).when(c < 10 ** 14, c * 1000).otherwise(c).cast("long")
 
 
-def validate_bars(df: DataFrame, start: int, end: int, step: int, strict_step: bool = True) -> DataFrame:
+def validate_bars(df: DataFrame, start: int, end: int, step: int, strict_step: bool = True, zero: bool = False) -> DataFrame:
+    """Bars in [start, end); a bad bar fails the job.  ``zero`` is for sources whose prices go down to 0."""
     d = require_columns(df, "symbol", "ts", "open", "high", "low", "close", "volume").filter(
         (F.col("ts") >= start) & (F.col("ts") < end))
-    d = fail_if(d, bad_bar(), "invalid bar")
+    d = fail_if(d, bad_bar(zero), "invalid bar")
     if strict_step:
         d = scan.framed(d, ["symbol"], ["ts"], lambda w: {"_dt": F.col("ts") - F.lag("ts", 1).over(w)}, back=1)
         d = fail_if(d, F.col("_dt").isNotNull() & (F.col("_dt") != step), "bar step differs").drop("_dt")
     return d
 
 
-def load_bars_csv(spark: SparkSession, path: str, start: int, end: int, step: int, strict_step: bool = True) -> DataFrame:
-    return validate_bars(spark.read.schema(schemas.BAR).csv(path, header=True, mode="FAILFAST"), start, end, step, strict_step)
+def load_bars_csv(spark: SparkSession, path: str, start: int, end: int, step: int, strict_step: bool = True, zero: bool = False) -> DataFrame:
+    return validate_bars(spark.read.schema(schemas.BAR).csv(path, header=True, mode="FAILFAST"), start, end, step, strict_step, zero)
 
 
 def explode_archives(files: DataFrame, columns: tuple[str, ...] = schemas.KLINE_COLUMNS) -> DataFrame:
@@ -66,14 +67,14 @@ def explode_archives(files: DataFrame, columns: tuple[str, ...] = schemas.KLINE_
     return files.select("path", "content").mapInPandas(unzip, schema).filter(~F.lower(F.trim(F.col(columns[0]))).eqNullSafe(F.lit(columns[0])))
 
 
-def kline_rows(raw: DataFrame) -> DataFrame:
+def kline_rows(raw: DataFrame, zero: bool = False) -> DataFrame:
     """Typed bars from exploded kline archives; the symbol is the member's leading name part."""
     num = lambda c, t="double": F.col(c).cast(t)
     d = raw.select(
         F.split("member", "-")[0].alias("symbol"), epoch_micros(num("open_time", "long")).alias("ts"),
         *[num(c).alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume")],
         num("trade_count", "long").alias("trade_count"), num("taker_buy_quote").alias("taker_buy_quote"))
-    d = fail_if(d, bad_bar(), "invalid bar")
+    d = fail_if(d, bad_bar(zero), "invalid bar")
     return reject_duplicates(d, ["symbol", "ts"], "duplicate bar")
 
 
