@@ -69,11 +69,12 @@ def apply_robust_scale(df: DataFrame, fit: DataFrame, names: Sequence[str], limi
 # --- cross section ------------------------------------------------------------------------------
 
 def mid_rank(c: str, by: Sequence[str] = ("ts",), lower_is_better: bool = False, single: float = 0.0) -> Column:
-    """(values beaten + (ties - 1)/2) / (n - 1)."""
-    o = F.col(c).desc() if lower_is_better else F.col(c)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    tie = F.count(F.lit(1)).over(Window.partitionBy(*by, c))
-    return F.when(n == 1, F.lit(single)).otherwise(div(F.rank().over(Window.partitionBy(*by).orderBy(o)) - 1 + (tie - 1) / 2.0, n - 1))
+    """(values beaten + (ties - 1)/2) / (n - 1); rank, ties and n come from one sort."""
+    w = Window.partitionBy(*by).orderBy(F.col(c).desc() if lower_is_better else F.col(c))
+    n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    beaten = F.rank().over(w) - 1
+    tie = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - beaten
+    return F.when(n == 1, F.lit(single)).otherwise(div(beaten + (tie - 1) / 2.0, n - 1))
 
 
 def pct_rank(c: str, by: Sequence[str] = ("ts",)) -> Column:
@@ -272,7 +273,7 @@ def combine_predictors(df: DataFrame, direction_threshold: float) -> DataFrame:
 
 def relative_quality(df: DataFrame) -> DataFrame:
     """Mid-rank percentiles within a candidate set; needs opportunity, danger, net_mean, mfe_q50, mae_q90."""
-    d = df.withColumn("path_efficiency", F.col("mfe_q50") / (F.col("mfe_q50") + F.col("mae_q90") + 0.001))
+    d = scan.dealt(df, ["ts"]).withColumn("path_efficiency", F.col("mfe_q50") / (F.col("mfe_q50") + F.col("mae_q90") + 0.001))
     d = d.withColumns({"opportunity_pct": mid_rank("opportunity", single=1.0), "danger_pct": mid_rank("danger", lower_is_better=True, single=1.0),
                        "net_pct": mid_rank("net_mean", single=1.0), "path_pct": mid_rank("path_efficiency", single=1.0)})
     return d.withColumn("quality", (F.col("opportunity_pct") + F.col("danger_pct") + F.col("net_pct") + F.col("path_pct")) / 4)

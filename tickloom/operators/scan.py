@@ -144,6 +144,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def dealt(df: DataFrame, by: Sequence[str], rows: int = 1 << 18) -> DataFrame:
+    """df dealt by ``by`` over a task for each ``rows`` rows (counted while the plan is made).
+
+    For steps that sort a task's rows several times: Spark merges small partitions by shuffled bytes, not by what the sorts hold.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A derived set that many later steps read, written once to the shared folder, so their plans start from files."""
     import uuid
