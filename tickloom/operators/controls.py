@@ -101,7 +101,8 @@ def tiered_match(pos: DataFrame, neg: DataFrame, tiers: Sequence[tuple[str, Sequ
         both = num.select(*keys, F.col("_s").alias("_k"), F.lit(0).alias("_t"), F.lit(None).cast("long").alias("pos_id")).unionByName(u)
         at = scan.prefix_scan(scan.ordered_slices(both, F.col("_k"), "_t"), keys, ["_k", "_t"], {"_c": ("count", F.when(F.col("_t") == 0, 1))}, slice_col=F.struct(F.col("_slice_key.a")))
         at = scan.settled(at.filter("_t = 1").select(*keys, "pos_id", F.col("_k").alias("_ps"), "_c"))
-        side = lambda df, a, b: at.withColumn("_n", F.explode(F.sequence(F.col("_c") + a, F.col("_c") + b))).join(df, [*keys, "_n"])
+        # merged, as Spark reckons with the rows before the explode and would broadcast 2 * limit times as many
+        side = lambda df, a, b: at.withColumn("_n", F.explode(F.sequence(F.col("_c") + a, F.col("_c") + b))).hint("merge").join(df, [*keys, "_n"])
         near = side(lo, -limit, -1).unionByName(side(hi, 0, limit - 1)).withColumn("gap", F.abs(F.col("_s") - F.col("_ps")))
         w = Window.partitionBy("pos_id").orderBy("gap", "control_id")
         near = near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).select("pos_id", "control_id", "gap", F.lit(rank).alias("_rank"), F.lit(name).alias("tier"))
