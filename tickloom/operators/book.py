@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import div, side_sign
-from . import joins, scan
+from . import intervals, joins, scan
 from .quality import fail_if
 
 
@@ -151,14 +151,14 @@ def book_episodes(l2: DataFrame, trades: DataFrame, anchors: DataFrame, windows:
 def pulse(signals: DataFrame, events: DataFrame, horizons: Sequence[int], barrier_bps: float, bucket: int, key: str = "signal_id") -> DataFrame:
     """Return, MFE, MAE, signed flow and first barrier per signal and horizon; ``events(symbol, ts, mid, signed)``.
 
-    One interval join over the longest horizon; horizons are conditional aggregates.
+    Intervals of the longest horizon visit their time buckets; no pairs of signals and events are formed.
     """
     s = signals.select(key, "symbol", "side", "reference_mid", F.col("ts").alias("_t0"), (F.col("ts") + max(horizons)).alias("_t1"))
-    j = joins.interval_join(s, events.select("symbol", "ts", "mid", "signed"), "_t0", "_t1", "[]", bucket)
-    bps = side_sign() * (F.col("r_mid") / F.col("reference_mid") - 1) * 10000
-    j = j.withColumn("_m", bps).withColumn("horizon", F.explode(F.array_compact(F.array(*[F.when(F.col("r_ts") <= F.col("_t0") + h, F.lit(h)) for h in horizons]))))
-    g = j.groupBy(key, "horizon").agg(F.max_by("_m", "r_ts").alias("ret_bps"), F.max("_m").alias("mfe_bps"), (-F.min("_m")).alias("mae_bps"), (F.max(side_sign()) * F.sum("r_signed")).alias("signed_flow"),
-                                      F.min(F.when(F.col("_m") >= barrier_bps, F.col("r_ts"))).alias("_f"), F.min(F.when(F.col("_m") <= -barrier_bps, F.col("r_ts"))).alias("_a"))
+    j = intervals.crossings(s, events.select("symbol", "ts", "mid", "signed"), horizons, barrier_bps, bucket, [key, "side", "reference_mid"])
+    bps = lambda c: side_sign() * (F.col(c) / F.col("reference_mid") - 1) * 10000
+    long = side_sign() > 0
+    g = j.groupBy(key, "horizon").agg(F.max_by(bps("_last"), "_at").alias("ret_bps"), F.max(F.greatest(bps("_hi"), bps("_lo"))).alias("mfe_bps"), (-F.min(F.least(bps("_hi"), bps("_lo")))).alias("mae_bps"),
+                                      (F.max(side_sign()) * F.sum("_sum")).alias("signed_flow"), F.min(F.when(long, F.col("_up")).otherwise(F.col("_down"))).alias("_f"), F.min(F.when(long, F.col("_down")).otherwise(F.col("_up"))).alias("_a"))
     out = F.when(F.col("_f").isNull() & F.col("_a").isNull(), "NEITHER").when(F.coalesce(F.col("_f") < F.col("_a"), F.col("_f").isNotNull()), "FAVORABLE_FIRST").otherwise("ADVERSE_FIRST")
     return g.withColumn("barrier", out).drop("_f", "_a")
 
