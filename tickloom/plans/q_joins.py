@@ -62,7 +62,7 @@ def _range_sql(c):
 @query("range_join_window", "ticks signals", " UNION ALL ".join(_range_sql(c) for c in ("(]", "[)", "[]")))
 def _(v):
     l = v.signals.select("signal_id", "symbol", (F.col("ts") - 6 * HOUR).alias("lo"), F.col("ts").alias("hi"))
-    one = lambda c: J.range_agg(l, v.ticks.select("symbol", "ts", "price"), "lo", "hi", [F.count("r_ts").alias("n"), F.sum("r_price").alias("total"), F.max("r_price").alias("high")], c, 6 * HOUR, ["signal_id"]).select(
+    one = lambda c: J.range_agg(l, v.ticks.select("symbol", "ts", "price"), "lo", "hi", {"n": ("count", "ts"), "total": ("sum", "price"), "high": ("max", "price")}, c, 6 * HOUR, ["signal_id"]).select(
         "signal_id", F.lit(c).alias("closed"), F.coalesce("n", F.lit(0)).alias("n"), "total", "high")
     return rnd(J.union_pieces([one(c) for c in ("(]", "[)", "[]")]), 4)
 
