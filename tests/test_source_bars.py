@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tickloom.functions.scalars import HOUR
+from tickloom.plans import q_sources
 from tickloom.sources import readers
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -33,3 +34,40 @@ def test_zero_is_allowed_only_where_a_source_says_so(frame, low, zero, good):
     else:
         with pytest.raises(Exception, match="invalid bar"):
             d.agg(F.sum("close")).collect()
+
+
+BAR = "symbol string, ts long, open double, high double, low double, close double, volume double"
+
+
+def rows_at(*at):
+    return [("A", h * HOUR, 2.0, 3.0, 1.0, 2.0, 5.0) for h in at]
+
+
+@pytest.mark.parametrize("at,good", [((0, 1, 4, 5), True), ((1, 4, 5), False), ((0, 1, 5), False), ((0, 1, 4), False), ((0, 1, 2, 4, 5), False), ((0, 1, 1, 4, 5), False), ((0, 1, 4, 5, 9), True)])
+def test_a_step_is_longer_only_where_nothing_was_traded(spark, frame, tmp_path, at, good):
+    frame(rows_at(*at), BAR).write.csv(f"{tmp_path}/bars", header=True)
+    traded = frame([("A", h * HOUR) for h in (0, 0, 1, 4, 5, 8)], "symbol string, ts long")
+    d = readers.load_bars_csv(spark, f"{tmp_path}/bars", 0, 8 * HOUR, HOUR, traded=traded)
+    if good:
+        assert sorted(r.ts // HOUR for r in d.collect()) == [0, 1, 4, 5]
+    else:
+        with pytest.raises(Exception, match="bar step differs"):
+            d.agg(F.sum("close")).collect()
+
+
+def test_the_query_checks_the_steps_of_its_bars(spark, frame, tmp_path, monkeypatch):
+    path, written = events(frame, tmp_path, [3.0, 1.0, 2.0, 2.0, 5.0, 4.0]), q_sources.written
+    monkeypatch.setattr(q_sources, "written", lambda df, v, **k: written(df.filter(F.col("open") != 2.0), v, **k))
+    with pytest.raises(Exception, match="bar step differs"):
+        entry.queries()["bar_source_csv"](spark, path).collect()
+
+
+def test_columns_of_a_csv_go_by_their_names(spark, frame, tmp_path):
+    d = frame(rows_at(0, 1), BAR).withColumn("note", F.lit("x"))
+    d.select("note", "volume", "close", "low", "high", "open", "ts", "symbol").write.csv(f"{tmp_path}/turned", header=True)
+    assert [tuple(r) for r in readers.load_bars_csv(spark, f"{tmp_path}/turned", 0, 2 * HOUR, HOUR).orderBy("ts").collect()] == rows_at(0, 1)
+    d.drop("volume").write.csv(f"{tmp_path}/less", header=True)
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.load_bars_csv(spark, f"{tmp_path}/less", 0, 2 * HOUR, HOUR)
+    with pytest.raises(ValueError, match="interval"):
+        readers.load_bars_csv(spark, f"{tmp_path}/turned", HOUR, HOUR, HOUR)

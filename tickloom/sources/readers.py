@@ -24,19 +24,35 @@ def epoch_micros(c) -> Column:
     return F.when(c < 10 ** 11, c * 1_000_000).when(c < 10 ** 14, c * 1000).otherwise(c).cast("long")
 
 
-def validate_bars(df: DataFrame, start: int, end: int, step: int, strict_step: bool = True, zero: bool = False) -> DataFrame:
-    """Bars in [start, end); a bad bar fails the job.  ``zero`` is for sources whose prices go down to 0."""
-    d = require_columns(df, "symbol", "ts", "open", "high", "low", "close", "volume").filter(
-        (F.col("ts") >= start) & (F.col("ts") < end))
+def validate_bars(df: DataFrame, start: int, end: int, step: int, strict_step: bool = True, zero: bool = False, traded: DataFrame | None = None) -> DataFrame:
+    """Bars in [start, end); a bad bar fails the job.  ``zero`` is for sources whose prices go down to 0.
+
+    A step other than ``step`` fails too.  ``traded(symbol, ts)`` is for sources that have no bar where nothing was traded: each of
+    its times must have one bar and no other time any, so a step is longer only over times without trades.
+    """
+    if end <= start:
+        raise ValueError("the interval is empty")
+    inside = (F.col("ts") >= start) & (F.col("ts") < end)
+    d = require_columns(df, "symbol", "ts", "open", "high", "low", "close", "volume").filter(inside)
     d = fail_if(d, bad_bar(zero), "invalid bar")
-    if strict_step:
+    if traded is not None:
+        d = reject_duplicates(d, ["symbol", "ts"], "bar step differs")
+        t = traded.filter(inside).select(F.col("symbol").alias("_s"), F.col("ts").alias("_t")).distinct()
+        d = d.withColumn("_b", F.lit(True)).join(t.withColumn("_e", F.lit(True)), F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("ts") == F.col("_t")), "full_outer")
+        off = F.col("_b").isNull() | F.col("_e").isNull() | (F.pmod("ts", F.lit(step)) != 0)
+        d = fail_if(d, off, "bar step differs").drop("_b", "_s", "_t", "_e")
+    elif strict_step:
         d = scan.framed(d, ["symbol"], ["ts"], lambda w: {"_dt": F.col("ts") - F.lag("ts", 1).over(w)}, back=1)
         d = fail_if(d, F.col("_dt").isNotNull() & (F.col("_dt") != step), "bar step differs").drop("_dt")
     return d
 
 
-def load_bars_csv(spark: SparkSession, path: str, start: int, end: int, step: int, strict_step: bool = True, zero: bool = False) -> DataFrame:
-    return validate_bars(spark.read.schema(schemas.BAR).csv(path, header=True, mode="FAILFAST"), start, end, step, strict_step, zero)
+def load_bars_csv(spark: SparkSession, path: str, start: int, end: int, step: int, strict_step: bool = True, zero: bool = False, traded: DataFrame | None = None) -> DataFrame:
+    """Columns go by the names in the header, which all files share; a file with another one fails, and so does a missing column."""
+    kinds = {f.name: f.dataType for f in schemas.BAR}
+    names = spark.read.csv(path, header=True).columns
+    raw = spark.read.schema(T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
+    return validate_bars(require_columns(raw, *kinds).select(*kinds), start, end, step, strict_step, zero, traded)
 
 
 def explode_archives(files: DataFrame, columns: tuple[str, ...] = schemas.KLINE_COLUMNS) -> DataFrame:
