@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,25 @@ def test_filter_never_forgets():
     assert (lm.probe(bits, key + np.uint64(1), none) == 0).mean() > 0.99
     value = lm.counts_of_levels()
     assert [float(value[lm.level(np.array([c]))[0]]) for c in (1, 2, 3)] == [1, 2, 3] and all(abs(value[lm.level(np.array([c]))[0]] / c - 1) < 0.25 for c in range(1, 5000))
+
+
+def test_groups_of_segments_give_the_scores_of_the_whole_filter(spark):
+    word = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.pmod(F.xxhash64(i, "id"), F.lit(40_000)) + 1).cast("string")))
+    df = lm.C.stored(spark.range(0, 3_200, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(word, " ").alias("text")).unionByName(spark.sql("select -1L as doc_id, cast(null as string) as text")), "texts")
+    model = lm.fit(df, F.col("doc_id") % 7 != 2)
+    assert model.count >= 3
+    whole, groups = ({r.doc_id: r for r in lm.score(df, model, keep={"kept": F.col("doc_id") + 1}, most_bytes=most).collect()} for most in (1 << 30, lm.SEGMENT // 8 * 2))
+    assert len(whole) == 3_201 and whole.keys() == groups.keys()
+    for k, r in whole.items():
+        assert r[:-1] == groups[k][:-1] and abs(r.score - groups[k].score) < 1e-9 * max(1, abs(r.score))
+
+
+def test_pairs_are_packed_close(spark):
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2))
+    key[1::2] = key[::2]
+    text, one, before = rng.integers(0, 2_000, len(key)), rng.integers(0, 8, len(key)).astype(np.uint8), rng.integers(0, 8, len(key)).astype(np.uint8)
+    data = lm.packed(key, text, one, before)
+    k, times, *rest = lm.unpacked(data)
+    assert np.repeat(k, times).tolist() == key.tolist() and [x.tolist() for x in rest] == [x.tolist() for x in (text, one, before)]
+    assert len(data) < 7 * len(key)  # three hashes of 8 bytes a token before
